@@ -94,10 +94,7 @@ def _response_body() -> Column:
 
 def _text(value: Column) -> Column:
     """A JSON string literal, or null."""
-    literal = F.to_json(F.array(value))
-    return F.when(value.isNull(), F.lit("null")).otherwise(
-        F.substring(literal, F.lit(2), F.length(literal) - 2)
-    )
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]\z", "")
 
 
 def log_lines(events: DataFrame) -> DataFrame:

@@ -6,23 +6,23 @@ characters tell a value's kind; nothing has to walk the value to classify it.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_STRING = r'"(?:[^"\\]++|\\.)*+"'
-_NUMBER = r"-?[0-9][0-9.eE+-]*+"
-_MAYBE_HUGE = r"[0-9][eE]\+?[0-9]{3}|[0-9]{309}"
+_STRING = r'(?s)"(?:[^"\\]++|\\.)*+"'
+_NUMBER = r"[0-9][0-9.eE+-]*+"
+_BIG_EXPONENT = r"[0-9][eE]\+?[0-9]{3}"
+_MANY_DIGITS = r"[0-9]{309}"
 
 
 def has_out_of_range_number(text: Column) -> Column:
     """True if a number of the text does not fit a double. Strings are ignored."""
-    numbers = F.regexp_extract_all(
-        F.regexp_replace(text, rf"(?s){_STRING}", ""), F.lit(_NUMBER), F.lit(0)
-    )
+    numbers = F.regexp_extract_all(F.regexp_replace(text, _STRING, ""), F.lit(_NUMBER), F.lit(0))
+    biggest = F.array_max(numbers.try_cast("array<double>"))
     return F.when(
-        text.rlike(_MAYBE_HUGE),
-        F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == F.lit(float("inf"))),
+        text.rlike(_BIG_EXPONENT) | text.rlike(_MANY_DIGITS),
+        F.coalesce(biggest == float("inf"), F.lit(False)),
     ).otherwise(F.lit(False))
 
 
-def with_strict_json(df: DataFrame, src: str, out: str) -> DataFrame:
+def with_whole_value(df: DataFrame, src: str, out: str) -> DataFrame:
     """Add ``out``: ``src`` as VARIANT if it is exactly one JSON value, else null.
 
     Spark's parser stops after the first value and ignores what follows. Here the text is
@@ -30,11 +30,9 @@ def with_strict_json(df: DataFrame, src: str, out: str) -> DataFrame:
     text; only if the mark comes back in second and last place was the text one value.
     """
     mark = F.xxhash64(F.col(src)).cast("string")
-    pair = F.when(
-        ~has_out_of_range_number(F.col(src)),
-        F.try_parse_json(F.concat(F.lit("["), F.col(src), F.lit(',"'), mark, F.lit('"]'))),
+    df = df.withColumn(
+        "_pair", F.try_parse_json(F.concat(F.lit("["), F.col(src), F.lit(',"'), mark, F.lit('"]')))
     )
-    df = df.withColumn("_pair", pair)
     whole = (F.try_variant_get("_pair", "$[1]", "string") == mark) & F.try_variant_get(
         "_pair", "$[2]", "variant"
     ).isNull()
@@ -43,6 +41,12 @@ def with_strict_json(df: DataFrame, src: str, out: str) -> DataFrame:
     ).drop("_pair")
 
 
+def with_strict_json(df: DataFrame, src: str, out: str) -> DataFrame:
+    """As ``with_whole_value``, but a number no double can hold refuses the text."""
+    df = with_whole_value(df, src, out)
+    return df.withColumn(out, F.when(~has_out_of_range_number(F.col(src)), F.col(out)))
+
+
 def as_object(value: Column) -> Column:
     """Members of a JSON object as a map; null for any other value."""
     return F.try_variant_get(value, "$", "map<string,variant>")
@@ -111,5 +115,4 @@ def producing_members(obj: Column) -> Column:
 
 def quoted(text: Column) -> Column:
     """A string as a JSON string literal."""
-    literal = F.to_json(F.array(text))
-    return F.substring(literal, F.lit(2), F.length(literal) - 2)
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]\z", "")

@@ -22,9 +22,9 @@ def parameter_type(name: Column) -> Column:
 
 
 def parameter_rows(query: Column) -> Column:
-    """Query map as parameter structs, sorted by name."""
+    """Query map (name to text) as parameter structs, sorted by name."""
     return F.transform(
-        F.array_sort(F.map_entries(query)),
+        F.sort_array(F.map_entries(query)),
         lambda e: F.struct(
             e["key"].alias("name"),
             parameter_type(e["key"]).alias("type"),

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from specloom.functions.json_values import with_whole_value
+
 ARCHIVE_LINE_BYTES = 5 * 1024 * 1024
 LOCAL_LINE_BYTES = 64 * 1024
 
@@ -29,8 +31,6 @@ _ESCAPE = (
 )
 QUOTABLE = rf'^[^"\\\n]*+(?:\\{_ESCAPE}[^"\\\n]*+)*+\z'
 
-# Escapes JSON does not know; lines that may hold one are decoded byte by byte.
-_NON_JSON_ESCAPE = r"\\[avxU0-7]"
 _TOKENS = r"(?s)[^\\]++|\\(?:x..|u....|U........|[0-7]{3}|.)"
 _CONTROL_ESCAPES = {
     "a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D",
@@ -59,21 +59,33 @@ def _token_hex(token: Column) -> Column:
     )
 
 
-def unescape(line: Column) -> Column:
-    """The text a quoted string stands for; null if the line is not the body of one."""
-    as_json = F.from_json(
-        F.concat(F.lit('["'), line, F.lit('"]')),
-        "array<string>",
-        {"allowUnquotedControlChars": "true"},
-    )
+def _decode_bytes(line: Column) -> Column:
+    """Decode every escape of a quotable line, byte by byte."""
     tokens = F.regexp_extract_all(line, F.lit(_TOKENS), F.lit(0))
     as_bytes = F.unhex(F.array_join(F.transform(tokens, _token_hex), ""))
-    return (
-        F.when(~line.rlike(QUOTABLE), F.lit(None).cast("string"))
-        .when(~line.contains("\\"), line)
-        .when(line.rlike(_NON_JSON_ESCAPE), F.make_valid_utf8(as_bytes.cast("string")))
-        .otherwise(F.get(as_json, F.lit(0)))
-    )
+    return F.make_valid_utf8(as_bytes.cast("string"))
+
+
+def with_unescaped(df: DataFrame, src: str, out: str) -> DataFrame:
+    """Add ``out``: the text ``src`` stands for as the body of a quoted string, or null.
+
+    The JSON parser decodes nearly all lines. It takes two kinds of escape a quoted string
+    may not have, a slash and surrogates, so lines that may hold those are checked against
+    the grammar. Lines it refuses are decoded byte by byte if the grammar allows them.
+    """
+    line = F.col(src)
+    df = df.withColumn("_quoted", F.concat(F.lit('"'), line, F.lit('"')))
+    df = with_whole_value(df, "_quoted", "_parsed")
+    df = df.withColumn("_decoded", F.try_variant_get("_parsed", "$", "string"))
+    decoded = F.col("_decoded")
+    unsure = line.contains("\\/") | line.contains("\\u") | decoded.isNull()
+    return df.withColumn(
+        out,
+        F.when(~unsure, decoded)
+        .when(~line.rlike(QUOTABLE), F.lit(None).cast("string"))
+        .when(decoded.isNotNull(), decoded)
+        .otherwise(_decode_bytes(line)),
+    ).drop("_quoted", "_parsed", "_decoded")
 
 
 def with_clean_text(
@@ -85,22 +97,34 @@ def with_clean_text(
     and its newline must fit in ``max_line_bytes``.
     """
     fits = F.octet_length(F.col(src)) < max_line_bytes
+    df = df.withColumn("_valid", F.when(fits, F.make_valid_utf8(F.col(src))))
+    valid = F.col("_valid")
     df = df.withColumn(
-        "_utf8", F.when(fits, F.make_valid_utf8(F.regexp_replace(F.col(src), r"\r\z", "")))
+        "_utf8",
+        F.when(valid.endswith("\r"), F.regexp_replace("_valid", r"\r\z", "")).otherwise(valid),
     )
     df = df.withColumn("_noise", noise_reason(F.col("_utf8")))
-    df = df.withColumn("_plain", F.when(F.col("_noise").isNull(), unescape(F.col("_utf8"))))
-    df = df.withColumn("_message", F.regexp_replace("_plain", CONTAINER_PREFIX, ""))
-    df = df.withColumn("_json", F.regexp_extract("_message", JSON_OBJECT, 0))
+    df = df.withColumn("_line", F.when(F.col("_noise").isNull(), F.col("_utf8")))
+    df = with_unescaped(df, "_line", "_plain")
+    plain, message = F.col("_plain"), F.col("_message")
+    prefixed = F.substring(plain, 1, 1).between("0", "9")
+    df = df.withColumn(
+        "_message", F.when(prefixed, F.regexp_replace("_plain", CONTAINER_PREFIX, "")).otherwise(plain)
+    )
+    df = df.withColumn(
+        "_json",
+        F.when(
+            message.startswith("{") & message.endswith("}") & ~message.contains("\n"), message
+        ).otherwise(F.regexp_extract("_message", JSON_OBJECT, 0)),
+    )
+    stamp = F.when(prefixed, F.nullif(F.regexp_extract("_plain", CONTAINER_PREFIX, 1), F.lit("")))
     return df.select(
         "*",
-        F.when(F.col("_json") != "", F.col("_json")).otherwise(F.col("_message")).alias("text"),
+        F.when(F.col("_json") != "", F.col("_json")).otherwise(message).alias("text"),
         F.when(F.col("_utf8").isNull(), F.lit("line too long"))
         .when(F.col("_noise").isNotNull(), F.col("_noise"))
-        .when(F.col("_plain").isNull(), F.lit("bad escape"))
+        .when(plain.isNull(), F.lit("bad escape"))
         .alias("clean_reason"),
-        F.try_to_timestamp(
-            F.nullif(F.regexp_extract("_plain", CONTAINER_PREFIX, 1), F.lit(""))
-        ).alias("receive_time"),
+        F.try_to_timestamp(stamp).alias("receive_time"),
         (F.col("_json") != "").alias("extractable"),
-    ).drop("_utf8", "_noise", "_plain", "_message", "_json")
+    ).drop("_valid", "_utf8", "_noise", "_line", "_plain", "_message", "_json")

@@ -2,6 +2,11 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# The usual form: scheme, host, maybe a port, a path and a query without escapes or oddities.
+_USUAL = (
+    r"^[A-Za-z][A-Za-z0-9+.-]*+://([A-Za-z0-9._-]*+)(?::[0-9]*+)?"
+    r"((?:/[^%?#\x00-\x1F\x7F]*+)?)(?:\?[^#\x00-\x1F\x7F]*+)?\z"
+)
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _CONTROL = r"[\x00-\x1F\x7F]"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
@@ -29,7 +34,9 @@ def percent_decode(text: Column) -> Column:
 
 def with_url_parts(df: DataFrame, url: str, host: str = "host", path: str = "path") -> DataFrame:
     """Add ``host`` (no port) and ``path`` (percent-decoded); both '' if the URL is unusable."""
-    df = df.withColumn("_u", F.substring_index(url, "#", 1))
+    df = df.withColumn("_usual", url.rlike(_USUAL))
+    usual = F.col("_usual")
+    df = df.withColumn("_u", F.when(~usual, F.substring_index(url, "#", 1)))
     df = df.withColumn("_schemed", F.col("_u").rlike(_SCHEME))
     df = df.withColumn("_rest", F.substring_index(F.regexp_replace("_u", _SCHEME, ""), "?", 1))
     rest, schemed = F.col("_rest"), F.col("_schemed")
@@ -73,9 +80,17 @@ def with_url_parts(df: DataFrame, url: str, host: str = "host", path: str = "pat
     bare_host = F.coalesce(percent_decode(F.substring_index(netloc, ":", 1)), F.lit(""))
     return (
         df.withColumn("_unusable", unusable & (F.col("_u") != "*"))
-        .withColumn(host, F.when(F.col("_unusable"), F.lit("")).otherwise(bare_host))
-        .withColumn(path, F.when(F.col("_unusable"), F.lit("")).otherwise(F.col("_path")))
-        .drop("_u", "_schemed", "_rest", "_has_authority", "_authority", "_netloc", "_path", "_unusable")
+        .withColumns(
+            {
+                host: F.when(usual, F.regexp_extract(url, _USUAL, 1))
+                .when(F.col("_unusable"), F.lit(""))
+                .otherwise(bare_host),
+                path: F.when(usual, F.regexp_extract(url, _USUAL, 2))
+                .when(F.col("_unusable"), F.lit(""))
+                .otherwise(F.col("_path")),
+            }
+        )
+        .drop("_usual", "_u", "_schemed", "_rest", "_has_authority", "_authority", "_netloc", "_path", "_unusable")
     )
 
 

@@ -21,33 +21,42 @@ def _text_or_absent(value: Column) -> Column:
     return is_absent(value) | is_string(value)
 
 
+def _as_text(name: str) -> Column:
+    return F.try_variant_get(name, "$", "string")
+
+
 def record_reason() -> Column:
-    """Why a parsed line (columns ``_rec``, ``_request``, ``_response``) is no record, or null.
+    """Why a parsed line is no record, or null.
 
-    The first four container checks come before the field checks, as listed.
+    Reads ``_rec``, its parts ``_request`` and ``_response``, and the fields taken from
+    those. The container checks come first, in this order. A value with a known field is an
+    object, so the costly test for one is left to the odd lines.
     """
     rec, request, response = F.col("_rec"), F.col("_request"), F.col("_response")
-    query = _field("_request", "querystring")
-    query_map = as_object(query)
+    url, query, query_map = F.col("_url"), F.col("_query"), F.col("_query_map")
+
+    def is_text(value):
+        return F.coalesce(is_string(value), F.lit(False))
+
+    no_status_or_body = F.col("_status").isNull() & F.col("_response_body").isNull()
     return (
-        F.when(rec.isNull(), F.lit("invalid json"))
-        .when(request.isNull() & ~F.is_variant_null(rec) & as_object(rec).isNull(), F.lit("invalid json"))
+        F.when(
+            rec.isNull() | (request.isNull() & ~F.is_variant_null(rec) & as_object(rec).isNull()),
+            F.lit("invalid json"),
+        )
         .when(request.isNull(), F.lit("missing request info"))
-        .when(as_object(request).isNull(), F.lit("request info is not a map"))
+        .when(url.isNull() & as_object(request).isNull(), F.lit("request info is not a map"))
         .when(response.isNull(), F.lit("missing response info"))
-        .when(as_object(response).isNull(), F.lit("response info is not a map"))
-        .when(~F.coalesce(is_string(_field("_request", "url")), F.lit(False)), F.lit("url is not a string"))
-        .when(
-            ~F.coalesce(is_string(_field("_request", "method")), F.lit(False)),
-            F.lit("method is not a string"),
-        )
-        .when(~_text_or_absent(_field("_request", "body")), F.lit("request body is not a string"))
+        .when(no_status_or_body & as_object(response).isNull(), F.lit("response info is not a map"))
+        .when(~is_text(url), F.lit("url is not a string"))
+        .when(~is_text(F.col("_method")), F.lit("method is not a string"))
+        .when(~_text_or_absent(F.col("_body")), F.lit("request body is not a string"))
         .when(~is_absent(query) & query_map.isNull(), F.lit("querystring is not a map"))
         .when(
             F.exists(F.map_values(query_map), lambda v: ~is_string(v)),
             F.lit("querystring value is not a string"),
         )
-        .when(~_text_or_absent(_field("_response", "body")), F.lit("response body is not a string"))
+        .when(~_text_or_absent(F.col("_response_body")), F.lit("response body is not a string"))
     )
 
 
@@ -78,40 +87,48 @@ def parse_records(
     key = F.concat_ws("\n", "file", "value") if key is None else key
     df = with_clean_text(lines.withColumn("_key", key), "value", max_line_bytes)
     df = with_strict_json(df, "text", "_rec")
-    df = df.withColumn("_request", _field("_rec", "request")).withColumn(
-        "_response", _field("_rec", "response")
+    df = df.withColumns(
+        {"_request": _field("_rec", "request"), "_response": _field("_rec", "response")}
     )
-    df = df.withColumn("_reason", F.when(F.col("clean_reason").isNull(), record_reason()))
-    df = with_url_parts(
-        df.withColumn("_url", F.try_variant_get("_request", "$.url", "string")), F.col("_url")
+    df = df.withColumns(
+        {
+            "_url": _field("_request", "url"),
+            "_method": _field("_request", "method"),
+            "_body": _field("_request", "body"),
+            "_query": _field("_request", "querystring"),
+            "_query_map": as_object(_field("_request", "querystring")),
+            "_status": _field("_response", "status"),
+            "_response_body": _field("_response", "body"),
+        }
     )
-    df = df.withColumn("path", path_template(F.col("path")))
+    df = df.withColumn("_reason", F.when(F.col("clean_reason").isNull(), record_reason()))
+    good = F.coalesce("clean_reason", "_reason").isNull()
     millis = F.try_variant_get("_rec", "$.started_at", "bigint")
-    reason = F.coalesce("clean_reason", "_reason")
-    return df.select(
+    query = F.transform_values("_query_map", lambda _, v: v.try_cast("string"))
+    df = df.select(
         "file",
-        F.when(reason.isNotNull(), F.col("value")).alias("line"),
+        F.when(~good, F.col("value")).alias("line"),
         F.when(F.col("clean_reason").isNotNull(), F.lit("clean"))
         .when(F.col("_reason").isNotNull(), F.lit("record"))
         .alias("stage"),
-        reason.alias("reason"),
+        F.coalesce("clean_reason", "_reason").alias("reason"),
         F.substring(F.sha2("_key", 256), 1, 24).alias("id"),
-        api_id(F.col("path")).alias("api_id"),
-        "host",
-        "path",
-        F.try_variant_get("_request", "$.method", "string").alias("method"),
-        parameter_rows(F.try_variant_get("_request", "$.querystring", "map<string,string>")).alias(
-            "parameters"
-        ),
-        F.coalesce(F.try_variant_get("_request", "$.body", "string"), F.lit("")).alias("body"),
-        status_code(_field("_response", "status")).alias("http_status_code"),
-        F.try_variant_get("_response", "$.body", "string").alias("response_body"),
+        F.when(good, _as_text("_url")).alias("_url"),
+        F.when(good, _as_text("_method")).alias("method"),
+        F.when(good, parameter_rows(query)).alias("parameters"),
+        F.when(good, F.coalesce(_as_text("_body"), F.lit(""))).alias("body"),
+        F.when(good, status_code(F.col("_status"))).alias("http_status_code"),
+        F.when(good, _as_text("_response_body")).alias("response_body"),
         F.coalesce(
             F.when(millis.between(_MIN_MILLIS, _MAX_MILLIS), F.timestamp_millis(millis)),
             F.lit(received_at),
         ).alias("event_at"),
         "receive_time",
     )
+    df = with_url_parts(df, F.col("_url")).drop("_url")
+    return df.withColumn("path", path_template(F.col("path"))).withColumn(
+        "api_id", api_id(F.col("path"))
+    )
 
 
 def accepted(records: DataFrame) -> DataFrame:

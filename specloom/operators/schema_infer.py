@@ -10,100 +10,95 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from specloom.functions.json_values import as_array, items_type, json_type, producing_members, quoted
 from specloom.session import stage
 
 LEVELS_PER_ROUND = 6
 
-_EMPTY_MEMBERS = "cast(map() AS map<string,string>)"
 
+def _segment(text: str = "null", pending: str = "null", path: str = "null") -> str:
+    return (
+        f"named_struct('text', cast({text} AS string), 'pending', cast({pending} AS string), "
+        f"'path', cast({path} AS array<string>))"
+    )
 
-def _segment(text=None, pending=None, path=None, type_=None, items=None) -> Column:
-    def of(value, kind):
-        return (F.lit(value) if value is None or isinstance(value, str) else value).cast(kind)
 
-    return F.struct(
-        of(text, "string").alias("text"),
-        of(pending, "string").alias("pending"),
-        of(path, "array<string>").alias("path"),
-        of(type_, "string").alias("type"),
-        of(items, "string").alias("items_type"),
-    )
+def _literal(text: str) -> str:
+    return f"'{text}'"
 
 
-def _members(pending: Column) -> Column:
-    """Producing members of an object, or of an array's objects (the last one having a key wins)."""
-    value = F.parse_json(pending)
-    objects = F.when(pending.startswith("{"), F.array(value)).otherwise(as_array(value))
-    empty = F.expr(_EMPTY_MEMBERS)
-    texts = F.transform(
-        objects,
-        lambda o: F.coalesce(
-            producing_members(F.try_variant_get(o, "$", "map<string,variant>")), empty
-        ),
-    )
-    return F.aggregate(
-        texts,
-        empty,
-        lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m),
-    )
+# Telling members of every object of a list, by name; of equal names the last object's wins.
+_MEMBERS = """
+aggregate(
+  transform({objects}, o -> coalesce(
+    map_filter(
+      transform_values(try_variant_get(o, '$', 'map<string,variant>'), (k, v) -> to_json(v)),
+      (k, t) -> NOT (t = 'null' OR t = '[]' OR startswith(t, '[null'))),
+    cast(map() AS map<string,string>))),
+  cast(map() AS map<string,string>),
+  (acc, m) -> map_concat(map_filter(acc, (k, t) -> NOT map_contains_key(m, k)), m))
+"""
 
+# Members sorted by name, each as the text '"name":' and a pending value.
+_CHILDREN = f"""
+flatten(transform(array_sort(map_entries({{members}})), (e, i) -> array(
+  {_segment(text="concat(if(i > 0, ',', ''), regexp_replace(to_json(array(e.key)), r'^\\[|\\]$', ''), ':')")},
+  {_segment(pending="e.value", path="concat(s.path, array(e.key))")})))
+"""
 
-def _children(segment: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            F.array_sort(F.map_entries(_members(segment["pending"]))),
-            lambda e, i: F.array(
-                _segment(text=F.concat(F.when(i > 0, F.lit(",")).otherwise(F.lit("")), quoted(e["key"]), F.lit(":"))),
-                _segment(pending=e["value"], path=F.concat(segment["path"], F.array(e["key"]))),
-            ),
-        )
-    )
+_TYPE = """
+CASE substring({text}, {at}, 1)
+  WHEN '{{' THEN 'object' WHEN '[' THEN 'array' WHEN '"' THEN 'string'
+  WHEN 't' THEN 'boolean' WHEN 'f' THEN 'boolean' ELSE 'number' END
+"""
 
 
-def _expand(segment: Column) -> Column:
-    pending, path = segment["pending"], segment["path"]
-    kind, items = json_type(pending), items_type(pending)
+def _container(opening: str, objects: str, closing: str) -> str:
+    children = _CHILDREN.format(members=_MEMBERS.format(objects=objects))
+    head = _segment(text=_literal(opening), path="s.path")
+    return f"concat(array({head}), {children}, array({_segment(text=_literal(closing))}))"
 
-    def container(opening, closing, items_of=None):
-        return F.concat(
-            F.array(_segment(text=opening, path=path, type_=kind, items=items_of)),
-            _children(segment),
-            F.array(_segment(text=closing)),
-        )
 
-    return (
-        F.when(pending.isNull(), F.array(segment))
-        .when(kind == "object", container('{"properties":{', '},"type":"object"}'))
-        .when(
-            pending.startswith("[{"),
-            container('{"items":{"properties":{', '},"type":"object"},"type":"array"}', items),
-        )
-        .when(
-            kind == "array",
-            F.array(
-                _segment(
-                    text=F.concat(F.lit('{"items":{"type":"'), items, F.lit('"},"type":"array"}')),
-                    path=path,
-                    type_=kind,
-                    items=items,
-                )
-            ),
-        )
-        .otherwise(
-            F.array(
-                _segment(
-                    text=F.concat(F.lit('{"type":"'), kind, F.lit('"}')), path=path, type_=kind
-                )
-            )
-        )
-    )
+def _leaf(opening: str, type_: str, closing: str) -> str:
+    text = f"concat({_literal(opening)}, {type_}, {_literal(closing)})"
+    return f"array({_segment(text=text, path='s.path')})"
+
+
+_OBJECT, _OBJECT_END = '{"properties":{', '},"type":"object"}'
+_ARRAY, _ARRAY_END = '{"items":', ',"type":"array"}'
+_SCALAR, _SCALAR_END = '{"type":"', '"}'
+
+_EXPAND = f"""
+flatten(transform(_segments, s -> CASE
+  WHEN s.pending IS NULL THEN array(s)
+  WHEN startswith(s.pending, '{{') THEN
+    {_container(_OBJECT, "array(parse_json(s.pending))", _OBJECT_END)}
+  WHEN startswith(s.pending, '[{{') THEN
+    {_container(_ARRAY + _OBJECT, "try_variant_get(parse_json(s.pending), '$', 'array<variant>')", _OBJECT_END + _ARRAY_END)}
+  WHEN startswith(s.pending, '[') THEN
+    {_leaf(_ARRAY + _SCALAR, _TYPE.format(text="s.pending", at=2), _SCALAR_END + _ARRAY_END)}
+  ELSE {_leaf(_SCALAR, _TYPE.format(text="s.pending", at=1), _SCALAR_END)}
+END))
+"""
 
 
 def _expand_round(df: DataFrame) -> DataFrame:
     for _ in range(LEVELS_PER_ROUND):
-        df = df.withColumn("_segments", F.flatten(F.transform("_segments", _expand)))
-    return df.withColumn("_open", F.exists("_segments", lambda s: s["pending"].isNotNull()))
+        df = df.withColumn("_segments", F.expr(_EXPAND))
+    return df.withColumn("_open", F.expr("exists(_segments, s -> s.pending IS NOT NULL)"))
+
+
+def _fields() -> Column:
+    """The nodes among the segments; a node's text tells its type."""
+    return F.expr(f"""
+        transform(filter(_segments, s -> s.path IS NOT NULL), s -> named_struct(
+          'path', s.path,
+          'type', CASE WHEN startswith(s.text, '{_ARRAY}') THEN 'array'
+                       WHEN startswith(s.text, '{_OBJECT}') THEN 'object'
+                       ELSE substring_index(substring(s.text, {len(_SCALAR) + 1}), '"', 1) END,
+          'items_type', CASE WHEN startswith(s.text, '{_ARRAY}{_OBJECT}') THEN 'object'
+                             WHEN startswith(s.text, '{_ARRAY}') THEN
+                               substring_index(substring(s.text, {len(_ARRAY + _SCALAR) + 1}), '"', 1) END))
+    """)
 
 
 def infer_schemas(values: DataFrame, value: str = "value", root: str = "key") -> DataFrame:
@@ -113,22 +108,18 @@ def infer_schemas(values: DataFrame, value: str = "value", root: str = "key") ->
     it as (path, type, items_type), the path starting with column ``root``. Any depth is
     handled: rows still open after a round go into another one.
     """
-    todo = values.withColumn(
-        "_segments", F.array(_segment(pending=F.col(value), path=F.array(F.col(root))))
-    ).drop(value)
+    kept = [c for c in values.columns if c != value]
+    start = F.expr(f"array({_segment(pending=value, path=f'array({root})')})")
+    todo = values.select(*kept, start.alias("_segments"))
     done = []
     while True:
         todo = stage(_expand_round(todo), "schemas")
-        done.append(todo.where(~F.col("_open")))
+        done.append(todo.where("NOT _open"))
         todo = todo.where("_open").drop("_open")
         if todo.isEmpty():
             break
-    segments = reduce(DataFrame.unionByName, [d.drop("_open") for d in done])
-    return segments.select(
-        *[c for c in values.columns if c != value],
-        F.array_join(F.transform("_segments", lambda s: s["text"]), "").alias("schema"),
-        F.transform(
-            F.filter("_segments", lambda s: s["type"].isNotNull()),
-            lambda s: F.struct(s["path"], s["type"], s["items_type"]),
-        ).alias("fields"),
+    return reduce(DataFrame.unionByName, [d.drop("_open") for d in done]).select(
+        *kept,
+        F.expr("array_join(transform(_segments, s -> s.text), '')").alias("schema"),
+        _fields().alias("fields"),
     )
