@@ -61,7 +61,7 @@ def update_many(df: DataFrame, cond: Column, values: Mapping, now: datetime) ->
     return _assign(df, F.coalesce(cond, F.lit(False)), values, now)
 
 
-def modified_count(df: DataFrame, cond: Column, values: Mapping, one: bool) -> DataFrame:
+def modified_count(df: DataFrame, cond: Column, one: bool) -> DataFrame:
     """How many rows a change modifies: the matches, at most one if only the first is meant."""
     matched = df.where(cond).agg(F.count("*").alias("n"))
     return matched.select((F.least("n", F.lit(1)) if one else F.col("n")).alias("modified"))
