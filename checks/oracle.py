@@ -28,8 +28,8 @@ e AS (
   SELECT *, event_id % 100 AS h,
     event_type IN ('purchase', 'signup') AS w,
     substr(sha256(CAST(event_id AS VARCHAR)), 1, 24) AS sid,
-    epoch_ms(ts) * 1000 AS us,
-    lpad(CAST(epoch_ms(ts) AS VARCHAR), 15, '0') || sha256(CAST(event_id AS VARCHAR)) AS ord,
+    epoch_us(ts) // 1000 * 1000 AS us,
+    lpad(CAST(epoch_us(ts) // 1000 AS VARCHAR), 15, '0') || sha256(CAST(event_id AS VARCHAR)) AS ord,
     '/v1/' || CASE WHEN event_type IN ('purchase', 'signup') THEN 'private/' ELSE '' END
       || event_type || '/' || CASE WHEN event_id % 10 = 4 THEN '{{uuid}}' ELSE '{{id}}' END
       || CASE WHEN event_id % 3 = 0 THEN ':confirm' ELSE '' END AS path,
@@ -117,7 +117,7 @@ SELECT path, p[1] AS field, p[2] AS type, p[3] AS items_type FROM n
 
 _PARAMETERS = """
 p AS (
-  SELECT a.*, q.name, q.type, q.value FROM a, LATERAL (
+  SELECT a.* EXCLUDE (value), q.name, q.type, q.value FROM a, LATERAL (
     SELECT 'limit' AS name, 'integer' AS type, '20' AS value
     UNION ALL SELECT 'page', 'integer', CAST(a.event_id % 7 AS VARCHAR)
     UNION ALL SELECT 'q', 'string', 'x y' WHERE a.event_id % 4 = 0
@@ -138,16 +138,16 @@ def _documents(order: str) -> str:
 pl AS (SELECT api_id, string_agg('{{"in":"query","name":"' || name || '","required":false,"schema":{{"type":"' || type || '"}}}}', ',' ORDER BY name) AS l
        FROM (SELECT DISTINCT api_id, name, type FROM p) GROUP BY api_id),
 rs AS (SELECT api_id, string_agg('"' || key || '":' || schema, ',' ORDER BY key) AS l FROM win GROUP BY api_id),
-some AS (SELECT DISTINCT api_id FROM ok)
+with_body AS (SELECT DISTINCT api_id FROM ok)
 SELECT api.api_id, api.path, api.method,
   '{head}' || '"' || api.path || '":{{"' || lower(api.method) || '":{{"parameters":[' || pl.l || ']'
   || CASE WHEN api.method = 'POST' THEN ',{request}' ELSE '' END
-  || CASE WHEN some.api_id IS NULL THEN '' ELSE
+  || CASE WHEN with_body.api_id IS NULL THEN '' ELSE
        ',"responses":{{"200":{{"content":{{"application/json":{{"schema":{{"properties":{{' || coalesce(rs.l, '')
        || '}},"type":"object"}}}}}},"description":"Success"}}}}' END
   || CASE WHEN api.path LIKE '%private%' THEN ',"security":[{{"Bearer":[]}}]' ELSE '' END
   || '}}}}}}{tail}' AS document
-FROM api JOIN pl USING (api_id) LEFT JOIN rs USING (api_id) LEFT JOIN some USING (api_id)
+FROM api JOIN pl USING (api_id) LEFT JOIN rs USING (api_id) LEFT JOIN with_body USING (api_id)
 """
 
 
@@ -206,7 +206,7 @@ SQL = {
     "path_template": _with(_E) + """
         SELECT 'page' AS source, CAST(page_id AS VARCHAR) AS id,
           list_aggregate(list_transform(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'),
-            s -> CASE WHEN regexp_full_match(s, '[+-]?[0-9]{1,18}') THEN '{id}' ELSE s END), 'string_agg', '/') AS template
+            lambda s: CASE WHEN regexp_full_match(s, '[+-]?[0-9]{1,18}') THEN '{id}' ELSE s END), 'string_agg', '/') AS template
         FROM pages UNION ALL SELECT 'log', sid, path FROM a""",
     "param_rows": _with(_E, _PARAMETERS) + """
         SELECT sid AS id, name, type, value, 'query' AS "in", false AS required FROM p""",
@@ -343,7 +343,7 @@ _VALUE = "CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END + length(CAST(value AS VA
 SQL["response_samples"] = _with(_E) + f"""
     SELECT sid AS id, api_id, {_MOST} AS http_status_code, us AS event_at,
       CASE WHEN event_id % 13 = 0 THEN 0 ELSE CASE event_id % 23
-        WHEN 5 THEN 10 WHEN 6 THEN 5 WHEN 7 THEN 4 WHEN 8 THEN 1 WHEN 9 THEN 12 WHEN 10 THEN 17 WHEN 12 THEN 65
+        WHEN 5 THEN 10 WHEN 6 THEN 5 WHEN 7 THEN 4 WHEN 8 THEN 1 WHEN 9 THEN 12 WHEN 10 THEN 17 WHEN 12 THEN 63
         ELSE length('{{"id":' || event_id || ',"value":') + {_VALUE}
           + CASE WHEN event_type = 'error' THEN length(',"error":"broken \\"pipe\\""') ELSE 0 END
           + CASE WHEN event_id % 2 = 0 THEN length(',"user":{{"id":1,"tier":"gold"}}') ELSE length(',"user":{{"id":1,"flag":true}}') END

@@ -83,6 +83,9 @@ def parse_records(
     Accepted rows have a null ``reason``; refused rows keep their ``line``. ``key``
     identifies a line for its id; by default file and content do, so a retried task
     assigns the same ids. ``received_at`` stands in for a missing event time.
+
+    Stage the result before filtering it: a filter on ``reason`` would be pushed below the
+    projections, repeating the parsing inside the predicate.
     """
     key = F.concat_ws("\n", "file", "value") if key is None else key
     df = with_clean_text(lines.withColumn("_key", key), "value", max_line_bytes)
