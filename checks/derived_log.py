@@ -5,6 +5,7 @@ what a correct engine must find without reading the log. ``event_id % 100`` sele
 line is distorted; ``event_id % 23`` selects unusual response bodies.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -178,6 +179,7 @@ def write_archive(lines: DataFrame, root: str, service: str = "proxy") -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     base = hadoop.Path(staging)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    moves = []
     for day in fs.listStatus(base):
         if not day.isDirectory():
             continue
@@ -185,4 +187,6 @@ def write_archive(lines: DataFrame, root: str, service: str = "proxy") -> None:
         fs.mkdirs(hadoop.Path(target))
         for hour in fs.listStatus(day.getPath()):
             name = hour.getPath().getName().removeprefix("hour=")
-            fs.rename(hour.getPath(), hadoop.Path(f"{target}/{name}"))
+            moves.append((hour.getPath(), hadoop.Path(f"{target}/{name}")))
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda move: fs.rename(*move), moves))

@@ -25,40 +25,47 @@ def _entry(kind: str, key=None, value=None) -> Column:
     )
 
 
-def body_entries(body: Column) -> Column:
+def body_entries(body: Column, members: Column) -> Column:
     """A parsed body as entries: 'body' once if accepted, then 'key' per telling member.
 
-    An array or null is a body without members; a scalar, or text that is not one JSON
-    value (null here), is 'rejected'.
+    ``members`` is the body's member map, null unless it is an object. An array or null is a
+    body without members; a scalar, or text that is not one JSON value (null here), is
+    'rejected'.
     """
-    members = F.transform(
-        F.map_entries(producing_members(as_object(body))),
+    keys = F.transform(
+        F.map_entries(producing_members(members)),
         lambda e: _entry("key", e["key"], shape(e["value"])),
     )
     return (
-        F.when(as_object(body).isNotNull(), F.concat(F.array(_entry("body")), members))
+        F.when(members.isNotNull(), F.concat(F.array(_entry("body")), keys))
         .when(F.is_variant_null(body) | as_array(body).isNotNull(), F.array(_entry("body")))
         .otherwise(F.array(_entry("rejected")))
         .cast(_ENTRY)
     )
 
 
+def _parsed_bodies(samples: DataFrame, *columns: str) -> DataFrame:
+    """Non-empty bodies as ``_body``, with the member map of objects as ``_members``."""
+    bodies = samples.where(F.col("body") != "").select(*columns, "body")
+    parsed = with_strict_json(bodies, "body", "_body")
+    return parsed.withColumn("_members", as_object(F.col("_body")))
+
+
 def fold_bodies(samples: DataFrame, by: list[str]) -> DataFrame:
     """Oldest telling value per (``by``, key), plus 'body' and 'rejected' counts per ``by``.
 
     ``samples`` has the ``by`` columns, ``id``, ``event_at`` and ``body``. One pass and one
     shuffle; a hot API leaves each task as one row per key.
     """
-    parsed = with_strict_json(
-        samples.where(F.col("body") != "").select(*by, "event_at", "id", "body"), "body", "_body"
+    parsed = _parsed_bodies(samples, *by, "event_at", "id")
+    entries = parsed.select(
+        *by, "event_at", "id", F.explode(body_entries(F.col("_body"), F.col("_members"))).alias("e")
     )
-    entries = parsed.select(*by, "event_at", "id", F.explode(body_entries(F.col("_body"))).alias("e"))
     return (
         entries.select(*by, "e.kind", "e.key", "e.value", "event_at", "id")
         .groupBy(*by, "kind", "key")
         .agg(
             F.min_by("value", F.struct("event_at", "id")).alias("value"),
-            F.min(F.struct("event_at", "id")).alias("first"),
             F.count("*").alias("n"),
         )
     )
@@ -66,11 +73,13 @@ def fold_bodies(samples: DataFrame, by: list[str]) -> DataFrame:
 
 def rejected_bodies(samples: DataFrame, stage_name: str) -> DataFrame:
     """Quarantine rows for the bodies the fold rejects."""
-    parsed = with_strict_json(samples.where(F.col("body") != "").select("id", "body"), "body", "_body")
-    bad = as_object(F.col("_body")).isNull() & as_array(F.col("_body")).isNull() & ~F.coalesce(
-        F.is_variant_null("_body"), F.lit(False)
+    parsed = _parsed_bodies(samples, "id")
+    accepted = (
+        F.col("_members").isNotNull()
+        | as_array(F.col("_body")).isNotNull()
+        | F.is_variant_null("_body")
     )
-    return parsed.where(F.col("_body").isNull() | bad).select(
+    return parsed.where(~F.coalesce(accepted, F.lit(False))).select(
         F.lit(None).cast("string").alias("file"),
         F.col("body").alias("line"),
         F.lit(stage_name).alias("stage"),

@@ -22,14 +22,20 @@ def hour_paths(df: DataFrame, start: Column, end: Column, service: str = SERVICE
 
 
 def existing_folders(spark: SparkSession, root: str, folders: list[str]) -> list[str]:
-    """Those of the folders that exist under ``root``, as full paths."""
-    jvm = spark.sparkContext._jvm
+    """Those of the folders that exist under ``root``, as full paths. Lists each parent once."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    children: dict[str, set[str]] = {}
     found = []
     for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{folder}")
-        if path.getFileSystem(conf).exists(path):
-            found.append(path.toString())
+        parent, name = f"{root.rstrip('/')}/{folder.rstrip('/')}".rsplit("/", 1)
+        if parent not in children:
+            path = hadoop.Path(parent)
+            fs = path.getFileSystem(conf)
+            listed = fs.listStatus(path) if fs.exists(path) else []
+            children[parent] = {s.getPath().getName() for s in listed}
+        if name in children[parent]:
+            found.append(f"{parent}/{name}")
     return found
 
 
