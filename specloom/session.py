@@ -17,13 +17,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only a local session may fall back to a temporary one."""
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    """The folder all executors share: the configured one, or the context's checkpoint folder.
+
+    Only a local session without either, as in tests, falls back to a temporary folder.
+    """
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="specloom-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="specloom-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 

@@ -1,6 +1,7 @@
 """Scans of an hourly log archive and of a local folder of compressed logs."""
 
 import gzip
+import io
 import zlib
 from datetime import datetime
 
@@ -42,7 +43,8 @@ def existing_folders(spark: SparkSession, root: str, folders: list[str]) -> list
 def read_lines(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
     """(file, value) of the ``*.gz`` files below the paths; lines end at a newline only.
 
-    A gzip file cannot be split, so it is one task; ``spread`` the lines if files are few.
+    A gzip file cannot be split, so it is one task; ``spread`` the lines if files are few. A
+    damaged file ends where its readable part does, and the job goes on.
     """
     if not paths:
         return spark.createDataFrame([], _LINES)
@@ -50,6 +52,7 @@ def read_lines(spark: SparkSession, paths: list[str], recursive: bool = True) ->
         spark.read.option("pathGlobFilter", "*.gz")
         .option("recursiveFileLookup", str(recursive).lower())
         .option("lineSep", "\n")
+        .option("ignoreCorruptFiles", "true")
         .text(paths)
         .select(F.col("_metadata.file_path").alias("file"), "value")
     )
@@ -107,17 +110,14 @@ def _inflate(batches):
 
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            stream = zlib.decompressobj(wbits=31)
-            try:
-                data = gzip.decompress(content)
-            except (OSError, EOFError, zlib.error):
+            stream = gzip.GzipFile(fileobj=io.BytesIO(content))
+            more = True
+            while more:
+                part = []
                 try:
-                    data = stream.decompress(content)
-                except zlib.error:
-                    data = b""
-            lines = data.split(b"\n")
-            if lines and lines[-1] == b"":
-                lines.pop()
-            for i in range(0, len(lines), 10000):
-                part = [x.decode("utf-8", "replace") for x in lines[i : i + 10000]]
+                    while len(part) < 10000 and (line := stream.readline()):
+                        part.append(line.removesuffix(b"\n").decode("utf-8", "replace"))
+                    more = len(part) == 10000
+                except (OSError, EOFError, zlib.error):
+                    more = False
                 yield pa.RecordBatch.from_pydict({"file": [path] * len(part), "value": part})

@@ -16,6 +16,7 @@ def log_stream(spark: SparkSession, root: str, max_files: int | None = None) ->
         spark.readStream.option("pathGlobFilter", "*.gz")
         .option("recursiveFileLookup", "true")
         .option("lineSep", "\n")
+        .option("ignoreCorruptFiles", "true")
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
