@@ -170,7 +170,7 @@ def body_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rejected_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = catalog.response_samples(log_records(spark, sf_dir), NOW)
-    bad = schema_fold.rejected_bodies(samples, "response body")
+    bad = schema_fold.rejected_bodies(samples.withColumn("side", F.lit("response")))
     return bad.groupBy("line", "stage").agg(F.count("*").alias("n"))
 
 

@@ -71,9 +71,9 @@ def fold_bodies(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def rejected_bodies(samples: DataFrame, stage_name: str) -> DataFrame:
-    """Quarantine rows for the bodies the fold rejects."""
-    parsed = _parsed_bodies(samples, "id")
+def rejected_bodies(samples: DataFrame) -> DataFrame:
+    """Quarantine rows for the bodies the fold rejects; ``side`` tells whose body it is."""
+    parsed = _parsed_bodies(samples, "side")
     accepted = (
         F.col("_members").isNotNull()
         | as_array(F.col("_body")).isNotNull()
@@ -82,7 +82,7 @@ def rejected_bodies(samples: DataFrame, stage_name: str) -> DataFrame:
     return parsed.where(~F.coalesce(accepted, F.lit(False))).select(
         F.lit(None).cast("string").alias("file"),
         F.col("body").alias("line"),
-        F.lit(stage_name).alias("stage"),
+        F.concat("side", F.lit(" body")).alias("stage"),
         F.lit("body is not a JSON object, array or null").alias("reason"),
     )
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specloom.session import stage
 
-LEVELS_PER_ROUND = 6
+LEVELS_PER_ROUND = 5
 
 
 def _segment(text: str = "null", pending: str = "null", path: str = "null") -> str:

@@ -16,7 +16,8 @@ from specloom.schemas import conform
 from specloom.session import configure, stage
 from specloom.sources.tables import Warehouse
 
-_BY = ["api_id"]
+_BY = ["side", "api_id"]
+REQUEST, RESPONSE = "request", "response"
 
 
 class Built(NamedTuple):
@@ -27,27 +28,27 @@ class Built(NamedTuple):
 
 
 def body_schemas(due: DataFrame, window: DataFrame, stored: DataFrame) -> DataFrame:
-    """(api_id, body_schema, has_body, rejected) for every due API.
+    """(side, api_id, body_schema, has_body, rejected) for every due side of an API.
 
-    Without an accepted body, now or earlier, the schema is empty; with one it is at least
-    an object without properties.
+    Request and response bodies go through one pass. Without an accepted body, now or
+    earlier, the schema is empty; with one it is at least an object without properties.
     """
     folded = stage(fold_bodies(window, _BY), "fold")
-    counts = folded.where(F.col("kind") != "key").groupBy("api_id").agg(
+    counts = folded.where(F.col("kind") != "key").groupBy(*_BY).agg(
         F.max(F.col("kind") == "body").alias("_accepted"),
         F.sum(F.when(F.col("kind") == "rejected", F.col("n"))).alias("rejected"),
     )
-    seed = stored.join(due.select("api_id"), "api_id", "left_semi")
+    seed = stored.join(due.select(*_BY), _BY, "left_semi")
     keys = merge_schemas(stored_keys(seed, _BY), winning_schemas(folded, _BY), _BY)
-    had_body = seed.select("api_id", F.col("has_body").alias("_had"))
+    had_body = seed.select(*_BY, F.col("has_body").alias("_had"))
     accepted = F.coalesce("_accepted", F.lit(False)) | F.coalesce("_had", F.lit(False))
     return (
-        due.select("api_id")
-        .join(render_bodies(keys, _BY), "api_id", "left")
-        .join(counts, "api_id", "left")
-        .join(had_body, "api_id", "left")
+        due.select(*_BY)
+        .join(render_bodies(keys, _BY), _BY, "left")
+        .join(counts, _BY, "left")
+        .join(had_body, _BY, "left")
         .select(
-            "api_id",
+            *_BY,
             F.coalesce(
                 "body_schema",
                 F.when(accepted, object_schema(F.lit(""))),
@@ -59,9 +60,16 @@ def body_schemas(due: DataFrame, window: DataFrame, stored: DataFrame) -> DataFr
     )
 
 
+def _both(request: DataFrame, response: DataFrame, *columns: str) -> DataFrame:
+    """Rows of both sides with a ``side`` column."""
+    return request.select(F.lit(REQUEST).alias("side"), *columns).unionByName(
+        response.select(F.lit(RESPONSE).alias("side"), *columns)
+    )
+
+
 def _store(structures: DataFrame, items: DataFrame, side: str, now: datetime) -> DataFrame:
     new_id = F.substring(F.sha2(F.concat_ws("/", F.lit(side), "api_id"), 256), 1, 24)
-    return upsert(structures, items, _BY, now, new_id)
+    return upsert(structures, items, ["api_id"], now, new_id)
 
 
 def build_structures(
@@ -75,34 +83,52 @@ def build_structures(
 ) -> Built:
     """Next state of catalog and structures. The cursor of every live API moves to ``now``."""
     configure(apis.sparkSession)
-    due_req = due_apis(apis, sample_requests, gate)
-    due_resp = due_apis(apis, sample_responses, gate)
+    # Staged: used several times, and as a plain small table it is what a join broadcasts.
+    due = stage(
+        _both(
+            due_apis(apis, sample_requests, gate),
+            due_apis(apis, sample_responses, gate),
+            "api_id",
+            "cursor",
+        ),
+        "due",
+    )
+    due_req = due.where(F.col("side") == REQUEST).drop("side")
+    due_resp = due.where(F.col("side") == RESPONSE).drop("side")
     window_req = window_samples(sample_requests, due_req)
     window_resp = window_samples(sample_responses, due_resp)
-
+    window = _both(window_req, window_resp, "api_id", "id", "event_at", "body")
+    schemas = body_schemas(
+        due,
+        window,
+        _both(live(request_structures), live(response_structures), "api_id", "body_schema", "has_body"),
+    )
     parameters = merge_parameters(
         request_structures.join(due_req, "api_id", "left_semi"), window_req
-    )
+    ).withColumn("side", F.lit(REQUEST))
     no_parameters = F.expr("array()").cast(request_structures.schema["parameters"].dataType)
-    req = stage(
-        body_schemas(due_req, window_req, live(request_structures))
-        .join(parameters, "api_id", "left")
-        .withColumn("parameters", F.coalesce("parameters", no_parameters)),
-        "request-structures",
+    structures = stage(
+        schemas.join(parameters, _BY, "left").withColumn(
+            "parameters", F.coalesce("parameters", no_parameters)
+        ),
+        "structures",
     )
-    resp = stage(body_schemas(due_resp, window_resp, live(response_structures)), "response-structures")
+
+    def of(side: str) -> DataFrame:
+        return structures.where(F.col("side") == side).drop("side", "rejected")
+
     return Built(
         advance_cursor(apis, live(apis).select(F.col("id").alias("api_id")), now),
-        _store(request_structures, req.drop("rejected"), "request", now),
-        _store(response_structures, resp.drop("rejected"), "response", now),
-        _rejected(req, window_req, "request").unionByName(_rejected(resp, window_resp, "response")),
+        _store(request_structures, of(REQUEST), REQUEST, now),
+        _store(response_structures, of(RESPONSE).drop("parameters"), RESPONSE, now),
+        _rejected(structures, window),
     )
 
 
-def _rejected(counts: DataFrame, window: DataFrame, side: str) -> DataFrame:
+def _rejected(structures: DataFrame, window: DataFrame) -> DataFrame:
     """Quarantine of bodies; only APIs the fold found some in are read again."""
-    some = counts.where(F.col("rejected") > 0).select("api_id")
-    return rejected_bodies(window.join(some, "api_id", "left_semi"), f"{side} body")
+    some = structures.where(F.col("rejected") > 0).select(*_BY)
+    return rejected_bodies(window.join(some, _BY, "left_semi"))
 
 
 def run_build(

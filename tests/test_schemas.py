@@ -94,13 +94,17 @@ def _samples(spark, rows):
     )
 
 
+def _side(df):
+    return df.withColumn("side", F.lit("request"))
+
+
 def test_body_kinds(spark):
     bodies = {"{}": "body", "[]": "body", "null": "body", "[[1]]": "body", "3": "rejected", "{} x": "rejected",
               '{"a":1e400}': "rejected", '"s"': "rejected"}
     samples = _samples(spark, [(b, 0, b) for b in bodies] + [("none", 0, "")])
     got = {r.api_id: r.kind for r in fold_bodies(samples, ["api_id"]).collect()}
     assert got == bodies
-    bad = {r.line for r in rejected_bodies(samples, "x").collect()}
+    bad = {r.line for r in rejected_bodies(samples.withColumn("side", F.lit("x"))).collect()}
     assert bad == {b for b, kind in bodies.items() if kind == "rejected"}
 
 
@@ -146,14 +150,15 @@ def test_fold_is_oldest_wins_over_stored(spark):
         expected[f"api{a}"] = obj(**state)
     due = spark.createDataFrame([(k,) for k in expected], "api_id string")
     old = spark.createDataFrame(stored, "api_id string, body_schema string, has_body boolean")
-    rows = body_schemas(due, _samples(spark, rows), old).collect()
+    rows = body_schemas(_side(due), _side(_samples(spark, rows)), _side(old)).collect()
     assert {r.api_id: json.loads(r.body_schema) for r in rows} == expected
 
 
 def test_empty_schemas(spark):
     due = spark.createDataFrame([("none",), ("blank",), ("array",)], "api_id string")
     old = spark.createDataFrame([], "api_id string, body_schema string, has_body boolean")
-    rows = body_schemas(due, _samples(spark, [("blank", 0, ""), ("array", 0, "[1]")]), old).collect()
+    samples = _samples(spark, [("blank", 0, ""), ("array", 0, "[1]")])
+    rows = body_schemas(_side(due), _side(samples), _side(old)).collect()
     assert {r.api_id: (r.body_schema, r.has_body) for r in rows} == {
         "none": ("{}", False), "blank": ("{}", False), "array": ('{"properties":{},"type":"object"}', True),
     }
