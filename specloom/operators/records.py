@@ -8,6 +8,7 @@ from specloom.functions.json_values import as_object, is_absent, is_string, with
 from specloom.functions.parameters import parameter_rows
 from specloom.functions.text import ARCHIVE_LINE_BYTES, with_clean_text
 from specloom.functions.urls import api_id, path_template, with_url_parts
+from specloom.session import settled
 
 # Epoch milliseconds of the years 1 to 9999.
 _MIN_MILLIS, _MAX_MILLIS = -62135596800000, 253402300799999
@@ -84,8 +85,7 @@ def parse_records(
     identifies a line for its id; by default file and content do, so a retried task
     assigns the same ids. ``received_at`` stands in for a missing event time.
 
-    Stage the result before filtering it: a filter on ``reason`` would be pushed below the
-    projections, repeating the parsing inside the predicate.
+    Stage the result if it is used more than once.
     """
     key = F.concat_ws("\n", "file", "value") if key is None else key
     df = with_clean_text(lines.withColumn("_key", key), "value", max_line_bytes)
@@ -129,9 +129,10 @@ def parse_records(
         "receive_time",
     )
     df = with_url_parts(df, F.col("_url")).drop("_url")
-    return df.withColumn("path", path_template(F.col("path"))).withColumn(
+    df = df.withColumn("path", path_template(F.col("path"))).withColumn(
         "api_id", api_id(F.col("path"))
     )
+    return settled(df)
 
 
 def accepted(records: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from specloom.functions.json_values import (
     as_array, as_object, producing_members, quoted, shape, with_strict_json,
 )
 from specloom.operators.schema_infer import infer_schemas
+from specloom.session import settled
 
 EMPTY_SCHEMA = "{}"
 _ENTRY = "array<struct<kind:string,key:string,value:string>>"
@@ -73,7 +74,7 @@ def fold_bodies(samples: DataFrame, by: list[str]) -> DataFrame:
 
 def rejected_bodies(samples: DataFrame) -> DataFrame:
     """Quarantine rows for the bodies the fold rejects; ``side`` tells whose body it is."""
-    parsed = _parsed_bodies(samples, "side")
+    parsed = settled(_parsed_bodies(samples, "side"))
     accepted = (
         F.col("_members").isNotNull()
         | as_array(F.col("_body")).isNotNull()

@@ -5,7 +5,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from specloom.operators.gate import advance_cursor, due_apis, live, unmatched_ids, window_samples
+from specloom.operators.gate import (
+    advance_cursor, created_between, due_apis, live, unmatched_ids, window_samples,
+)
 from specloom.operators.parameter_merge import merge_parameters
 from specloom.operators.schema_fold import (
     EMPTY_SCHEMA, fold_bodies, merge_schemas, object_schema, rejected_bodies, render_bodies,
@@ -95,8 +97,8 @@ def build_structures(
     )
     due_req = due.where(F.col("side") == REQUEST).drop("side")
     due_resp = due.where(F.col("side") == RESPONSE).drop("side")
-    window_req = window_samples(sample_requests, due_req)
-    window_resp = window_samples(sample_responses, due_resp)
+    window_req = window_samples(_since_oldest_cursor(sample_requests, due_req), due_req)
+    window_resp = window_samples(_since_oldest_cursor(sample_responses, due_resp), due_resp)
     window = _both(window_req, window_resp, "api_id", "id", "event_at", "body")
     schemas = body_schemas(
         due,
@@ -125,6 +127,19 @@ def build_structures(
     )
 
 
+def _since_oldest_cursor(samples: DataFrame, due: DataFrame) -> DataFrame:
+    """Samples without those before every cursor, as a range the scan can prune by.
+
+    One number passes the driver. If some API has no cursor, all samples may count.
+    """
+    oldest = due.agg(
+        F.when(F.count_if(F.col("cursor").isNull()) == 0, F.unix_micros(F.min("cursor"))).alias("us")
+    ).first().us
+    if oldest is None:
+        return samples
+    return samples.where(created_between(F.timestamp_micros(F.lit(oldest))))
+
+
 def _rejected(structures: DataFrame, window: DataFrame) -> DataFrame:
     """Quarantine of bodies; only APIs the fold found some in are read again."""
     some = structures.where(F.col("rejected") > 0).select(*_BY)

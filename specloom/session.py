@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -44,3 +44,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, past which a filter is not pushed down.
+
+    A filter on a derived column is otherwise moved below all projections with their
+    expressions inlined, so that long chains are evaluated many times over.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from specloom.operators.documents import api_documents
-from specloom.plans.build import run_build
+from specloom.operators.records import accepted, parse_records
+from specloom.plans.build import build_structures, run_build
 from specloom.plans.documents import load_document, load_documents
 from specloom.plans.ingest import ingest_archive, ingest_folder
 from specloom.schemas import conform, empty_table
@@ -74,6 +75,27 @@ def test_folder_scan_goes_by_content(spark, tmp_path):
     assert {"one", "two", "three", "line 0"} <= values and "skip" not in values
 
 
+def test_filter_on_unstaged_records_stays_above_the_parsing(spark):
+    lines = spark.createDataFrame([("f", line("/a/1", T0, "{}")), ("f", "x")], "file string, value string")
+    good = accepted(parse_records(lines, NOW))
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter isnull(reason") < plan.index("Generate inline")
+    assert [r.path for r in good.collect()] == ["/a/{id}"]
+
+
+def test_build_reads_only_samples_since_the_oldest_cursor(spark):
+    apis = conform(
+        spark.createDataFrame([("a", T0), ("b", NOW)], "id string, latest_build_structure timestamp"), "apis")
+    sample = "api_id string, id string, created_at timestamp, event_at timestamp, body string"
+    rows = [("a", "1", T0 - timedelta(1), T0, '{"old":1}'), ("a", "2", T0, T0, '{"x":1}'), ("b", "3", T0, T0, '{"y":1}')]
+    samples = spark.createDataFrame(rows, sample)
+    built = build_structures(
+        apis, conform(samples, "sample_requests"), conform(samples, "sample_responses"),
+        empty_table(spark, "request_structures"), empty_table(spark, "response_structures"), NOW)
+    schemas = {r.api_id: r.body_schema for r in built.response_structures.collect()}
+    assert schemas == {"a": '{"properties":{"x":{"type":"number"}},"type":"object"}'}
+
+
 def documents(warehouse):
     return {r.path: json.loads(r.document) for r in load_documents(warehouse).collect()}
 
