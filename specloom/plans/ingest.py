@@ -8,7 +8,7 @@ from specloom.functions.text import ARCHIVE_LINE_BYTES, LOCAL_LINE_BYTES
 from specloom.operators.catalog import discover_apis, new_apis, request_samples, response_samples
 from specloom.operators.records import parse_records, quarantined
 from specloom.session import configure, stage
-from specloom.sources.archive import read_archive, read_folder
+from specloom.sources.archive import read_archive, read_folder, spread
 from specloom.sources.tables import Warehouse
 
 
@@ -40,11 +40,23 @@ def _step(batch: int) -> int:
 
 
 def ingest_archive(
-    spark: SparkSession, root: str, start: datetime, end: datetime, warehouse: Warehouse, now: datetime, batch: int
+    spark: SparkSession,
+    root: str,
+    start: datetime,
+    end: datetime,
+    warehouse: Warehouse,
+    now: datetime,
+    batch: int,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Ingest the hour folders of a time range; no folder or file is a success without rows."""
+    """Ingest the hour folders of a time range; no folder or file is a success without rows.
+
+    ``partitions`` spreads the lines of few, large files before they are parsed.
+    """
     configure(spark)
-    return ingest_lines(read_archive(spark, root, start, end), warehouse, now, batch)
+    lines = read_archive(spark, root, start, end)
+    lines = lines if partitions is None else spread(lines, partitions)
+    return ingest_lines(lines, warehouse, now, batch)
 
 
 def ingest_folder(

@@ -114,7 +114,7 @@ def test_jobs_end_to_end(spark, tmp_path):
         '{"broken"',
     ])
     warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
-    ingest_archive(spark, str(tmp_path), T0, T0, warehouse, NOW, batch=1)
+    ingest_archive(spark, str(tmp_path), T0, T0, warehouse, NOW, batch=1, partitions=3)
     run_build(warehouse, NOW + timedelta(seconds=1), version=3)
     got = documents(warehouse)
     path = "/v1/private/list/{id}"
