@@ -1,12 +1,16 @@
 """Session settings the engine relies on, and staging of intermediate results."""
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_shipped: set[str] = set()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the SQL options that decide results (not performance) on a session."""
@@ -53,3 +57,20 @@ def settled(df: DataFrame) -> DataFrame:
     expressions inlined, so that long chains are evaluated many times over.
     """
     return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever it lies on the driver: once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="specloom-"), "specloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
