@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from specloom.llm.bin_packing import pack_documents
 from specloom.llm.token_counts import count_tokens
+from specloom.llm.token_files import read_documents, write_token_files
 from specloom.llm.url_filter import Rule, filter_urls
+from specloom.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
+END_ID = 2
+SEQUENCE_TOKENS = 1024
 URL_RULES = [
     Rule("net/", "block"),
     Rule("example.net/en/", "allow"),
@@ -32,10 +37,23 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID, SEQUENCE_TOKENS)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), END_ID, files)
+    return read_documents(spark, path, checksum=True)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op9_token_files": op9_token_files,
     }
 
 
