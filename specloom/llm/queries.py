@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from specloom.llm.bin_packing import pack_documents
+from specloom.llm.exact_dedup import mark_duplicates
 from specloom.llm.token_counts import count_tokens
 from specloom.llm.token_files import read_documents, write_token_files
 from specloom.llm.url_filter import Rule, filter_urls
@@ -41,6 +42,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID, SEQUENCE_TOKENS)
 
 
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark_duplicates(_table(spark, sf_dir, "documents"))
+    return marked.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -53,11 +59,20 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_exact_dedup": op8_exact_dedup,
         "op9_token_files": op9_token_files,
     }
 
 
 SQL: dict[str, str] = {
+    "op8_exact_dedup": """
+        WITH normal AS (
+            SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), grouped AS (
+            SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM normal
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM grouped
+    """,
     "op5_url_filters": r"""
         WITH rest AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
