@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import mark_duplicates
+from specloom.llm import language_id
 from specloom.llm.token_counts import count_tokens
 from specloom.llm.token_files import read_documents, write_token_files
 from specloom.llm.url_filter import Rule, filter_urls
@@ -29,6 +30,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_column: str = "doc_id") -> Column:
+    """Rows that no model learns from."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))
+
+
+def language_model(docs: DataFrame) -> language_id.Model:
+    return language_id.learn(docs.where(~held_out()))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_model(docs)).withColumn("held_out", held_out())
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -56,6 +71,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
         "op6_best_fit_packing": op6_best_fit_packing,
