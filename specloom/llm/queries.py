@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import mark_duplicates
 from specloom.llm import language_id
+from specloom.llm.ngram_join import link_documents
 from specloom.llm.token_counts import count_tokens
 from specloom.llm.token_files import read_documents, write_token_files
 from specloom.llm.url_filter import Rule, filter_urls
@@ -57,6 +58,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID, SEQUENCE_TOKENS)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_duplicates(_table(spark, sf_dir, "documents"))
     return marked.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -75,6 +80,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_ngram_join": op7_ngram_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_files": op9_token_files,
     }
