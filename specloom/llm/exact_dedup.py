@@ -17,8 +17,11 @@ from specloom.session import scratch_path, stage
 #: Settings of the state while the stream runs.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A partition's store is closed when its batch is done, so memory follows the running tasks, not the partitions.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
 }
 #: Bytes of keys that one micro-batch takes in at most.
 BATCH_BYTES = 64 << 30
