@@ -11,6 +11,7 @@ from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import mark_duplicates
 from specloom.llm import language_id
 from specloom.llm.ngram_join import link_documents
+from specloom.llm.suffix_dedup import remove_repeats
 from specloom.llm.token_counts import count_tokens
 from specloom.llm.token_files import read_documents, write_token_files
 from specloom.llm.url_filter import Rule, filter_urls
@@ -45,6 +46,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_model(docs)).withColumn("held_out", held_out())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -77,6 +82,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_url_filters": op5_url_filters,
         "op6_best_fit_packing": op6_best_fit_packing,
