@@ -195,9 +195,13 @@ def build(unit: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH) -> Gra
     return graph
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its squares stay in range; no cosine changes by that."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    # Scaled first, so that squares of very large or small components stay in range.
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = _scaled(vectors)
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -296,8 +300,8 @@ def search(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(k)[i].as_py() for k, c in enumerate(columns)}
-                vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
-                asked = np.frombuffer(row["asked"], "<f8").reshape(-1, vectors.shape[1])
+                vectors = _scaled(np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1))
+                asked = _scaled(np.frombuffer(row["asked"], "<f8").reshape(-1, vectors.shape[1]))
                 graph = stored_graph(
                     vectors, np.frombuffer(row["nodes"], "<i4"), np.frombuffer(row["links"], "<i4"), row["levels"]
                 )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import mark_duplicates
-from specloom.llm import language_id
+from specloom.llm import hnsw, language_id
 from specloom.llm.ngram_join import link_documents
 from specloom.llm.suffix_dedup import remove_repeats
 from specloom.llm.token_counts import count_tokens
@@ -32,6 +32,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return hnsw.search(hnsw.build_index(vectors, neighbours=5), vectors.where("vec_id % 50 = 0"), neighbours=5)
+
+
 def held_out(id_column: str = "doc_id") -> Column:
     """Rows that no model learns from."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))
@@ -81,6 +86,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nearest_neighbours": op1_nearest_neighbours,
         "op2_language_id": op2_language_id,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_token_counts": op4_token_counts,
