@@ -105,6 +105,15 @@ def mark_duplicates(
     return result.select(F.col("id").alias(id_column), "keep_id", "group_size", "kept", "digest")
 
 
+def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`mark_duplicates` keeps, with all their columns."""
+    kept = mark_duplicates(docs, id_column, text_column).where("kept").select(F.col(id_column).alias("_id"), F.col("digest").alias("_digest"))
+    hashed = docs.withColumn("_digest", sha256(lower_ascii(F.col(text_column))))
+    same = hashed[id_column].eqNullSafe(kept["_id"]) & (hashed["_digest"] == kept["_digest"])
+    # Rows that agree in id and text are left to the last step, which shares the join's partitions.
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, "_digest"]).drop("_digest")
+
+
 def _by_text(docs: DataFrame, keyed: DataFrame, clashes: DataFrame) -> DataFrame:
     """The same columns for rows whose digest stands for several texts: grouped by the texts themselves."""
     rows = stage(keyed.join(clashes, "digest").withColumn("row", F.monotonically_increasing_id()), "clashing")

@@ -185,6 +185,20 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return Model(languages, np.concatenate(centroids), np.array(owner), idf, np.array(floors))
 
 
+def _judge(known: Model, texts: list[str], letters: list[bool]) -> tuple[list[str], list[float], list[bool]]:
+    lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+    for a, b, counts in gram_counts(texts) if len(known.owner) else ():
+        cosine = unit_vectors(counts, known.idf) @ known.centroids.T
+        best, step = np.argmax(cosine, axis=1), _size_step(counts)
+        for i in range(a, b):
+            if letters[i]:
+                j = int(best[i - a])
+                value = float(cosine[i - a, j])
+                lang[i], score[i] = known.languages[known.owner[j]], min(1.0, max(0.0, value))
+                rejected[i] = bool(value < known.floors[j, step[i - a]])
+    return lang, score, rejected
+
+
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) of each row: the language of the nearest centroid and its cosine, 0 to 1.
 
@@ -202,19 +216,8 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     )
 
     def judge(batches):
-        known = shared.value
         for batch in batches:
-            texts, letters = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            lang, score, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            for a, b, counts in gram_counts(texts) if len(known.owner) else ():
-                cosine = unit_vectors(counts, known.idf) @ known.centroids.T
-                best, step = np.argmax(cosine, axis=1), _size_step(counts)
-                for i in range(a, b):
-                    if letters[i]:
-                        j = int(best[i - a])
-                        value = float(cosine[i - a, j])
-                        lang[i], score[i] = known.languages[known.owner[j]], min(1.0, max(0.0, value))
-                        rejected[i] = bool(value < known.floors[j, step[i - a]])
+            lang, score, rejected = _judge(shared.value, batch.column(1).to_pylist(), batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 schema.fieldNames(),
@@ -222,3 +225,20 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 
     text = F.col(text_column)
     return docs.select(F.col(id_column), letters_only(text), has_letter(text)).mapInArrow(judge, schema)
+
+
+def keep_known(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`predict` does not reject, with all their columns."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
+    width = len(docs.columns)
+
+    def keep(batches):
+        for batch in batches:
+            _, _, rejected = _judge(shared.value, batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())
+            kept = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
+            yield kept.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    text = F.col(text_column)
+    return docs.select("*", letters_only(text).alias("_letters"), has_letter(text).alias("_any")).mapInArrow(keep, docs.schema)

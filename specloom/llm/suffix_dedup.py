@@ -324,26 +324,26 @@ def _compare(length: int):
     return compare
 
 
-def _ordered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, key, text), key a long that ascends with the id; and the same with each key once.
+def _ordered(docs: DataFrame, id_column: str, text_column: str, others: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, text, others), key a long that ascends with the id; and (key, text) with each key once.
 
     Unique whole numbers are their own keys. Else a key is the place among the sorted (id, hash of the text).
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("id"), text.alias("text"))
+    rows = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.struct(*others).alias("others"))
     ids = docs.select(F.col(id_column).alias("id"))
     whole = dict(ids.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
     if whole and ids.where("id IS NULL").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty():
-        rows = rows.select("id", F.col("id").cast("long").alias("key"), "text")
-        return rows, rows
+        rows = rows.select("id", F.col("id").cast("long").alias("key"), "text", "others")
+        return rows, rows.select("key", "text")
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     places = stage(
         hashed.select("id", "text_hash").distinct().orderBy("id", "text_hash").withColumn("key", F.monotonically_increasing_id()),
         "places",
     )
     same = hashed["id"].eqNullSafe(places["id"]) & (hashed["text_hash"] == places["text_hash"])
-    rows = hashed.join(places, same).select(hashed["id"], "key", "text")
-    return rows, rows.dropDuplicates(["key"])
+    rows = hashed.join(places, same).select(hashed["id"], "key", "text", "others")
+    return rows, rows.select("key", "text").dropDuplicates(["key"])
 
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
@@ -382,23 +382,25 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row of ``docs``.
+def remove_repeats(
+    docs: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text", others: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row of ``docs``, and a struct of ``others``.
 
     Texts are taken as UTF-8 bytes, null as none. Each byte is removed that lies in ``length`` bytes which also start
     earlier: in a row with a smaller id, or before in the same text; strings are judged on the input. ``n_spans`` counts
-    maximal removed runs; ``kept`` is the remaining bytes as text, broken characters replaced. Null ids come first, rows
+    maximal removed runs; ``kept`` is the remaining bytes as text, broken characters left out. Null ids come first, rows
     with equal ids follow each other in a fixed order, and rows that agree in id and text count as one document, so each
-    has the same result. Other columns are ignored; no rows give no rows. ``length`` is at least GRAM + CHUNK.
+    has the same result. Columns not in ``others`` are ignored; no rows give no rows. ``length`` is at least GRAM + CHUNK.
     """
     if length < GRAM + CHUNK or length > 2048:
         raise ValueError(f"length must be from {GRAM + CHUNK} to 2048")
     ship_package(docs.sparkSession)
-    rows, once = _ordered(docs, id_column, text_column)
+    rows, once = _ordered(docs, id_column, text_column, list(others))
     spans = repeated_spans(once, length)
     merged = spans.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    joined = rows.join(merged, "key", "left").select("id", "text", "spans.start", "spans.size")
-    id_type = docs.schema[id_column].dataType.simpleString()
+    joined = rows.join(merged, "key", "left").select("id", "text", "spans.start", "spans.size", "others")
+    id_type, kinds = docs.schema[id_column].dataType.simpleString(), rows.schema["others"].dataType.simpleString()
 
     def remove(batches):
         for batch in batches:
@@ -414,17 +416,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_column: str = "doc_id"
                 rest = text[keep].tobytes() if len(start) else text.tobytes()
                 removed.append(len(text) - len(rest))
                 runs.append(len(start))
-                texts.append(rest.decode("utf-8", "replace"))
+                texts.append(rest.decode("utf-8", "ignore"))
                 digests.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()),
-                    pa.array(texts, pa.string()), pa.array(digests, pa.string()),
+                    pa.array(texts, pa.string()), pa.array(digests, pa.string()), batch.column(4),
                 ],
-                ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+                ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "others"],
             )
 
     result = joined.mapInArrow(
-        remove, f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string"
+        remove,
+        f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string, others {kinds}",
     )
-    return result.withColumnRenamed("id", id_column)
+    return (result if others else result.drop("others")).withColumnRenamed("id", id_column)
