@@ -1,6 +1,6 @@
 """Exact Jaccard join on word shingles: a prefix join of groups, and components of the links found.
 
-Shingles stand in one global order, frequent ones last. Two sets as similar as asked for share a shingle among the first
+Shingles stand in one global order, those of frequent words last. Two sets as similar as asked for share a shingle among the first
 few of each (the prefix), and differ little in size. Sets with the same prefix and size form one group, and only groups
 meet. Where groups share a prefix shingle, those of like size gather around the first of them, their leader; any pair
 that could link meets at a leader, and no list of pairs is made. A leader's groups are then expanded to their sets,
@@ -16,16 +16,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from specloom.llm.byte_bpe import text_buffers
+from specloom.llm.words import text_buffers
 from specloom.llm.components import component_roots
-from specloom.llm.shingles import shingle_sets
+from specloom.llm.shingles import Weights, shingle_sets, word_counts
 from specloom.session import ship_package, stage
 
-#: Shingles ordered last because they are frequent, at most; this concerns the order alone, not what is compared.
-COMMON_SHINGLES = 1 << 16
-#: Counted as perhaps frequent in a task: shingles in so large a part of some thousand neighbouring texts.
-COMMON_PART = 1 / 250
-COMMON_TEXTS = 1000
+#: Words of known frequency, the most frequent ones; this concerns the order of shingles alone, not what is compared.
+KNOWN_WORDS = 1 << 18
 #: Sets of a gathering that one block holds.
 BLOCK_SETS = 1024
 
@@ -39,27 +36,18 @@ def prefix_length(size: int, percent: int) -> int:
     return size - needed_overlap(size, percent) + 1
 
 
-def _common(texts: DataFrame, words: int) -> np.ndarray:
-    """Frequent shingles, rarest first."""
+def _frequent_words(texts: DataFrame) -> Weights:
+    """The most frequent words, by counts over all texts; words met once in an Arrow batch are not counted there."""
 
     def count(batches):
         for batch in batches:
-            held, rows = [], 0
-            sets = shingle_sets(*text_buffers(batch.column(0)), words)
-            for i, one in enumerate(sets):
-                held.append(one)
-                rows += 1
-                if rows == COMMON_TEXTS or i + 1 == batch.num_rows:
-                    shingle, n = np.unique(np.concatenate(held), return_counts=True)
-                    often = n >= max(3, COMMON_PART * rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shingle[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"]
-                    )
-                    held, rows = [], 0
-
-    counted = texts.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect()
-    return np.array([r["shingle"] for r in reversed(top)], np.int64).view(np.uint64)
+            word, n = word_counts(*text_buffers(batch.column(0)))
+            often = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], ["word", "n"])
+
+    counted = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
+    return Weights(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy())
 
 
 def _features(docs: DataFrame, id_column: str, text_column: str, words: int, percent: int) -> DataFrame:
@@ -67,9 +55,7 @@ def _features(docs: DataFrame, id_column: str, text_column: str, words: int, per
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    common = _common(rows.select("text"), words)
-    order = np.argsort(common)
-    shared = spark.sparkContext.broadcast((common[order], order.astype(np.int64)))
+    shared = spark.sparkContext.broadcast(_frequent_words(rows.select("text")))
     schema = T.StructType(
         [
             T.StructField("id", rows.schema["id"].dataType), T.StructField("text_hash", T.LongType()),
@@ -79,23 +65,14 @@ def _features(docs: DataFrame, id_column: str, text_column: str, words: int, per
     )
 
     def features(batches):
-        known, rank = shared.value
         for batch in batches:
             sizes, keys, groups, prefixes = [], [], [], []
-            for one in shingle_sets(*text_buffers(batch.column(2)), words):
+            for one, weight in shingle_sets(*text_buffers(batch.column(2)), words, shared.value):
                 first = one[:0]
                 if len(one):
                     length = prefix_length(len(one), percent)
-                    late = np.full(len(one), -1)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, one), len(known) - 1)
-                        late = np.where(known[at] == one, rank[at], -1)
-                    # Rare ones come first by hash, then the frequent ones by their rank.
-                    rare = one[late < 0]
-                    first = rare[:length]
-                    if len(first) < length:
-                        often = one[late >= 0][np.argsort(late[late >= 0], kind="stable")]
-                        first = np.concatenate([first, often[: length - len(first)]])
+                    # By weight, then by hash.
+                    first = one[np.argsort(weight, kind="stable")[:length]]
                 sizes.append(len(one))
                 keys.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
                 groups.append(hashlib.blake2b(first.tobytes() + len(one).to_bytes(8, "little"), digest_size=16).digest())

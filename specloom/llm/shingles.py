@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 #: Bytes hashed at once; a text beyond that is hashed alone.
 SLAB_BYTES = 1 << 21
@@ -55,31 +56,71 @@ def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.searchsorted(start, bounds)
 
 
-def shingle_sets(raw: np.ndarray, bounds: np.ndarray, words: int):
-    """Yield for each text its sorted distinct shingle hashes: ``words`` words each; fewer words make one shingle."""
+def word_counts(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes and their numbers in some texts."""
+    hashes = [np.empty(0, np.uint64)]
+    for _, _, part, inner in _slabs(raw, bounds):
+        if len(part):
+            hashes.append(_word_hashes(part, inner)[0])
+    return np.unique(np.concatenate(hashes), return_counts=True)
+
+
+class Weights:
+    """Weights of words: the logarithms of their known counts, and 0 for all other words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.logs = words[order], np.log2(counts[order] + 1.0)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        codes, distinct = pd.factorize(hashes)
+        if not len(self.words) or not len(distinct):
+            return np.zeros(len(hashes))
+        at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
+        return np.where(self.words[at] == distinct, self.logs[at], 0.0)[codes]
+
+
+def _slabs(raw: np.ndarray, bounds: np.ndarray):
     i, n = 0, len(bounds) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLAB_BYTES, "right")) - 1)
-        part, inner = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        yield i, j, raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        i = j
+
+
+def shingle_sets(raw: np.ndarray, bounds: np.ndarray, words: int, weights: Weights | None = None):
+    """Yield for each text its sorted distinct shingle hashes: ``words`` words each; fewer words make one shingle.
+
+    With ``weights`` each comes with the weights of its shingles, sums over their words.
+    """
+    empty, nothing = np.empty(0, np.uint64), np.empty(0)
+    for i, j, part, inner in _slabs(raw, bounds):
         if not len(part):
             for _ in range(i, j):
-                yield np.empty(0, np.uint64)
-            i = j
+                yield empty if weights is None else (empty, nothing)
             continue
         hashes, first = _word_hashes(part, inner)
+        count = max(0, len(hashes) - words + 1)
         with np.errstate(over="ignore"):
-            grams = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
+            grams = np.zeros(count, np.uint64)
             for k in range(words):
-                grams = _mixed(grams * np.uint64(BASE) + hashes[k : k + len(grams)] + np.uint64(k))
+                grams = _mixed(grams * np.uint64(BASE) + hashes[k : k + count] + np.uint64(k))
+        if weights is not None:
+            weight = weights.of(hashes)
+            sums = sum(weight[k : k + count] for k in range(words))
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= words:
-                yield np.unique(grams[a : b - words + 1])
+                if weights is None:
+                    yield np.unique(grams[a : b - words + 1])
+                else:
+                    one, at = np.unique(grams[a : b - words + 1], return_index=True)
+                    yield one, sums[a:][at]
             elif b > a:
                 short = np.uint64(b - a)
                 with np.errstate(over="ignore"):
                     for h in hashes[a:b]:
                         short = _mixed(np.array([short * np.uint64(BASE) + h]))[0]
-                yield np.array([short], np.uint64)
+                one = np.array([short], np.uint64)
+                yield one if weights is None else (one, np.zeros(1))
             else:
-                yield np.empty(0, np.uint64)
-        i = j
+                yield empty if weights is None else (empty, nothing)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from specloom.llm import ngram_join
-from specloom.llm.byte_bpe import text_buffers
+from specloom.llm.words import text_buffers
 from specloom.llm.components import component_roots
 from specloom.llm.ngram_join import link_documents
 from specloom.llm.shingles import shingle_sets
@@ -76,9 +76,9 @@ def test_components_of_all_pairs(spark, seed, k, percent, block):
     assert sorted(map(tuple, found), key=repr) == components(rows, k, percent)
 
 
-def test_frequent_shingles_only_change_the_order(spark, monkeypatch):
+def test_frequent_words_only_change_the_order(spark, monkeypatch):
     rows = corpus(5)
-    monkeypatch.setattr(ngram_join, "COMMON_SHINGLES", 3)
+    monkeypatch.setattr(ngram_join, "KNOWN_WORDS", 3)
     found = link_documents(frame(spark, rows), 3, 90).collect()
     assert sorted(map(tuple, found), key=repr) == components(rows, 3, 90)
 
