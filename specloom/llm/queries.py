@@ -11,6 +11,7 @@ from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import mark_duplicates
 from specloom.llm import hnsw, language_id
 from specloom.llm.ngram_join import link_documents
+from specloom.llm.sentence_pieces import decode_pieces, encode_pieces
 from specloom.llm.suffix_dedup import remove_repeats
 from specloom.llm.token_counts import count_tokens
 from specloom.llm.token_files import read_documents, write_token_files
@@ -18,6 +19,7 @@ from specloom.llm.url_filter import Rule, filter_urls
 from specloom.session import scratch_path
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 SEQUENCE_TOKENS = 1024
 URL_RULES = [
@@ -84,6 +86,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path, checksum=True)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; equal digests of text and decoded text show the round trip."""
+    model = public_tokenizers.path(PIECES)
+    decoded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select(
+        "doc_id", "n_tokens", "ids_crc32", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -95,6 +106,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_ngram_join": op7_ngram_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_files": op9_token_files,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
