@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import sys
+import tempfile
 import time
 
 TABLES = (
@@ -61,6 +62,7 @@ def main(sf_dir: str, names: list[str]) -> int:
 
     from checks.oracle import SQL
     from checks.queries import registered
+    from specloom.session import clear_scratch
 
     spark = (
         SparkSession.builder.master("local[8]")
@@ -68,6 +70,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -83,6 +86,7 @@ def main(sf_dir: str, names: list[str]) -> int:
             why = f"ok, {len(found[1])} rows" if why is None else f"DIFFERS: {why}"
         except Exception as error:  # noqa: BLE001 - report and go on
             why = f"DIFFERS: {type(error).__name__} {str(error)[:600]}"
+        clear_scratch(spark)
         bad += why.startswith("DIFFERS")
         print(f"{name:24s} {time.time() - start:6.2f}s  {why}", flush=True)
     return bad

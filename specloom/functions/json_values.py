@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _STRING = r'(?s)"(?:[^"\\]++|\\.)*+"'
 _NUMBER = r"[0-9][0-9.eE+-]*+"
-_BIG_EXPONENT = r"[0-9][eE]\+?[0-9]{3}"
-_MANY_DIGITS = r"[0-9]{309}"
+# Only a number with an exponent, or one of very many digits, can be beyond a double.
+_MAYBE_BIG = r"[0-9.][eE]\+?[0-9]|[0-9]{309}"
 
 
 def has_out_of_range_number(text: Column) -> Column:
@@ -17,7 +17,7 @@ def has_out_of_range_number(text: Column) -> Column:
     numbers = F.regexp_extract_all(F.regexp_replace(text, _STRING, ""), F.lit(_NUMBER), F.lit(0))
     biggest = F.array_max(numbers.try_cast("array<double>"))
     return F.when(
-        text.rlike(_BIG_EXPONENT) | text.rlike(_MANY_DIGITS),
+        text.rlike(_MAYBE_BIG),
         F.coalesce(biggest == float("inf"), F.lit(False)),
     ).otherwise(F.lit(False))
 

@@ -4,9 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specloom.functions.json_values import with_whole_value
 
-ARCHIVE_LINE_BYTES = 5 * 1024 * 1024
-LOCAL_LINE_BYTES = 64 * 1024
-
 # A line holding one of these markers is gateway noise.
 NOISE_MARKERS = (
     ("Content-Type: image", "image content"),
@@ -89,14 +86,14 @@ def with_unescaped(df: DataFrame, src: str, out: str) -> DataFrame:
 
 
 def with_clean_text(
-    df: DataFrame, src: str = "value", max_line_bytes: int = ARCHIVE_LINE_BYTES
+    df: DataFrame, src: str = "value", max_line_bytes: int | None = None
 ) -> DataFrame:
     """Add ``text``, ``clean_reason``, ``receive_time`` and ``extractable``.
 
-    ``text`` is null exactly where ``clean_reason`` says why the line was refused. A line
-    and its newline must fit in ``max_line_bytes``.
+    ``text`` is null exactly where ``clean_reason`` says why the line was refused. With
+    ``max_line_bytes`` a line and its newline must fit in that; by default any length will do.
     """
-    fits = F.octet_length(F.col(src)) < max_line_bytes
+    fits = F.lit(True) if max_line_bytes is None else F.octet_length(F.col(src)) < max_line_bytes
     df = df.withColumn("_valid", F.when(fits, F.make_valid_utf8(F.col(src))))
     valid = F.col("_valid")
     df = df.withColumn(
@@ -121,7 +118,8 @@ def with_clean_text(
     return df.select(
         "*",
         F.when(F.col("_json") != "", F.col("_json")).otherwise(message).alias("text"),
-        F.when(F.col("_utf8").isNull(), F.lit("line too long"))
+        F.when(F.col(src).isNull(), F.lit("no line"))
+        .when(F.col("_utf8").isNull(), F.lit("line too long"))
         .when(F.col("_noise").isNotNull(), F.col("_noise"))
         .when(plain.isNull(), F.lit("bad escape"))
         .alias("clean_reason"),

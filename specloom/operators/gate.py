@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 GATES = ("fixed", "legacy")
+UNREAD = "unread"
 
 
 def live(df: DataFrame) -> DataFrame:
@@ -30,10 +31,14 @@ def due_apis(apis: DataFrame, samples: DataFrame, gate: str = "fixed") -> DataFr
     """(api_id, cursor) of live APIs to rebuild; an API without samples never is.
 
     'fixed' rebuilds when there is something at or after the cursor. 'legacy' does the
-    opposite once a cursor is set, which freezes a structure after its first build.
+    opposite once a cursor is set, which freezes a structure after its first build. 'unread'
+    is for samples no build has read yet: any of them counts, and cursors do not.
     """
+    if gate == UNREAD:
+        touched = live(apis).join(live(samples).select(F.col("api_id").alias("id")), "id", "left_semi")
+        return touched.select(F.col("id").alias("api_id"), F.lit(None).cast("timestamp").alias("cursor"))
     if gate not in GATES:
-        raise ValueError(f"gate must be one of {GATES}")
+        raise ValueError(f"gate must be one of {(*GATES, UNREAD)}")
     cursors = live(apis).select(
         F.col("id").alias("api_id"), F.col("latest_build_structure").alias("cursor")
     )

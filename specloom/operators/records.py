@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from specloom.functions.json_values import as_object, is_absent, is_string, with_strict_json
 from specloom.functions.parameters import parameter_rows
-from specloom.functions.text import ARCHIVE_LINE_BYTES, with_clean_text
+from specloom.functions.text import with_clean_text
 from specloom.functions.urls import api_id, path_template, with_url_parts
 from specloom.session import settled
 
@@ -77,18 +77,22 @@ def parse_records(
     lines: DataFrame,
     received_at: datetime,
     key: Column | None = None,
-    max_line_bytes: int = ARCHIVE_LINE_BYTES,
+    max_line_bytes: int | None = None,
 ) -> DataFrame:
     """One output row per input line (columns ``file``, ``value``), refused ones included.
 
     Accepted rows have a null ``reason``; refused rows keep their ``line``. ``key``
-    identifies a line for its id; by default file and content do, so a retried task
-    assigns the same ids. ``received_at`` stands in for a missing event time.
+    identifies a line for its id; by default file, ``position`` in it (if there is such a
+    column) and content do, so equal lines differ and a retried task assigns the same ids.
+    A row with ``damage`` stands for a file and is refused for that reason.
+    ``received_at`` stands in for a missing event time.
 
     Stage the result if it is used more than once.
     """
-    key = F.concat_ws("\n", "file", "value") if key is None else key
-    df = with_clean_text(lines.withColumn("_key", key), "value", max_line_bytes)
+    if key is None:
+        key = F.concat_ws("\n", *[c for c in ("file", "position", "value") if c in lines.columns])
+    damage = F.col("damage") if "damage" in lines.columns else F.lit(None).cast("string")
+    df = with_clean_text(lines.withColumns({"_key": key, "_damage": damage}), "value", max_line_bytes)
     df = with_strict_json(df, "text", "_rec")
     df = df.withColumns(
         {"_request": _field("_rec", "request"), "_response": _field("_rec", "response")}
@@ -111,10 +115,11 @@ def parse_records(
     df = df.select(
         "file",
         F.when(~good, F.col("value")).alias("line"),
-        F.when(F.col("clean_reason").isNotNull(), F.lit("clean"))
+        F.when(F.col("_damage").isNotNull(), F.lit("file"))
+        .when(F.col("clean_reason").isNotNull(), F.lit("clean"))
         .when(F.col("_reason").isNotNull(), F.lit("record"))
         .alias("stage"),
-        F.coalesce("clean_reason", "_reason").alias("reason"),
+        F.coalesce("_damage", "clean_reason", "_reason").alias("reason"),
         F.substring(F.sha2("_key", 256), 1, 24).alias("id"),
         F.when(good, _as_text("_url")).alias("_url"),
         F.when(good, _as_text("_method")).alias("method"),

@@ -2,17 +2,22 @@
 
 The fold looks recursive but decides each top-level key as a whole: of all samples whose
 value for the key says something, the oldest one provides the key's schema, and any sample
-beats what is stored. So the big input is parsed once, exploded by key and reduced with
-``min_by`` before the shuffle; nested schemas are inferred for the winners only.
+beats what is stored. So the big input is parsed once and exploded by key, without values,
+to a hashed minimum of the event time, combined before the shuffle. Only the samples of
+those times are parsed again for their values; nested schemas are inferred for the winners
+only.
 """
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from specloom.functions.json_values import (
     as_array, as_object, producing_members, quoted, shape, with_strict_json,
 )
 from specloom.operators.schema_infer import infer_schemas
-from specloom.session import settled
+from specloom.session import settled, ship_package, stage
 
 EMPTY_SCHEMA = "{}"
 _ENTRY = "array<struct<kind:string,key:string,value:string>>"
@@ -55,20 +60,36 @@ def _parsed_bodies(samples: DataFrame, *columns: str) -> DataFrame:
 def fold_bodies(samples: DataFrame, by: list[str]) -> DataFrame:
     """Oldest telling value per (``by``, key), plus 'body' and 'rejected' counts per ``by``.
 
-    ``samples`` has the ``by`` columns, ``id``, ``event_at`` and ``body``. One pass and one
-    shuffle; a hot API leaves each task as one row per key.
+    ``samples`` has the ``by`` columns, ``id``, ``event_at`` and ``body``. Every body is
+    parsed in one pass and one shuffle; a hot API leaves each task as one row per key. Rows
+    of equal event times are ordered by id, in a second pass over the oldest samples.
     """
+    counted = stage(oldest_entries(samples, by), "oldest")
+    oldest = counted.where(F.col("kind") == "key").select(*by, "key", "event_at")
+    first = samples.join(oldest.select(*by, "event_at").distinct(), [*by, "event_at"], "left_semi")
+    entries = _entries(first, by).select(*by, "event_at", "id", "e.key", "e.value")
+    values = (
+        entries.join(oldest, [*by, "key", "event_at"], "left_semi")
+        .groupBy(*by, "key")
+        .agg(F.min_by("value", "id").alias("value"))
+    )
+    return counted.drop("event_at").join(values, [*by, "key"], "left")
+
+
+def _entries(samples: DataFrame, by: list[str]) -> DataFrame:
     parsed = _parsed_bodies(samples, *by, "event_at", "id")
-    entries = parsed.select(
+    return parsed.select(
         *by, "event_at", "id", F.explode(body_entries(F.col("_body"), F.col("_members"))).alias("e")
     )
+
+
+def oldest_entries(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(``by``, kind, key, event_at, n): the oldest time and number of each kind of entry, by hashing alone."""
     return (
-        entries.select(*by, "e.kind", "e.key", "e.value", "event_at", "id")
+        _entries(samples, by)
+        .select(*by, "e.kind", "e.key", "event_at")
         .groupBy(*by, "kind", "key")
-        .agg(
-            F.min_by("value", F.struct("event_at", "id")).alias("value"),
-            F.count("*").alias("n"),
-        )
+        .agg(F.min("event_at").alias("event_at"), F.count("*").alias("n"))
     )
 
 
@@ -107,6 +128,39 @@ def merge_schemas(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame
     ).where(F.col("schema").isNotNull())
 
 
+def merge_deep(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """As :func:`merge_schemas`, but two object schemas of a key are merged member by member, at any depth.
+
+    Arrays of objects are merged by their items. Only keys that both sides have come together in a row.
+    """
+    ship_package(left.sparkSession)
+
+    @F.pandas_udf("string")
+    def merged(lefts: pd.Series, rights: pd.Series) -> pd.Series:
+        return pd.Series([_merged_text(a, b) for a, b in zip(lefts, rights)], dtype=object)
+
+    l = left.select(*by, "key", F.nullif(F.col("schema"), F.lit("null")).alias("_left"))
+    r = right.select(*by, "key", F.nullif(F.col("schema"), F.lit(EMPTY_SCHEMA)).alias("_right"))
+    joined = l.join(r, [*by, "key"], "full_outer")
+    both = joined.where("_left IS NOT NULL AND _right IS NOT NULL").select(*by, "key", merged("_left", "_right").alias("schema"))
+    one = joined.where("_left IS NULL OR _right IS NULL").select(*by, "key", F.coalesce("_right", "_left").alias("schema"))
+    return both.unionByName(one.where(F.col("schema").isNotNull()))
+
+
+def _merged_text(left: str, right: str) -> str:
+    def merge(a, b):
+        if not isinstance(a, dict) or not isinstance(b, dict) or a.get("type") != b.get("type"):
+            return b
+        if "properties" in a and "properties" in b:
+            p, q = a["properties"], b["properties"]
+            return {"properties": {k: merge(p[k], q[k]) if k in p and k in q else q.get(k, p.get(k)) for k in sorted({*p, *q})}, "type": b["type"]}
+        if "items" in a and "items" in b:
+            return {"items": merge(a["items"], b["items"]), "type": b["type"]}
+        return b
+
+    return json.dumps(merge(json.loads(left), json.loads(right)), separators=(",", ":"), ensure_ascii=False)
+
+
 def stored_keys(structures: DataFrame, by: list[str]) -> DataFrame:
     """Top-level keys of stored body schemas as (``by``, key, schema)."""
     properties = F.try_variant_get(

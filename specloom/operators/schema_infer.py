@@ -26,16 +26,14 @@ def _literal(text: str) -> str:
     return f"'{text}'"
 
 
-# Telling members of every object of a list, by name; of equal names the last object's wins.
+# Telling members of every object of a list, by name; of equal names the last object's wins, as the session's map
+# policy says. One pass over all members, however many objects and names there are.
 _MEMBERS = """
-aggregate(
-  transform({objects}, o -> coalesce(
-    map_filter(
-      transform_values(try_variant_get(o, '$', 'map<string,variant>'), (k, v) -> to_json(v)),
-      (k, t) -> NOT (t = 'null' OR t = '[]' OR startswith(t, '[null'))),
-    cast(map() AS map<string,string>))),
-  cast(map() AS map<string,string>),
-  (acc, m) -> map_concat(map_filter(acc, (k, t) -> NOT map_contains_key(m, k)), m))
+map_from_entries(flatten(transform({objects}, o -> coalesce(
+  filter(
+    map_entries(transform_values(try_variant_get(o, '$', 'map<string,variant>'), (k, v) -> to_json(v))),
+    e -> NOT (e.value = 'null' OR e.value = '[]' OR startswith(e.value, '[null'))),
+  cast(array() AS array<struct<key:string,value:string>>)))))
 """
 
 # Members sorted by name, each as the text '"name":' and a pending value.

@@ -98,9 +98,9 @@ def _last_item(items: DataFrame, key: list[str], order: str | None) -> DataFrame
 
 
 def _upsert_hits(df: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
-    """The id of the first row per item key. Rows are reduced per key before they meet items."""
-    firsts = df.groupBy(*key).agg(F.min(F.expr(_FIRST)).alias("m"))
-    return firsts.select(*key, F.col("m.id").alias("_id")).join(items.select(*key), key, "left_semi")
+    """The id of the first row per item key. Rows without an item drop out before any is sorted."""
+    firsts = df.join(items.select(*key), key, "left_semi").groupBy(*key).agg(F.min(F.expr(_FIRST)).alias("m"))
+    return firsts.select(*key, F.col("m.id").alias("_id"))
 
 
 def upsert(

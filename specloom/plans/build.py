@@ -6,12 +6,12 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from specloom.operators.gate import (
-    advance_cursor, created_between, due_apis, live, unmatched_ids, window_samples,
+    UNREAD, advance_cursor, created_between, due_apis, live, unmatched_ids, window_samples,
 )
 from specloom.operators.parameter_merge import merge_parameters
 from specloom.operators.schema_fold import (
-    EMPTY_SCHEMA, fold_bodies, merge_schemas, object_schema, rejected_bodies, render_bodies,
-    stored_keys, winning_schemas,
+    EMPTY_SCHEMA, fold_bodies, merge_deep, merge_schemas, object_schema, rejected_bodies,
+    render_bodies, stored_keys, winning_schemas,
 )
 from specloom.operators.updates import upsert
 from specloom.schemas import conform
@@ -20,6 +20,9 @@ from specloom.sources.tables import Warehouse
 
 _BY = ["side", "api_id"]
 REQUEST, RESPONSE = "request", "response"
+# Which schema of a key stays when a build meets a stored one, and how two of them are merged.
+PRECEDENCES = ("newest", "oldest")
+MERGES = {"shallow": merge_schemas, "deep": merge_deep}
 
 
 class Built(NamedTuple):
@@ -29,19 +32,24 @@ class Built(NamedTuple):
     quarantine: DataFrame
 
 
-def body_schemas(due: DataFrame, window: DataFrame, stored: DataFrame) -> DataFrame:
+def body_schemas(
+    due: DataFrame, window: DataFrame, stored: DataFrame, precedence: str = "newest", merge: str = "shallow"
+) -> DataFrame:
     """(side, api_id, body_schema, has_body, rejected) for every due side of an API.
 
     Request and response bodies go through one pass. Without an accepted body, now or
     earlier, the schema is empty; with one it is at least an object without properties.
     """
+    if precedence not in PRECEDENCES or merge not in MERGES:
+        raise ValueError(f"precedence must be one of {PRECEDENCES}, merge one of {tuple(MERGES)}")
     folded = stage(fold_bodies(window, _BY), "fold")
     counts = folded.where(F.col("kind") != "key").groupBy(*_BY).agg(
         F.max(F.col("kind") == "body").alias("_accepted"),
         F.sum(F.when(F.col("kind") == "rejected", F.col("n"))).alias("rejected"),
     )
     seed = stored.join(due.select(*_BY), _BY, "left_semi")
-    keys = merge_schemas(stored_keys(seed, _BY), winning_schemas(folded, _BY), _BY)
+    sides = [stored_keys(seed, _BY), winning_schemas(folded, _BY)]
+    keys = MERGES[merge](*(sides if precedence == "newest" else reversed(sides)), _BY)
     had_body = seed.select(*_BY, F.col("has_body").alias("_had"))
     accepted = F.coalesce("_accepted", F.lit(False)) | F.coalesce("_had", F.lit(False))
     return (
@@ -70,8 +78,11 @@ def _both(request: DataFrame, response: DataFrame, *columns: str) -> DataFrame:
 
 
 def _store(structures: DataFrame, items: DataFrame, side: str, now: datetime) -> DataFrame:
-    new_id = F.substring(F.sha2(F.concat_ws("/", F.lit(side), "api_id"), 256), 1, 24)
-    return upsert(structures, items, ["api_id"], now, new_id)
+    """Upsert among live rows. A soft-deleted structure stays as it is, and its successor gets an id of its own."""
+    stamp = F.unix_micros(F.lit(now)).cast("string")
+    new_id = F.substring(F.sha2(F.concat_ws("/", F.lit(side), "api_id", stamp), 256), 1, 24)
+    deleted = structures.where(F.col("deleted_at").isNotNull())
+    return upsert(live(structures), items, ["api_id"], now, new_id).unionByName(deleted)
 
 
 def build_structures(
@@ -82,8 +93,15 @@ def build_structures(
     response_structures: DataFrame,
     now: datetime,
     gate: str = "fixed",
+    precedence: str = "newest",
+    merge: str = "shallow",
 ) -> Built:
-    """Next state of catalog and structures. The cursor of every live API moves to ``now``."""
+    """Next state of catalog and structures. The cursor of every live API moves to ``now``.
+
+    With ``precedence='oldest'`` a stored schema of a key stays when a new one turns up, so
+    builds over arrivals in order of time give what one build over all of them gives. With
+    ``merge='deep'`` object schemas of a key are merged member by member.
+    """
     configure(apis.sparkSession)
     # Staged: used several times, and as a plain small table it is what a join broadcasts.
     due = stage(
@@ -104,9 +122,11 @@ def build_structures(
         due,
         window,
         _both(live(request_structures), live(response_structures), "api_id", "body_schema", "has_body"),
+        precedence,
+        merge,
     )
     parameters = merge_parameters(
-        request_structures.join(due_req, "api_id", "left_semi"), window_req
+        live(request_structures).join(due_req, "api_id", "left_semi"), window_req
     ).withColumn("side", F.lit(REQUEST))
     no_parameters = F.expr("array()").cast(request_structures.schema["parameters"].dataType)
     structures = stage(
@@ -147,32 +167,50 @@ def _rejected(structures: DataFrame, window: DataFrame) -> DataFrame:
 
 
 def run_build(
-    warehouse: Warehouse, now: datetime, version: int, gate: str = "fixed", batch: int | None = None
+    warehouse: Warehouse,
+    now: datetime,
+    version: int,
+    gate: str = UNREAD,
+    precedence: str = "newest",
+    merge: str = "shallow",
 ) -> None:
     """Build from the tables of a warehouse and write the next snapshots.
 
-    ``version`` must exceed that of the catalog read. The catalog with the moved cursors is
-    written last: a job that dies earlier is repeated in full. If everything before ``batch``
-    is built, naming it keeps the job from reading older samples.
+    ``version`` must exceed that of the catalog read. By default the build takes up the
+    batches that no earlier build has read, however their stamps and the builds' clocks
+    compare, and no others are read; the gates that compare stamps read all batches. The
+    list of batches read and the catalog are written last: a job that dies earlier is
+    repeated in full.
     """
     apis = warehouse.read_snapshot("apis", below=version)
+    batches = warehouse.batches("sample_responses")
+    read = {r.batch for r in warehouse.read_snapshot("consumed", below=version).toLocalIterator()}
+    wanted = [b for b in batches if b not in read] if gate == UNREAD else None
     built = build_structures(
         apis,
-        warehouse.read_appended("sample_requests", batch),
-        warehouse.read_appended("sample_responses", batch),
+        warehouse.read_appended("sample_requests", wanted),
+        warehouse.read_appended("sample_responses", wanted),
         warehouse.read_snapshot("request_structures", below=version),
         warehouse.read_snapshot("response_structures", below=version),
         now,
         gate,
+        precedence,
+        merge,
     )
     warehouse.write_snapshot("request_structures", built.request_structures, version)
     warehouse.write_snapshot("response_structures", built.response_structures, version)
-    warehouse.append("quarantine", conform(built.quarantine, "quarantine"), version)
+    warehouse.append("quarantine", conform(built.quarantine, "quarantine"), version, now.date())
+    consumed = warehouse.spark.createDataFrame([(b,) for b in sorted({*batches, *read})], "batch long")
+    warehouse.write_snapshot("consumed", consumed, version)
     warehouse.write_snapshot("apis", built.apis, version)
 
 
 def move_cursor(apis: DataFrame, ids: DataFrame, now: datetime) -> DataFrame:
-    """Move the cursor of the given ids; an id the catalog lacks is an error."""
+    """Move the cursor of the given ids; an id the catalog lacks, or a move that changes nothing, is an error."""
     if not unmatched_ids(apis, ids).isEmpty():
         raise LookupError("no documents found")
+    asked = apis.join(ids.select(F.col("api_id").alias("id")), "id", "left_semi")
+    there = F.col("latest_build_structure").eqNullSafe(F.lit(now)) & F.col("updated_at").eqNullSafe(F.lit(now))
+    if asked.where(~there).isEmpty():
+        raise LookupError("no documents modified")
     return advance_cursor(apis, ids, now)

@@ -4,7 +4,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.functions.text import ARCHIVE_LINE_BYTES, LOCAL_LINE_BYTES
 from specloom.operators.catalog import discover_apis, new_apis, request_samples, response_samples
 from specloom.operators.records import parse_records, quarantined
 from specloom.session import configure, stage
@@ -17,7 +16,7 @@ def ingest_lines(
     warehouse: Warehouse,
     now: datetime,
     batch: int,
-    max_line_bytes: int = ARCHIVE_LINE_BYTES,
+    max_line_bytes: int | None = None,
 ) -> DataFrame:
     """Ingest one batch of lines and return its parsed records.
 
@@ -28,9 +27,11 @@ def ingest_lines(
     apis = warehouse.read_snapshot("apis", below=_step(batch))
     added = new_apis(discover_apis(records), apis, now)
     warehouse.write_snapshot("apis", apis.unionByName(added), _step(batch))
-    warehouse.append("sample_requests", request_samples(records, now), batch)
-    warehouse.append("sample_responses", response_samples(records, now), batch)
-    warehouse.append("quarantine", quarantined(records), 2 * batch)
+    day = now.date()
+    warehouse.append("quarantine", quarantined(records), 2 * batch, day)
+    warehouse.append("sample_requests", request_samples(records, now), batch, day)
+    # Responses come last: a build takes up the batches that have them.
+    warehouse.append("sample_responses", response_samples(records, now), batch, day)
     return records
 
 
@@ -64,4 +65,4 @@ def ingest_folder(
 ) -> DataFrame:
     """Ingest the compressed files of one folder."""
     configure(spark)
-    return ingest_lines(read_folder(spark, folder), warehouse, now, batch, LOCAL_LINE_BYTES)
+    return ingest_lines(read_folder(spark, folder), warehouse, now, batch)

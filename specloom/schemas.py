@@ -19,6 +19,7 @@ TABLES = {
     "has_body BOOLEAN",
     "response_structures": f"{BASE}, api_id STRING, body_schema STRING, has_body BOOLEAN",
     "types": f"{BASE}, name STRING, properties STRING",
+    "consumed": "batch BIGINT",
     "quarantine": "file STRING, line STRING, stage STRING, reason STRING",
 }
 

@@ -1,15 +1,25 @@
-"""Scans of an hourly log archive and of a local folder of compressed logs."""
+"""Scans of an hourly log archive and of a local folder of compressed logs.
+
+Compressed files are read whole by Spark, so that an I/O error fails the task and is retried, and unpacked piece by piece
+in the task. A damaged file gives its readable lines and one row that says so; nothing is left out in silence.
+"""
 
-import gzip
-import io
 import zlib
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from specloom.session import configure, ship_package
+
 SERVICE = "proxy"
-_LINES = "file STRING, value STRING"
+#: ``position`` is a line's place in its file; a row with ``damage`` stands for a file and has no line.
+LINES = "file STRING, value STRING, position BIGINT, damage STRING"
+FILES = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+#: Compressed files from this size on do not fit in a row. Named ``*.gz`` they go through the text reader, which fails on
+#: damage and knows no positions; under another name they are reported as damaged.
+WHOLE_FILE_BYTES = 1 << 30
 _GZIP_MAGIC = b"\x1f\x8b"
+_PIECE = 1 << 20
 
 
 def hour_paths(df: DataFrame, start: Column, end: Column, service: str = SERVICE) -> DataFrame:
@@ -40,22 +50,36 @@ def existing_folders(spark: SparkSession, root: str, folders: list[str]) -> list
     return found
 
 
+def unpacked(files: DataFrame, skip_foreign: bool = False) -> DataFrame:
+    """Lines of files (path, content), in order; ``skip_foreign`` passes over content that does not begin like gzip."""
+    spark = configure(files.sparkSession)
+    ship_package(spark)
+    lines = files.select("path", "content").mapInArrow(
+        _unpack(skip_foreign), "file STRING, value BINARY, position BIGINT, damage STRING"
+    )
+    return lines.withColumn("value", F.col("value").cast("string"))
+
+
 def read_lines(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
-    """(file, value) of the ``*.gz`` files below the paths; lines end at a newline only.
+    """Lines (see ``LINES``) of the ``*.gz`` files below the paths; a line ends at a newline only.
 
-    A gzip file cannot be split, so it is one task; ``spread`` the lines if files are few. A
-    damaged file ends where its readable part does, and the job goes on.
+    A gzip file cannot be split, so it is one task; ``spread`` the lines if files are few.
     """
     if not paths:
-        return spark.createDataFrame([], _LINES)
-    return (
-        spark.read.option("pathGlobFilter", "*.gz")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .option("lineSep", "\n")
-        .option("ignoreCorruptFiles", "true")
-        .text(paths)
+        return spark.createDataFrame([], LINES)
+
+    def reader():
+        return spark.read.option("pathGlobFilter", "*.gz").option("recursiveFileLookup", str(recursive).lower())
+
+    files = reader().format("binaryFile").load(paths)
+    lines = unpacked(files.where(F.col("length") < WHOLE_FILE_BYTES))
+    if files.select("length").where(F.col("length") >= WHOLE_FILE_BYTES).isEmpty():
+        return lines
+    large = (
+        reader().option("lineSep", "\n").text(paths).where(F.col("_metadata.file_size") >= WHOLE_FILE_BYTES)
         .select(F.col("_metadata.file_path").alias("file"), "value")
     )
+    return lines.unionByName(large, allowMissingColumns=True)
 
 
 def read_archive(
@@ -79,45 +103,71 @@ def spread(lines: DataFrame, partitions: int) -> DataFrame:
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the gzip files lying directly in a folder, recognised by content, not by name.
 
-    ``*.gz`` names go through the text reader, which streams. Files of another name are
-    handed to tasks one by one, and those that do not begin like gzip are skipped.
+    Files of another name that do not begin like gzip are skipped.
     """
-    named = _existing(lambda: read_lines(spark, [folder], recursive=False))
-    other = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "false")
-        .load(folder)
-        .where(~F.col("path").endswith(".gz"))
-        .where(F.substring("content", 1, 2) == F.lit(_GZIP_MAGIC))
-        .select("path", "content")
-        .mapInArrow(_inflate, _LINES)
+    named = F.col("path").endswith(".gz")
+    other = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).where(~named)
+    large = other.where(F.col("length") >= WHOLE_FILE_BYTES).select(
+        F.col("path").alias("file"), F.lit("file is too large to be read whole").alias("damage")
     )
-    return other if named is None else named.unionByName(other)
-
-
-def _existing(read):
-    from pyspark.errors import AnalysisException
-
-    try:
-        return read()
-    except AnalysisException:
-        return None
-
-
-def _inflate(batches):
-    """Lines of compressed files; a damaged file ends where its readable part does."""
-    import pyarrow as pa
-
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            stream = gzip.GzipFile(fileobj=io.BytesIO(content))
-            more = True
-            while more:
-                part = []
+    found = unpacked(other.where(F.col("length") < WHOLE_FILE_BYTES), skip_foreign=True)
+    return read_lines(spark, [folder], recursive=False).unionByName(found).unionByName(large, allowMissingColumns=True)
+
+
+def _pieces(content: bytes):
+    """Unpacked pieces of a gzip file of one or more members; damage ends them with an error."""
+    at = 0
+    while at < len(content):
+        if not content[at : at + 1].strip(b"\0") and not content[at:].strip(b"\0"):
+            return
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(content):
+            part = content[at : at + _PIECE]
+            at += len(part)
+            yield member.decompress(part, _PIECE)
+            while member.unconsumed_tail:
+                yield member.decompress(member.unconsumed_tail, _PIECE)
+        if not member.eof:
+            raise EOFError("it ends early")
+        at -= len(member.unused_data)
+
+
+def _unpack(skip_foreign: bool):
+    def unpack(batches):
+        import pyarrow as pa
+
+        def rows(path, lines, first, damage=None):
+            n = len(lines) + (damage is not None)
+            values = [*lines, None][:n] if damage is not None else lines
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([path] * n, pa.string()), pa.array(values, pa.binary()),
+                    pa.array([*range(first, first + len(lines)), None][:n], pa.int64()),
+                    pa.array([None] * len(lines) + [damage] * (n - len(lines)), pa.string()),
+                ],
+                ["file", "value", "position", "damage"],
+            )
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if not content or skip_foreign and not content.startswith(_GZIP_MAGIC):
+                    continue
+                # The start of a line that goes on in the next piece is kept in parts: lines may be very long.
+                open_, position, damage = [], 0, None
                 try:
-                    while len(part) < 10000 and (line := stream.readline()):
-                        part.append(line.removesuffix(b"\n").decode("utf-8", "replace"))
-                    more = len(part) == 10000
-                except (OSError, EOFError, zlib.error):
-                    more = False
-                yield pa.RecordBatch.from_pydict({"file": [path] * len(part), "value": part})
+                    for piece in _pieces(content):
+                        *lines, rest = piece.split(b"\n")
+                        if lines:
+                            lines[0] = b"".join([*open_, lines[0]])
+                            open_ = []
+                            yield rows(path, lines, position)
+                            position += len(lines)
+                        open_.append(rest)
+                except (EOFError, zlib.error) as error:
+                    damage = f"file is damaged: {error}"
+                last = b"".join(open_)
+                if last or damage:
+                    yield rows(path, [last] if last else [], position, damage)
+
+    return unpack

@@ -2,25 +2,27 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from specloom.plans.build import run_build
 from specloom.plans.ingest import ingest_lines
 from specloom.session import configure
+from specloom.sources.archive import FILES, unpacked
 from specloom.sources.tables import Warehouse
 
 
 def log_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
-    """Lines of new ``*.gz`` files anywhere below ``root``."""
+    """Lines of new ``*.gz`` files anywhere below ``root``, however old they are."""
     reader = (
-        spark.readStream.option("pathGlobFilter", "*.gz")
+        spark.readStream.format("binaryFile")
+        .schema(FILES)
+        .option("pathGlobFilter", "*.gz")
         .option("recursiveFileLookup", "true")
-        .option("lineSep", "\n")
-        .option("ignoreCorruptFiles", "true")
+        .option("maxFileAge", "36500d")
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("file"), "value")
+    return unpacked(reader.load(root))
 
 
 def run_incremental(
@@ -30,13 +32,16 @@ def run_incremental(
     checkpoint: str,
     started: datetime,
     max_files: int | None = None,
+    precedence: str = "newest",
+    merge: str = "shallow",
 ) -> None:
     """Ingest and build everything that is new, then stop.
 
     Each micro-batch adds its samples and refreshes the structures of the APIs it touches;
     the stream's checkpoint remembers the files. Stamps derive from the batch number, so a
     repeated batch rewrites the same rows: ingest at second 2n, build at second 2n+1 after
-    ``started``. In a later batch a key's new value beats the stored one.
+    ``started``. In a later batch a key's new value beats the stored one, unless
+    ``precedence`` is 'oldest'. A file of 2 GiB or more fails the batch.
     """
     configure(spark)
 
@@ -44,7 +49,7 @@ def run_incremental(
         batch = batch_id + 1
         ingest_lines(lines, warehouse, started + timedelta(seconds=2 * batch), batch)
         built_at = started + timedelta(seconds=2 * batch + 1)
-        run_build(warehouse, built_at, 2 * batch + 1, batch=batch)
+        run_build(warehouse, built_at, 2 * batch + 1, precedence=precedence, merge=merge)
 
     query = (
         log_stream(spark, root, max_files)

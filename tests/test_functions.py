@@ -87,14 +87,14 @@ def test_strict_json(spark):
     assert got[-1] is not None
     refused = [
         "", "{} x", "1,2", "{}] [{}", '{"a":1e400}', "[" + "9" * 400 + "]", "{'a':1}", "[1,]", "{", "NaN",
-        '1,"~"] x', "01",
+        '1,"~"] x', "01", '{"a":1' + "0" * 250 + 'e99}', '[1.5E308, 2e308]', '{"a":-1' + "0" * 309 + "}",
     ]
     df = with_strict_json(one_column(spark, refused), "value", "v")
     assert results(df.withColumn("n", F.col("v").isNull()), "n") == [(True,)] * len(refused)
 
 
 URLS = {
-    "https://gw.example.org:443/v1/private/list/1282?limit=20&page=0": ("gw.example.org", "/v1/private/list/1282"),
+    "https://api.sample.test:8443/store/items/77?sort=asc#top": ("api.sample.test", "/store/items/77"),
     "http://h": ("h", ""),
     "http://h?x=1": ("h", ""),
     "http://h/a%20b+c": ("h", "/a b+c"),
@@ -132,11 +132,11 @@ def test_url_parts(spark):
     assert got == URLS
 
 
-UUID = "123e4567-e89b-12d3-a456-426614174000"
+UUID = "0f9d31c2-77aa-4c1e-8b40-5d2a6f00be19"
 PATHS = {
-    "/v1/list/1282": "/v1/list/{id}",
-    f"/v1/list/{UUID}": "/v1/list/{uuid}",
-    "/v1/list/1282:act": "/v1/list/{id}:act",
+    "/store/items/77": "/store/items/{id}",
+    f"/store/{UUID}/tags": "/store/{uuid}/tags",
+    "/store/items/6:hide": "/store/items/{id}:hide",
     "": "",
     "//": "//",
     "/a/": "/a/",

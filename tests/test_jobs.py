@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from specloom.operators.documents import api_documents
 from specloom.operators.records import accepted, parse_records
+from specloom.operators.updates import soft_delete
 from specloom.plans.build import build_structures, run_build
 from specloom.plans.documents import load_document, load_documents
 from specloom.plans.ingest import ingest_archive, ingest_folder
@@ -18,8 +20,8 @@ from specloom.sources.archive import hour_paths, read_archive, read_folder
 from specloom.sources.tables import Warehouse
 from specloom.streaming.incremental import run_incremental
 
-T0 = datetime(2024, 12, 2, 3, tzinfo=timezone.utc)
-NOW = datetime(2025, 1, 1, tzinfo=timezone.utc)
+T0 = datetime(2023, 5, 31, 23, tzinfo=timezone.utc)
+NOW = datetime(2023, 8, 1, tzinfo=timezone.utc)
 
 
 def line(path, at, body, request_body="", method="GET", query=None):
@@ -43,20 +45,20 @@ def folders(spark, start, end):
 
 
 def test_hour_paths(spark):
-    assert folders(spark, T0, T0 + timedelta(hours=1)) == ["logs/proxy/2024-12-02/03/", "logs/proxy/2024-12-02/04/"]
+    assert folders(spark, T0, T0 + timedelta(hours=1)) == ["logs/proxy/2023-05-31/23/", "logs/proxy/2023-06-01/00/"]
     half = T0 + timedelta(minutes=30)
-    assert folders(spark, half, T0 + timedelta(minutes=75)) == ["logs/proxy/2024-12-02/03/"]
-    assert folders(spark, T0, T0) == ["logs/proxy/2024-12-02/03/"]
+    assert folders(spark, half, T0 + timedelta(minutes=75)) == ["logs/proxy/2023-05-31/23/"]
+    assert folders(spark, T0, T0) == ["logs/proxy/2023-05-31/23/"]
     assert folders(spark, half, T0) == []
 
 
 def test_archive_scan(spark, tmp_path):
-    hour = tmp_path / "logs/proxy/2024-12-02/03"
+    hour = tmp_path / "logs/proxy/2023-05-31/23"
     put(hour, "a.gz", ["one", "t\rwo"])
     put(hour / "deep", "b.log.gz", ["three"])
     (hour / "a.gz.metadata").write_text("skip")
     (hour / "plain.log").write_text("skip")
-    put(tmp_path / "logs/proxy/2024-12-02/09", "late.gz", ["skip"])
+    put(tmp_path / "logs/proxy/2023-06-01/05", "late.gz", ["skip"])
     got = read_archive(spark, str(tmp_path), T0, T0 + timedelta(hours=2))
     assert sorted(r.value for r in got.collect()) == ["one", "t\rwo", "three"]
     assert read_archive(spark, str(tmp_path), T0 + timedelta(days=9), T0 + timedelta(days=9)).isEmpty()
@@ -71,8 +73,132 @@ def test_folder_scan_goes_by_content(spark, tmp_path):
     whole = gzip.compress(b"".join(b"line %d\n" % i for i in range(5000)))
     (tmp_path / "damaged").write_bytes(whole[: len(whole) // 2])
     put(tmp_path / "sub", "c.gz", ["skip"])
-    values = {r.value for r in read_folder(spark, str(tmp_path)).collect()}
+    rows = read_folder(spark, str(tmp_path)).collect()
+    values = {r.value for r in rows}
     assert {"one", "two", "three", "line 0"} <= values and "skip" not in values
+    assert sorted(r.file.rsplit("/", 1)[1] for r in rows if r.damage) == ["damaged", "fake.gz"]
+
+
+@pytest.mark.parametrize("name", ["x.gz", "x"])
+def test_damaged_files_give_their_lines_and_a_reason(spark, tmp_path, name):
+    lines = [b"line %d %s" % (i, os.urandom(20).hex().encode()) for i in range(20000)]
+    whole = gzip.compress(b"\n".join(lines) + b"\n")
+    (tmp_path / name).write_bytes(whole[: len(whole) // 2])
+    rows = read_folder(spark, str(tmp_path)).collect()
+    found = [r.value.encode() for r in rows if r.value is not None]
+    assert len(found) > 5000 and found[:-1] == lines[: len(found) - 1]
+    assert [r.position for r in rows if r.value is not None] == list(range(len(found)))
+    assert [r.damage for r in rows if r.damage] == ["file is damaged: it ends early"]
+
+
+def test_files_of_several_members_and_odd_endings(spark, tmp_path):
+    a, b = gzip.compress(b"one\ntw"), gzip.compress(b"o\n\nlast")
+    (tmp_path / "members.gz").write_bytes(a + b)
+    (tmp_path / "padded.gz").write_bytes(a + b"\0" * 512)
+    (tmp_path / "tail.gz").write_bytes(a + b"garbage after the end")
+    (tmp_path / "empty.gz").write_bytes(b"")
+    flipped = bytearray(gzip.compress(b"checked\n" * 100))
+    flipped[-6] ^= 1
+    (tmp_path / "sum.gz").write_bytes(bytes(flipped))
+    found = {}
+    for r in read_folder(spark, str(tmp_path)).orderBy("file", F.col("position").asc_nulls_last()).collect():
+        found.setdefault(r.file.rsplit("/", 1)[1], []).append(r.value if r.damage is None else "damage")
+    assert found["members.gz"] == ["one", "two", "", "last"] and found["padded.gz"] == ["one", "tw"]
+    assert found["tail.gz"] == ["one", "tw", "damage"] and found["sum.gz"][-1] == "damage" and "empty.gz" not in found
+
+
+def test_long_lines_and_equal_lines_on_both_routes(spark, tmp_path):
+    long = line("/big", T0, json.dumps({"k": "v" * 6_000_000}))
+    hour = tmp_path / "archive/logs/proxy/2023-05-31/23"
+    same = line("/same", T0, "{}")
+    put(hour, "a.gz", [long, same, same])
+    put(tmp_path / "folder", "a", [long, same, same])
+    for number, ingest in enumerate((
+        lambda w: ingest_archive(spark, str(tmp_path / "archive"), T0, T0, w, NOW, batch=1),
+        lambda w: ingest_folder(spark, str(tmp_path / "folder"), w, NOW, batch=1),
+    )):
+        warehouse = Warehouse(spark, scratch_path(spark, f"route{number}"))
+        ingest(warehouse)
+        assert sorted(r.path for r in warehouse.read_snapshot("apis").collect()) == ["/big", "/same"]
+        ids = [r.id for r in warehouse.read_appended("sample_requests").collect()]
+        assert len(ids) == len(set(ids)) == 3
+        assert warehouse.read_appended("quarantine").isEmpty()
+
+
+def test_unread_batches_are_built_whatever_their_stamps(spark, tmp_path):
+    """A batch stamped before a build but written after it is not lost, and nothing is read twice."""
+    warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
+    put(tmp_path / "1", "a", [line("/a", T0, '{"x":1}')])
+    put(tmp_path / "2", "a", [line("/a", T0 - timedelta(1), '{"x":"s","late":true}')])
+    ingest_folder(spark, str(tmp_path / "1"), warehouse, NOW, batch=1)
+    run_build(warehouse, NOW + timedelta(seconds=100), version=3)
+    ingest_folder(spark, str(tmp_path / "2"), warehouse, NOW + timedelta(seconds=50), batch=2)
+    run_build(warehouse, NOW + timedelta(seconds=200), version=5)
+    assert schema_of(documents(warehouse), "/a")["properties"] == {"late": {"type": "boolean"}, "x": {"type": "string"}}
+    assert [r.batch for r in warehouse.read_snapshot("consumed").orderBy("batch").collect()] == [1, 2]
+
+
+def test_same_stamp_for_ingest_and_build(spark, tmp_path):
+    warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
+    for batch, body in enumerate(('{"x":1}', '{"x":"s"}'), start=1):
+        put(tmp_path / str(batch), "a", [line("/a", T0 + timedelta(batch), body)])
+        ingest_folder(spark, str(tmp_path / str(batch)), warehouse, NOW + timedelta(batch), batch)
+        run_build(warehouse, NOW + timedelta(batch), version=2 * batch + 1)
+    assert schema_of(documents(warehouse), "/a")["properties"] == {"x": {"type": "string"}}
+
+
+def test_rebuild_after_soft_delete(spark, tmp_path):
+    warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
+    put(tmp_path / "1", "a", [line("/a", T0, '{"x":1}', query={"p": "1"})])
+    ingest_folder(spark, str(tmp_path / "1"), warehouse, NOW, batch=1)
+    run_build(warehouse, NOW, version=3)
+    later = NOW + timedelta(1)
+    for table in ("request_structures", "response_structures"):
+        warehouse.write_snapshot(table, soft_delete(warehouse.read_snapshot(table), F.lit(True), later), 4)
+    put(tmp_path / "2", "a", [line("/a", T0, '{"y":1}', query={"q": "1"})])
+    ingest_folder(spark, str(tmp_path / "2"), warehouse, later, batch=2)
+    run_build(warehouse, later, version=5)
+    for table in ("request_structures", "response_structures"):
+        rows = warehouse.read_snapshot(table).collect()
+        assert sorted(r.deleted_at is None for r in rows) == [False, True] and len({r.id for r in rows}) == 2
+    got = documents(warehouse)
+    assert schema_of(got, "/a")["properties"] == {"y": {"type": "number"}}
+    assert [p["name"] for p in got["/a"]["paths"]["/a"]["get"]["parameters"]] == ["q"]
+
+
+def test_days_and_batches_are_pruned(spark, tmp_path):
+    warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
+    for batch in (1, 2):
+        put(tmp_path / str(batch), "a", [line("/a", T0, "{}")])
+        ingest_folder(spark, str(tmp_path / str(batch)), warehouse, NOW + timedelta(batch), batch)
+    day = warehouse.read_appended("sample_requests", since=(NOW + timedelta(2)).date())
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "date#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert day.count() == 1 and warehouse.read_appended("sample_requests").count() == 2
+    assert warehouse.read_appended("sample_requests", [2]).inputFiles()[0].split("batch=")[1].startswith("2/")
+
+
+def test_oldest_precedence_and_deep_merge(spark, tmp_path):
+    arrivals = ['{"x":1,"o":{"a":1,"l":[{"p":1}]}}', '{"x":"s","o":{"b":2,"l":[{"q":1}]},"y":1}']
+    found = {}
+    for precedence in ("newest", "oldest"):
+        for merge in ("shallow", "deep"):
+            warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
+            for batch, body in enumerate(arrivals, start=1):
+                folder = tmp_path / precedence / merge / str(batch)
+                put(folder, "a", [line("/a", T0 + timedelta(batch), body)])
+                ingest_folder(spark, str(folder), warehouse, NOW + timedelta(batch), batch)
+                run_build(warehouse, NOW + timedelta(batch), 2 * batch + 1, precedence=precedence, merge=merge)
+            found[precedence, merge] = schema_of(documents(warehouse), "/a")["properties"]
+    number, text = {"type": "number"}, {"type": "string"}
+    items = lambda p: {"items": {"properties": p, "type": "object"}, "type": "array"}
+    assert found["newest", "shallow"]["x"] == text and found["oldest", "shallow"]["x"] == number
+    assert found["newest", "shallow"]["o"]["properties"] == {"b": number, "l": items({"q": number})}
+    assert found["oldest", "shallow"]["o"]["properties"] == {"a": number, "l": items({"p": number})}
+    for precedence in ("newest", "oldest"):
+        deep = found[precedence, "deep"]
+        assert deep["o"]["properties"] == {"a": number, "b": number, "l": items({"p": number, "q": number})}
+        assert deep["y"] == number
 
 
 def test_filter_on_unstaged_records_stays_above_the_parsing(spark):
@@ -105,9 +231,9 @@ def schema_of(document, path, method="get"):
 
 
 def test_jobs_end_to_end(spark, tmp_path):
-    hour = tmp_path / "logs/proxy/2024-12-02/03"
+    hour = tmp_path / "logs/proxy/2023-05-31/23"
     put(hour, "a.gz", [
-        line("/v1/private/list/1282?limit=20", T0, '{"a":1,"b":{"x":1}}', query={"limit": "20"}),
+        line("/v1/private/list/31?limit=20", T0, '{"a":1,"b":{"x":1}}', query={"limit": "20"}),
         line("/v1/private/list/7", T0 - timedelta(1), '{"a":"s","b":null}', query={"q": "1"}),
         line("/v1/private/list/8", T0, "{} tail"),
         line("/v2/add", T0, None, '{"k":[1]}', "POST"),
@@ -174,3 +300,15 @@ def test_incremental_runs(spark, tmp_path):
     run()
     assert documents(warehouse) == got
     assert warehouse.read_appended("sample_requests").count() == 4
+
+
+def test_old_files_are_taken_up(spark, tmp_path):
+    root = tmp_path / "in"
+    warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
+    checkpoint = scratch_path(spark, "stream")
+    put(root, "1.gz", [line("/a", T0, "{}")])
+    run_incremental(spark, str(root), warehouse, checkpoint, NOW)
+    put(root, "2.gz", [line("/old", T0, "{}")])
+    os.utime(root / "2.gz", (1_000_000_000, 1_000_000_000))
+    run_incremental(spark, str(root), warehouse, checkpoint, NOW)
+    assert set(documents(warehouse)) == {"/a", "/old"}

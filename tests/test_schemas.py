@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions.json_values import as_object, producing_members, with_strict_json
 from specloom.operators.parameter_merge import merge_parameters
-from specloom.operators.schema_fold import fold_bodies, merge_schemas, rejected_bodies, render_bodies, stored_keys, winning_schemas
+from specloom.operators.schema_fold import fold_bodies, merge_schemas, oldest_entries, rejected_bodies, render_bodies, stored_keys, winning_schemas
 from specloom.operators.schema_infer import infer_schemas
 from specloom.plans.build import body_schemas
 from specloom.schemas import PARAMETERS
@@ -176,13 +177,29 @@ def test_one_hot_api_reduces_before_the_shuffle(spark):
         F.timestamp_seconds("id").alias("event_at"),
         F.concat(F.lit('{"v":'), F.when(F.col("id") == 0, F.lit('"first"')).otherwise(F.col("id").cast("string")), F.lit("}")).alias("body"),
     )
+    plan = oldest_entries(samples, ["api_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort [" not in plan
     folded = fold_bodies(samples, ["api_id"])
-    plan = folded._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan
     rows = {r.kind: (r.value, r.n) for r in folded.collect()}
     assert rows == {"key": ('""', 20000), "body": (None, 20000)}
 
 
+def test_equal_times_go_by_id(spark):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = [("a", "3", at, '{"k":1,"m":1}'), ("a", "1", at, '{"k":"s"}'), ("a", "2", at, '{"k":true,"m":[1]}'), ("a", "0", at, "7")]
+    samples = spark.createDataFrame(rows, "api_id string, id string, event_at timestamp, body string")
+    got = {(r.kind, r.key): (r.value, r.n) for r in fold_bodies(samples, ["api_id"]).collect()}
+    assert got == {("key", "k"): ('""', 3), ("key", "m"): ("[0]", 2), ("body", None): (None, 3), ("rejected", None): (None, 1)}
+
+
+def test_array_of_very_many_unlike_objects(spark):
+    value = json.dumps([{f"k{i}": i, "last": i if i % 2 else "s"} for i in range(50_000)], separators=(",", ":"))
+    started = time.time()
+    row = infer_schemas(spark.createDataFrame([("a", value)], "key string, value string")).first()
+    assert len(row.fields) == 50_002 and time.time() - started < 60
+    assert json.loads(row.schema)["items"]["properties"]["last"] == {"type": "number"}
+
+
 def test_merge_parameters(spark):
     schema = f"api_id string, parameters {PARAMETERS}"
     p = lambda name, kind, required=False: (name, kind, "v", "query", required)

@@ -44,9 +44,20 @@ def test_find_and_first_match(users):
     assert rows.by_id(users, "b").isEmpty()
     assert rows.find(users, rows.matches({"age": None})).first().id == "d"
     assert [r.id for r in rows.find_page(users, F.lit(True), limit=2, offset=1).collect()] == ["c", "d"]
+    assert [r.id for r in rows.find_page(users, F.lit(True), [F.col("created_at").desc()], offset=1).collect()] == ["c", "d"]
     assert rows.count_rows(users, x).first().n == 3
 
 
+def test_page_without_limit_passes_no_single_task(spark):
+    many = spark.range(0, 5000, 1, 7).select(
+        F.format_string("%08d", "id").alias("id"), (F.col("id") % 11).alias("n"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    page = rows.find_page(many, F.col("n") != 3, [F.col("n").desc()], offset=1234)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "CollectLimit" not in plan and "GlobalLimit" not in plan
+    expected = sorted(((i % 11, f"{i:08d}") for i in range(5000) if i % 11 != 3), key=lambda r: (-r[0], r[1]))[1234:]
+    assert [(r.n, r.id) for r in page.collect()] == expected
+
+
 def test_item_fields():
     item = {"id": "i", "created_at": 1, "name": "", "age": 0, "tags": None}
     assert rows.item_fields(item) == {"name": "", "age": 0, "tags": None}
@@ -106,6 +117,9 @@ def test_gates(spark):
     assert moved["old"].latest_build_structure.day == 31 and moved["none"].latest_build_structure is None
     with pytest.raises(LookupError):
         move_cursor(apis, spark.createDataFrame([("absent",)], "api_id string"), NOW)
+    there = move_cursor(apis, spark.createDataFrame([("old",)], "api_id string"), NOW)
+    with pytest.raises(LookupError):
+        move_cursor(there, spark.createDataFrame([("old",)], "api_id string"), NOW)
     with pytest.raises(ValueError):
         due_apis(apis, samples, "other")
 
@@ -118,7 +132,10 @@ def test_warehouse_batches_and_snapshots(spark):
     warehouse.insert("types", one, 1, NOW)
     warehouse.insert("types", one, 2, NOW)
     assert warehouse.read_appended("types").count() == 2
-    assert warehouse.read_appended("types", 2).count() == 1
+    assert warehouse.read_appended("types", [2]).count() == 1
+    assert warehouse.batches("types") == [1, 2]
+    with pytest.raises(ValueError):
+        warehouse.insert("types", one, 2, day(30))
     warehouse.write_snapshot("apis", empty_table(spark, "apis"), 3)
     warehouse.write_snapshot("apis", conform(one, "apis"), 10)
     assert warehouse.versions("apis") == [3, 10]
