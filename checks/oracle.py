@@ -1,7 +1,5 @@
 """SQL over the raw tables that states what each registered query must return."""
 
-from specloom.operators.documents import SECURITY, SECURITY_DEFINITIONS, _compact
-
 _NOW = "epoch_us(TIMESTAMP '2024-02-01')"
 _STAMP = "epoch_us(TIMESTAMP '2024-06-01')"
 
@@ -131,7 +129,10 @@ def _documents(order: str) -> str:
         '{"openapi":"3.0.0","info":{"title":"API document","description":"API document",'
         '"version":"1.0.0"},"servers":[{"url":"gw.example.com"}],"paths":{'
     )
-    tail = f',"securityDefinitions":{_compact(SECURITY_DEFINITIONS)},"security":{_compact(SECURITY)}}}'
+    tail = (
+        ',"securityDefinitions":{"Bearer":{"description":"Enter the token with the `Bearer: ` prefix, e.g. \\"Bearer abcde12345\\".",'
+        '"in":"header","name":"Authorization","type":"apiKey"}},"security":[{"Bearer":[]}]}'
+    )
     request = '"requestBody":{"content":{"application/json":{"schema":' + _object(f'"k":{_NUMBER}') + "}}}"
     return _with(_E, _PARAMETERS, _RESPONSE_BODIES, _RESPONSE_VALUES, _winners(order)) + f"""
 , api AS (SELECT DISTINCT api_id, path, method FROM a),
@@ -183,12 +184,6 @@ SQL = {
         SELECT 'logs/proxy/' || strftime(ts, '%Y-%m-%d/%H') || '/' AS folder, count(*) AS n_lines,
           count(*) FILTER (WHERE clean = '' AND record = '') AS n_accepted, 1 AS n_files
         FROM e GROUP BY 1""",
-    "clean_lines": _with(_E) + """
-        SELECT clean AS reason, count(*) AS n,
-          count(*) FILTER (WHERE clean = '' AND h <> 29) AS n_extractable,
-          CAST(sum(CASE h WHEN 3 THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00.123456')
-                     WHEN 4 THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00.5') ELSE 0 END) AS BIGINT) AS receive_micros
-        FROM e GROUP BY 1""",
     "record_validity": _with(_E) + """
         SELECT CASE WHEN clean <> '' THEN 'clean' WHEN record <> '' THEN 'record' ELSE '' END AS stage,
           CASE WHEN clean <> '' THEN clean ELSE record END AS reason, count(*) AS n,
@@ -236,9 +231,9 @@ SQL = {
         FROM rb WHERE b IN (5, 8, 9) GROUP BY 1""",
     "schema_merge_pair": """
         WITH side AS (
-          SELECT c_custkey % 3 AS parity, c_nationkey, c_mktsegment AS key,
+          SELECT c_custkey % 2 AS parity, c_nationkey, c_mktsegment AS key,
             ['{}', 'null', '{"type":"string"}', '{"type":"number"}', '{"type":"boolean"}'][min(c_custkey) % 5 + 1] AS schema
-          FROM customer WHERE c_custkey % 3 < 2 GROUP BY ALL),
+          FROM customer GROUP BY ALL),
         l AS (SELECT * FROM side WHERE parity = 0 AND schema <> 'null'),
         r AS (SELECT * FROM side WHERE parity = 1 AND schema <> '{}')
         SELECT c_nationkey, key, coalesce(r.schema, l.schema) AS schema
@@ -339,14 +334,79 @@ SQL = {
 
 _MOST = """CASE h WHEN 30 THEN 0 WHEN 31 THEN 201 WHEN 32 THEN 202 WHEN 33 THEN 0
   ELSE CASE WHEN event_type = 'error' THEN 500 ELSE 200 END END"""
-_VALUE = "CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END + length(CAST(value AS VARCHAR))"
+_VALUE = "CAST(value AS VARCHAR)"
+_TAGS = """['[]', '["a"]', '[1]', '[{"x":1},{"y":"s"}]', '[null]', '[[1]]'][event_id % 6 + 1]"""
+_DEEP_BODY = '{"deep":{"a":{"b":{"c":{"d":{"e":{"f":{"g":[{"h":true}]}}}}}}}}'
+# The response body of an event, as text.
+_BODY = f"""CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN '' ELSE CASE event_id % 23
+    WHEN 5 THEN '{{"id":1}} x' WHEN 6 THEN '[1,2]' WHEN 7 THEN 'null' WHEN 8 THEN '3' WHEN 9 THEN '{{"id":1e400}}'
+    WHEN 10 THEN '{{"id":1,"id":"s"}}' WHEN 12 THEN '{_DEEP_BODY}'
+    ELSE '{{"id":' || event_id || ',"value":' || CASE WHEN event_id % 5 = 0 THEN '"' || {_VALUE} || '"' ELSE {_VALUE} END
+      || CASE WHEN event_type = 'error' THEN ',"error":"broken \\"pipe\\""' ELSE '' END
+      || CASE WHEN event_id % 2 = 0 THEN ',"user":{{"id":1,"tier":"gold"}}' ELSE ',"user":{{"id":1,"flag":true}}' END
+      || ',"tags":' || {_TAGS} || ',"note":null}}' || chr(10) END END"""
 SQL["response_samples"] = _with(_E) + f"""
-    SELECT sid AS id, api_id, {_MOST} AS http_status_code, us AS event_at,
-      CASE WHEN event_id % 13 = 0 THEN 0 ELSE CASE event_id % 23
-        WHEN 5 THEN 10 WHEN 6 THEN 5 WHEN 7 THEN 4 WHEN 8 THEN 1 WHEN 9 THEN 12 WHEN 10 THEN 17 WHEN 12 THEN 63
-        ELSE length('{{"id":' || event_id || ',"value":') + {_VALUE}
-          + CASE WHEN event_type = 'error' THEN length(',"error":"broken \\"pipe\\""') ELSE 0 END
-          + CASE WHEN event_id % 2 = 0 THEN length(',"user":{{"id":1,"tier":"gold"}}') ELSE length(',"user":{{"id":1,"flag":true}}') END
-          + length(',"tags":,"note":null}}') + 1
-          + length(['[]', '["a"]', '[1]', '[{{"x":1}},{{"y":"s"}}]', '[null]', '[[1]]'][event_id % 6 + 1]) END END AS body_length
+    SELECT sid AS id, api_id, {_MOST} AS http_status_code, us AS event_at, md5({_BODY}) AS body_md5
     FROM a WHERE event_id % 11 <> 0"""
+
+
+def _quoted(text: str) -> str:
+    """SQL for a text as a JSON string; null stays."""
+    return f"""('"' || replace(replace(replace({text}, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') || '"')"""
+
+
+# The record of an event, as the text that cleaning must find.
+_URL = """'https://gw.example.com:443/v1/' || CASE WHEN w THEN 'private/' ELSE '' END || event_type || '/'
+    || CASE WHEN event_id % 10 = 4 THEN substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-'
+         || substr(d, 17, 4) || '-' || substr(d, 21, 12) ELSE CAST(user_id AS VARCHAR) END
+    || CASE WHEN event_id % 3 = 0 THEN ':confirm' ELSE '' END || '?limit=20&page=' || event_id % 7"""
+_QUERY = """'{"limit":"20","page":"' || event_id % 7 || '"' || CASE WHEN event_id % 4 = 0 THEN ',"q":"x y"' ELSE '' END
+    || CASE event_id % 9 WHEN 0 THEN ',"1":"on"' WHEN 3 THEN ',"12":"z"' ELSE '' END || '}'"""
+_RECORD_TEXT = f"""
+q AS (SELECT e.*, md5(CAST(event_id AS VARCHAR)) AS d FROM e),
+r AS (SELECT *,
+    CASE WHEN h = 24 THEN '{{' ELSE '{{"method":' || CASE WHEN w THEN '"POST"' ELSE '"GET"' END || ',' END
+    || '"url":' || CASE WHEN h = 23 THEN '5' ELSE '"' || {_URL} || '"' END
+    || ',"body":' || CASE WHEN h = 25 THEN '5' WHEN w THEN coalesce({_quoted("props")}, 'null') ELSE '""' END
+    || ',"querystring":' || CASE h WHEN 26 THEN '[1]' WHEN 27 THEN '{{"limit":20}}' ELSE {_QUERY} END
+    || ',"headers":{{"accept":"*/*"}}}}' AS request,
+    '{{"status":' || CASE h WHEN 30 THEN 'null' WHEN 31 THEN '"201"' WHEN 32 THEN '202.7' WHEN 33 THEN '"x"'
+        ELSE CASE WHEN event_type = 'error' THEN '500' ELSE '200' END END
+    || ',"body":' || CASE WHEN h = 28 THEN '5' ELSE coalesce({_quoted(_BODY)}, 'null') END || ',"size":10}}' AS response
+  FROM q),
+t AS (SELECT *, CASE h WHEN 17 THEN '{{not json}}' WHEN 29 THEN '[1]' ELSE
+    '{{"client":"' || CASE WHEN h = 15 THEN 'ĐA😀' ELSE '10.0.0.1' END || '","started_at":' || epoch_us(ts) // 1000
+    || CASE h WHEN 18 THEN '' WHEN 19 THEN ',"request":null' WHEN 20 THEN ',"request":"r"' ELSE ',"request":' || request END
+    || CASE h WHEN 21 THEN '' WHEN 22 THEN ',"response":null' ELSE ',"response":' || response END || '}}' END AS cleaned
+  FROM r)
+"""
+SQL["clean_lines"] = _with(_E, _RECORD_TEXT) + """
+    SELECT clean AS reason, count(*) AS n,
+      count(*) FILTER (WHERE clean = '' AND h <> 29) AS n_extractable,
+      CAST(sum(CASE h WHEN 3 THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00.123456')
+                 WHEN 4 THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00.5') ELSE 0 END) AS BIGINT) AS receive_micros,
+      CAST(coalesce(sum(CASE WHEN clean = '' THEN CAST('0x' || substr(md5(cleaned), 1, 8) AS BIGINT) END), 0) AS BIGINT) AS text_digests
+    FROM t GROUP BY 1"""
+SQL["folder_scan"] = _with(_E) + """
+    SELECT CASE WHEN clean <> '' THEN 'clean' WHEN record <> '' THEN 'record' ELSE '' END AS stage,
+      CASE WHEN clean <> '' THEN clean ELSE record END AS reason, 2 * count(*) AS n, 2 * count(*) AS n_ids
+    FROM e GROUP BY 1, 2"""
+SQL["damaged_files"] = _with(_E) + """
+    SELECT 'user-' || user_id % 50 AS file, count(*) AS n_lines,
+      count(*) FILTER (WHERE clean = '' AND record = '') AS n_accepted, CASE WHEN user_id % 50 % 4 = 0 THEN 0 ELSE 1 END AS n_damaged
+    FROM e GROUP BY user_id % 50"""
+for _name in ("late_files", "overlapping_ingest", "same_stamps"):
+    SQL[_name] = _documents("CAST(1 - event_id % 2 AS VARCHAR) || ord")
+SQL["incremental_oldest"] = _documents("ord")
+SQL["rebuild_after_delete"] = _with(_E, _RESPONSE_BODIES, _RESPONSE_VALUES) + """,
+    s AS (SELECT api_id, count(*) FILTER (WHERE event_id % 2 = 0) AS n0, count(*) FILTER (WHERE event_id % 2 = 1) AS n1
+          FROM a WHERE event_id % 11 <> 0 GROUP BY 1),
+    k AS (SELECT api_id, string_agg(DISTINCT key, ',' ORDER BY key) AS keys FROM rv WHERE event_id % 2 = 1 GROUP BY 1)
+    SELECT api_id, CAST(n1 > 0 AS BIGINT) AS n_live, CAST(n0 > 0 AS BIGINT) AS n_deleted,
+      CAST(n0 > 0 AS BIGINT) + CAST(n1 > 0 AS BIGINT) AS n_ids, coalesce(keys, '') AS live_keys
+    FROM s LEFT JOIN k USING (api_id)"""
+SQL["schema_merge_deep"] = """
+    WITH m AS (SELECT c_nationkey, c_mktsegment, max(c_custkey % 2) AS odd FROM customer GROUP BY ALL)
+    SELECT c_nationkey, 'k' AS key, '{"properties":{' || string_agg('"' || c_mktsegment || '":{"type":"'
+      || CASE WHEN odd = 1 THEN 'string' ELSE 'number' END || '"}', ',' ORDER BY c_mktsegment) || '},"type":"object"}' AS schema
+    FROM m GROUP BY 1"""

@@ -1,8 +1,11 @@
 """Registered queries: one per operator group, each over the whole of its tables."""
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+import gzip
+import zlib
+from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.derived_log import NOW, load, log_lines, log_records, write_archive
@@ -14,10 +17,10 @@ from specloom.operators.parameter_merge import merge_parameters
 from specloom.operators.records import accepted, parse_records, quarantined
 from specloom.plans.build import build_structures, run_build
 from specloom.plans.documents import load_documents
-from specloom.plans.ingest import ingest_archive
+from specloom.plans.ingest import ingest_archive, ingest_lines
 from specloom.schemas import conform, empty_table
 from specloom.session import configure, scratch_path, stage
-from specloom.sources.archive import hour_paths, read_archive
+from specloom.sources.archive import hour_paths, read_archive, read_folder, unpacked
 from specloom.sources.tables import Warehouse
 from specloom.streaming.incremental import run_incremental
 
@@ -36,6 +39,14 @@ def _ref_path() -> Column:
 
 # Scans
 
+def _span(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
+    """The first and the last full hour of the log."""
+    span = load(spark, sf_dir, "events").agg(
+        F.date_trunc("hour", F.min("ts")).cast("long").alias("a"), F.date_trunc("hour", F.max("ts")).cast("long").alias("b")
+    ).first()
+    return datetime.fromtimestamp(span.a, timezone.utc), datetime.fromtimestamp(span.b, timezone.utc)
+
+
 def hour_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = load(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return hour_paths(span, F.col("a"), F.col("b"))
@@ -44,8 +55,7 @@ def hour_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gz_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "archive")
     write_archive(log_lines(load(spark, sf_dir, "events")), root)
-    start, end = datetime(2023, 12, 31, tzinfo=timezone.utc), datetime(2024, 2, 1, tzinfo=timezone.utc)
-    records = parse_records(read_archive(spark, root, start, end), NOW)
+    records = parse_records(read_archive(spark, root, *_span(spark, sf_dir)), NOW)
     return records.groupBy(_ref_path().alias("folder")).agg(
         F.count("*").alias("n_lines"),
         F.count_if(F.col("reason").isNull()).alias("n_accepted"),
@@ -53,6 +63,43 @@ def gz_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flat folder of gzip files, half of them under other names, in which every line stands twice."""
+    lines = log_lines(load(spark, sf_dir, "events")).select("value")
+    folder = scratch_path(spark, "folder")
+    lines.unionByName(lines).write.option("compression", "gzip").text(folder)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, status in enumerate(fs.listStatus(hadoop.Path(folder))):
+        path = status.getPath()
+        if i % 2 and path.getName().endswith(".gz"):
+            fs.rename(path, hadoop.Path(f"{folder}/log-{i}"))
+    records = parse_records(read_folder(spark, folder), NOW)
+    return records.groupBy(
+        F.coalesce("stage", F.lit("")).alias("stage"), F.coalesce("reason", F.lit("")).alias("reason")
+    ).agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+
+
+def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per user group: whole, without its last bytes, with a wrong checksum, or with a tail of other bytes."""
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        kind = int(group["user"].iloc[0]) % 4
+        whole = gzip.compress("".join(f"{line}\n" for line in group["value"]).encode(), mtime=0)
+        crc = zlib.crc32(whole).to_bytes(4, "little")
+        content = [whole, whole[:-4], whole[:-8] + crc + whole[-4:], whole + b"other bytes"][kind]
+        return pd.DataFrame({"path": [f"user-{group['user'].iloc[0]}"], "content": [content]})
+
+    lines = log_lines(load(spark, sf_dir, "events")).join(load(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    files = lines.select((F.col("user_id") % 50).alias("user"), "value").groupBy("user").applyInPandas(pack, "path string, content binary")
+    records = parse_records(unpacked(files), NOW)
+    return records.groupBy("file").agg(
+        F.count_if(F.coalesce("stage", F.lit("")) != "file").alias("n_lines"),
+        F.count_if(F.col("reason").isNull()).alias("n_accepted"),
+        F.count_if(F.col("stage") == "file").alias("n_damaged"),
+    )
+
+
 # Lines, records, URLs, parameters
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +108,15 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if("extractable").alias("n_extractable"),
         F.coalesce(F.sum(F.unix_micros("receive_time")), F.lit(0)).alias("receive_micros"),
+        F.coalesce(F.sum(_digest(F.col("text"))), F.lit(0)).alias("text_digests"),
     )
 
 
+def _digest(text: Column) -> Column:
+    """A number that stands for a text in sums."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def record_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = log_records(spark, sf_dir)
     return records.groupBy(
@@ -120,7 +173,7 @@ def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def response_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = catalog.response_samples(log_records(spark, sf_dir), NOW)
     return samples.select(
-        "id", "api_id", "http_status_code", F.length("body").alias("body_length"), _micros("event_at")
+        "id", "api_id", "http_status_code", F.md5("body").alias("body_md5"), _micros("event_at")
     )
 
 
@@ -183,7 +236,7 @@ def schema_merge_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(parity: int) -> DataFrame:
         pick = (F.min("c_custkey") % 5 + 1).cast("int")
         return (
-            customer.where(F.col("c_custkey") % 3 == parity)
+            customer.where(F.col("c_custkey") % 2 == parity)
             .groupBy("c_nationkey", F.col("c_mktsegment").alias("key"))
             .agg(F.element_at(texts, pick).alias("schema"))
         )
@@ -191,6 +244,22 @@ def schema_merge_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_fold.merge_schemas(side(0), side(1), ["c_nationkey"])
 
 
+def schema_merge_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with a member per market segment: numbers on the left, strings on the right."""
+    customer = load(spark, sf_dir, "customer")
+
+    def side(parity: int, kind: str) -> DataFrame:
+        member = F.concat(F.lit('"'), "c_mktsegment", F.lit(f'":{{"type":"{kind}"}}'))
+        return (
+            customer.where(F.col("c_custkey") % 2 == parity)
+            .groupBy("c_nationkey", F.lit("k").alias("key"))
+            .agg(F.array_join(F.sort_array(F.collect_set(member)), ",").alias("members"))
+            .select("c_nationkey", "key", schema_fold.object_schema(F.col("members")).alias("schema"))
+        )
+
+    return schema_fold.merge_deep(side(0, "number"), side(1, "string"), ["c_nationkey"])
+
+
 # Tables
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,8 +507,7 @@ def build_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "archive")
     write_archive(log_lines(load(spark, sf_dir, "events")), root)
     warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
-    start, end = datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 1, 31, tzinfo=timezone.utc)
-    ingest_archive(spark, root, start, end, warehouse, NOW, batch=1)
+    ingest_archive(spark, root, *_span(spark, sf_dir), warehouse, NOW, batch=1)
     run_build(warehouse, STAMP, version=3)
     return load_documents(warehouse)
 
@@ -456,8 +524,96 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_documents(warehouse)
 
 
+def _arrive(lines: DataFrame, folder: str) -> None:
+    lines.select("value").write.option("compression", "gzip").text(folder)
+
+
+def late_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that turn up with a time long before those already taken up."""
+    root, checkpoint = scratch_path(spark, "incoming"), scratch_path(spark, "stream")
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    lines = stage(log_lines(load(spark, sf_dir, "events")), "lines")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for part in range(2):
+        folder = f"{root}/arrival={part}"
+        _arrive(lines.where(F.col("event_id") % 2 == part), folder)
+        fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(hadoop.Path(folder)) if part else []:
+            fs.setTimes(status.getPath(), 1_000_000_000_000, -1)
+        run_incremental(spark, root, warehouse, checkpoint, NOW)
+    return load_documents(warehouse)
+
+
+def incremental_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals in order of time under 'oldest' precedence: the same documents as from one build."""
+    root, checkpoint = scratch_path(spark, "incoming"), scratch_path(spark, "stream")
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    lines = stage(log_lines(load(spark, sf_dir, "events")), "lines")
+    low, high = lines.agg(F.percentile_approx(F.col("ts").cast("long"), [0.3, 0.7])).first()[0]
+    part = F.when(F.col("ts").cast("long") <= low, 0).when(F.col("ts").cast("long") <= high, 1).otherwise(2)
+    for arrival in range(3):
+        _arrive(lines.where(part == arrival), f"{root}/arrival={arrival}")
+        run_incremental(spark, root, warehouse, checkpoint, NOW, precedence="oldest")
+    return load_documents(warehouse)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    lines = stage(log_lines(load(spark, sf_dir, "events")), "lines")
+    return [lines.where(F.col("event_id") % 2 == part).select("file", "value") for part in range(2)]
+
+
+def overlapping_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch written after a build, with an earlier stamp than that build's."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    first, second = _halves(spark, sf_dir)
+    ingest_lines(first, warehouse, NOW, 1)
+    run_build(warehouse, NOW + timedelta(seconds=100), version=3)
+    ingest_lines(second, warehouse, NOW + timedelta(seconds=50), 2)
+    run_build(warehouse, NOW + timedelta(seconds=200), version=5)
+    return load_documents(warehouse)
+
+
+def same_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest and build of a batch under one instant, as README shows it, for one batch and another."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    for batch, lines in enumerate(_halves(spark, sf_dir), start=1):
+        now = NOW + timedelta(hours=batch)
+        ingest_lines(lines, warehouse, now, batch)
+        run_build(warehouse, now, version=2 * batch + 1)
+    return load_documents(warehouse)
+
+
+def rebuild_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response structures of a build, soft-deleted, and their successors from another half of the log."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    first, second = _halves(spark, sf_dir)
+    ingest_lines(first, warehouse, NOW, 1)
+    run_build(warehouse, NOW, version=3)
+    for table in ("request_structures", "response_structures"):
+        gone = updates.soft_delete(warehouse.read_snapshot(table), F.lit(True), NOW + timedelta(hours=1))
+        warehouse.write_snapshot(table, gone, 4)
+    ingest_lines(second, warehouse, NOW + timedelta(hours=2), 2)
+    run_build(warehouse, NOW + timedelta(hours=2), version=5)
+    rows_ = warehouse.read_snapshot("response_structures")
+    names = F.json_object_keys(F.get_json_object("body_schema", "$.properties"))
+    return rows_.groupBy("api_id").agg(
+        F.count_if(F.col("deleted_at").isNull()).alias("n_live"),
+        F.count_if(F.col("deleted_at").isNotNull()).alias("n_deleted"),
+        F.countDistinct("id").alias("n_ids"),
+        F.array_join(F.sort_array(F.coalesce(F.max(F.when(F.col("deleted_at").isNull(), names)), F.array())), ",").alias("live_keys"),
+    )
+
+
 QUERIES = {
     "hour_paths": hour_folders,
+    "folder_scan": folder_scan,
+    "damaged_files": damaged_files,
+    "late_files": late_files,
+    "incremental_oldest": incremental_oldest,
+    "overlapping_ingest": overlapping_ingest,
+    "same_stamps": same_stamps,
+    "rebuild_after_delete": rebuild_after_delete,
+    "schema_merge_deep": schema_merge_deep,
     "gz_scan": gz_scan,
     "clean_lines": clean_lines,
     "record_validity": record_validity,

@@ -74,7 +74,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever it lies on the driver, and bound what they are handed at once."""
-    if spark.conf.get(_BATCH_BYTES, "") in _DEFAULT_BATCH_BYTES:
+    if spark.conf.get(_BATCH_BYTES) in _DEFAULT_BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:

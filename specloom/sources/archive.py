@@ -122,16 +122,34 @@ def _pieces(content: bytes):
             return
         member = zlib.decompressobj(31)
         while not member.eof and at < len(content):
-            part = content[at : at + _PIECE]
-            at += len(part)
-            yield member.decompress(part, _PIECE)
-            while member.unconsumed_tail:
-                yield member.decompress(member.unconsumed_tail, _PIECE)
+            data = content[at : at + _PIECE]
+            at += len(data)
+            while data:
+                before = member.copy()
+                try:
+                    yield member.decompress(data, _PIECE)
+                except zlib.error:
+                    yield from _up_to_damage(before, data)
+                    raise
+                data = member.unconsumed_tail
         if not member.eof:
             raise EOFError("it ends early")
         at -= len(member.unused_data)
 
 
+def _up_to_damage(member, data: bytes):
+    """What a member gives before its damage: unpacked in ever smaller steps, the last of one byte."""
+    for step in (4096, 64, 1):
+        while data:
+            before = member.copy()
+            try:
+                yield member.decompress(data, step)
+            except zlib.error:
+                member = before
+                break
+            data = member.unconsumed_tail
+
+
 def _unpack(skip_foreign: bool):
     def unpack(batches):
         import pyarrow as pa
