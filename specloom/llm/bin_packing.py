@@ -11,7 +11,6 @@ import heapq
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -201,16 +200,18 @@ def pack_pieces(pieces: DataFrame, limit: int, shard_pieces: int = SHARD_PIECES)
         + [T.StructField(c, T.LongType()) for c in ("shard", "sequence_id", "offset", "fill")]
     )
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(keys, kind="stable", ignore_index=True)
-        sequence, offset, fill = _pack(first + int(group["shard"].iloc[0]), group["length"].to_numpy(), limit)
-        return group.assign(sequence_id=sequence, offset=offset, fill=fill)
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(k, "ascending") for k in keys])
+        found = _pack(first + group.column("shard")[0].as_py(), group.column("length").to_numpy(), limit)
+        for name, values in zip(("sequence_id", "offset", "fill"), found):
+            group = group.append_column(name, pa.array(values))
+        return group
 
     keys = [f.name for f in pieces.schema.fields if isinstance(f.dataType, (T.IntegralType, T.StringType))]
     shards, first, done = max(1, -(-pieces.count() // shard_pieces)), 0, None
     left = pieces.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
     while True:
-        packed = left.groupBy("shard").applyInPandas(pack, schema)
+        packed = left.groupBy("shard").applyInArrow(pack, schema)
         if shards == 1:
             done = packed if done is None else done.unionByName(packed)
             return done.drop("shard", "fill")

@@ -92,6 +92,15 @@ def test_packing(spark, library, texts, shard_pieces):
     assert len(sequences) <= 1.02 * sum(r.length for r in rows) / 100 + 3
 
 
+def test_packing_null_and_large_ids(spark):
+    docs = spark.createDataFrame([(None, "a"), (2**62 + 1, None), (2**62 + 1, "b c")], "doc_id long, text string")
+    rows = bin_packing.pack_documents(docs, PATH, 2, 8).collect()
+    assert sorted((str(r.doc_id), r.piece, r.length) for r in rows) == [
+        (str(2**62 + 1), 0, 1), (str(2**62 + 1), 0, 3), ("None", 0, 2)
+    ]
+    assert len({r.sequence_id for r in rows}) == 1 and sorted(r.offset for r in rows)[0] == 0
+
+
 def test_packing_nothing(spark):
     assert bin_packing.pack_documents(frame(spark, ["a"]).limit(0), PATH, 2, 1024).collect() == []
 
