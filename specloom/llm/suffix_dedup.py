@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from specloom.llm.words import text_buffers
@@ -25,8 +26,9 @@ from specloom.session import ship_package, stage
 #: Bytes of an anchor.
 GRAM = 32
 CHUNK = 8
-SLAB_BYTES = 1 << 21
-#: Segments whose suffixes are sorted together; an anchor with more has its windows grouped by their bytes instead.
+SLAB_BYTES = 1 << 20
+#: Segments whose suffixes are sorted together; an anchor with more has its windows dealt out by their bytes instead, and
+#: they are compared by digests of 128 bits.
 GROUP_SEGMENTS = 20_000
 BATCH_SEGMENTS = 4_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -284,7 +286,11 @@ def repeated_windows(
 
 
 def _compare(length: int):
-    """Over rows (anchor, key, start, gap, bytes) sorted by anchor: spans (key, start, size)."""
+    """Over rows (route, digest, key, start, gap, bytes) in the order of the first four: spans (key, start, size).
+
+    A row with a digest is a window; of equal ones all but the first are spans. The others are segments, routed by their
+    anchor, and go into suffix arrays.
+    """
 
     def spans(held: list[pa.RecordBatch]):
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -293,20 +299,30 @@ def _compare(length: int):
         _, offsets, data = column.buffers()
         bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
         raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
-        whose, where = repeated_windows(key, start, gap, raw, bounds - bounds[0], length)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in _joined(whose, where, np.full(len(where), length))], ["key", "start", "size"]
-        )
+        return repeated_windows(key, start, gap, raw, bounds - bounds[0], length)
+
+    def result(key: np.ndarray, start: np.ndarray):
+        found = _joined(key, start, np.full(len(start), length))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "start", "size"])
 
     def compare(batches):
         # Texts are cut where the anchor changes, once enough segments have come together.
-        held, count, before = [], 0, None
+        held, count, before, digest = [], 0, None, None
         for batch in batches:
+            windows = batch.filter(batch.column(1).is_valid())
+            if windows.num_rows:
+                digests = windows.column(1)
+                same = np.zeros(len(digests), bool)
+                same[0] = digests[0].as_py() == digest
+                same[1:] = pc.equal(digests.slice(1), digests.slice(0, len(digests) - 1)).to_numpy(zero_copy_only=False)
+                digest = digests[len(digests) - 1].as_py()
+                yield result(windows.column(2).to_numpy()[same], windows.column(3).to_numpy()[same])
+            batch = batch.filter(batch.column(1).is_null())
             if not batch.num_rows:
                 continue
             anchor = batch.column(0).to_numpy()
             if held and count >= BATCH_SEGMENTS and before != anchor[0]:
-                yield spans(held)
+                yield result(*spans(held))
                 held, count = [], 0
             changes, at = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, 0
             while True:
@@ -314,12 +330,12 @@ def _compare(length: int):
                 if k == len(changes):
                     break
                 held.append(batch.slice(at, int(changes[k]) - at))
-                yield spans(held)
+                yield result(*spans(held))
                 held, count, at = [], 0, int(changes[k])
             held.append(batch.slice(at))
             count, before = count + batch.num_rows - at, anchor[-1]
         if held:
-            yield spans(held)
+            yield result(*spans(held))
 
     return compare
 
@@ -362,24 +378,28 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     )
     open_ = settled.where("gap IS NOT NULL")
     sizes = stage(open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_SEGMENTS), "large")
+    wanted = open_.withColumn("large", F.lit(False))
+    if not sizes.isEmpty():
+        large = sizes.select("anchor", F.lit(True).alias("large"))
+        wanted = open_.join(large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     cut = F.expr("substring(CAST(text AS BINARY), CAST(start + 1 AS INT), CAST(size AS INT))").alias("bytes")
-    read = open_.join(rows.select("key", "text"), "key").select("anchor", "key", "start", "gap", cut)
-    small = read.join(sizes.select("anchor"), "anchor", "left_anti") if not sizes.isEmpty() else read
+    read = wanted.join(rows, "key").select("large", "anchor", "key", "start", "gap", cut)
+    # The windows of an anchor with very many contexts are dealt out each by its bytes.
+    window = f"substring(bytes, i + 1, {length})"
+    pieces = F.expr(f"""
+        CASE WHEN large THEN transform(sequence(0, octet_length(bytes) - {length}), i -> named_struct(
+            'route', xxhash64({window}), 'digest', unhex(md5({window})), 'key', key, 'start', start + i,
+            'gap', CAST(NULL AS BIGINT), 'bytes', CAST(NULL AS BINARY)))
+        ELSE array(named_struct('route', anchor, 'digest', CAST(NULL AS BINARY), 'key', key, 'start', start,
+            'gap', gap, 'bytes', bytes)) END
+    """)
     compared = (
-        small.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), "key long, start long, size long")
+        read.select(F.inline(pieces))
+        .repartition(parts, "route")
+        .sortWithinPartitions("route", "digest", "key", "start")
+        .mapInArrow(_compare(length), "key long, start long, size long")
     )
-    spans = settled.where("gap IS NULL").select("key", "start", "size").unionByName(compared)
-    if not sizes.isEmpty():
-        # An anchor with very many contexts: each window by its bytes, the earliest of each kept.
-        large = read.join(sizes.select("anchor"), "anchor").withColumn(
-            "i", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - F.lit(length)))
-        )
-        window = F.expr(f"substring(bytes, i + 1, {length})")
-        large = large.select("key", (F.col("start") + F.col("i")).alias("start"), window.alias("bytes")).distinct()
-        first = large.groupBy("bytes").agg(F.min(F.struct("key", "start")).alias("first"))
-        again = large.join(first, "bytes").where(F.struct("key", "start") != F.col("first"))
-        spans = spans.unionByName(again.select("key", "start", F.lit(length).cast("long").alias("size")))
-    return spans
+    return settled.where("gap IS NULL").select("key", "start", "size").unionByName(compared)
 
 
 def remove_repeats(
