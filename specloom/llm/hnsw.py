@@ -247,6 +247,8 @@ def build_index(
         return pa.Table.from_pylist([row], schema=schema)
 
     placed = placed.select("dim", "shard", "vec", "members", F.col("members")[0].alias("members_first"))
+    # Building a graph takes long for its bytes, so shards are not put together into few tasks by size.
+    placed = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "shard")
     return placed.groupBy("dim", "shard").applyInArrow(shard, INDEX)
 
 
