@@ -32,7 +32,7 @@ SIZE_STEPS = 24
 #: With fewer features than this the floor sinks in proportion: a few grams say little about distance.
 SURE_FEATURES = 32
 UNKNOWN = "und"
-SLAB_CHARS = 1 << 20
+SLAB_CHARS = 1 << 18
 SLAB_TEXTS = 64
 
 

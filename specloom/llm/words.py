@@ -13,7 +13,7 @@ import pyarrow as pa
 from specloom.llm.shingles import powers
 
 #: Bytes worked on at once; a longer text is cut at word boundaries.
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 20
 #: Distinct words a worker remembers before it forgets those it has not met again.
 CACHE_WORDS = 700_000
 LONG_WORD = 64
@@ -83,7 +83,8 @@ class WordIds:
         raise NotImplementedError
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        # Keys of words in ascending order, and the slots at which their ids are kept.
+        self.ordered, self.slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.first, self.length = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int32)
         self.keys, self.slabs = np.empty(1 << 18, np.uint64), np.empty(1 << 18, np.int32)
@@ -118,12 +119,13 @@ class WordIds:
         codes, distinct = pd.factorize(key)
         if len(self.slots) + len(distinct) > self.cache_words:
             self._forget_rare()
-        keys = distinct.tolist()
-        get = self.slots.get
-        slot = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        slot = np.full(len(distinct), -1, np.int64)
+        if len(self.ordered):
+            spot = np.minimum(np.searchsorted(self.ordered, distinct), len(self.ordered) - 1)
+            slot = np.where(self.ordered[spot] == distinct, self.slots[spot], -1)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            where = np.empty(len(keys), np.int64)
+            where = np.empty(len(distinct), np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             where = where[new]
             words = [raw_bytes[a:b].decode("utf-8", "replace") for a, b in zip(start[where].tolist(), end[where].tolist())]
@@ -144,8 +146,11 @@ class WordIds:
         self.first[new] = self.used + np.cumsum(size) - size
         self.length[new], self.keys[new], self.slabs[new] = size, keys, 0
         self.used += len(flat)
-        self.slots.update(zip(keys.tolist(), range(n, n + len(keys))))
-        return np.arange(n, n + len(keys))
+        slots = np.arange(n, n + len(keys))
+        all_keys, all_slots = np.concatenate([self.ordered, np.sort(keys)]), np.concatenate([self.slots, slots[np.argsort(keys)]])
+        order = np.argsort(all_keys, kind="stable")
+        self.ordered, self.slots = all_keys[order], all_slots[order]
+        return slots
 
     def _pieces(self, raw: np.ndarray, bounds: np.ndarray):
         """Slabs: (from text, to text, bytes, bounds within, whether its last text ends here).
