@@ -111,6 +111,25 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL: dict[str, str] = {
+    "op7_ngram_join": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+            FROM worded
+        ), shingles AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+        ), links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+        ), reached(doc_id, root) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT y, root FROM reached JOIN links ON x = reached.doc_id
+        ), roots AS (SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id)
+        SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN roots USING (doc_id)
+    """,
     "op8_exact_dedup": """
         WITH normal AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
