@@ -3,8 +3,10 @@
 Shingles stand in one global order, those of frequent words last. Two sets as similar as asked for share a shingle among the first
 few of each (the prefix), and differ little in size. Sets with the same prefix and size form one group, and only groups
 meet. Where groups share a prefix shingle, those of like size gather around the first of them, their leader; any pair
-that could link meets at a leader, and no list of pairs is made. A leader's groups are then expanded to their sets,
-which are compared exactly. Large gatherings are cut into blocks, and every two blocks meet in a task of their own.
+that could link meets at a leader, and no list of pairs is made. A leader's groups are then expanded to their sets.
+Counts of a set's shingles by parts of the hash range bound what two sets can share; sets without a partner that the
+bound allows drop out, and the others are compared exactly. Large gatherings are cut into blocks, and every two blocks
+meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ from specloom.session import ship_package, stage
 
 #: Words of known frequency, the most frequent ones; this concerns the order of shingles alone, not what is compared.
 KNOWN_WORDS = 1 << 18
+#: Bits kept of a shingle in the index and of a group's name. Shorter numbers are fewer bytes to shuffle; where unlike
+#: things get one number, sets are compared that need not be.
+TOKEN_BITS, GROUP_BITS = 48, 40
+#: Parts of the hash range whose shingles are counted, a byte each.
+COUNT_PARTS_BITS = 9
 #: Sets of a gathering that one block holds.
 BLOCK_SETS = 1024
 
@@ -51,7 +58,10 @@ def _frequent_words(texts: DataFrame) -> Weights:
 
 
 def _features(docs: DataFrame, id_column: str, text_column: str, words: int, percent: int) -> DataFrame:
-    """(row, id, text_hash, n, set_key, group_key, prefix) of each row of ``docs``."""
+    """(row, id, text_hash, n, set_key, gid, prefix, counts) of each row of ``docs``; gid names its group.
+
+    Within an Arrow batch only the first row of a group has its prefix.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -60,13 +70,14 @@ def _features(docs: DataFrame, id_column: str, text_column: str, words: int, per
         [
             T.StructField("id", rows.schema["id"].dataType), T.StructField("text_hash", T.LongType()),
             T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()),
-            T.StructField("group_key", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+            T.StructField("gid", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())),
+            T.StructField("counts", T.BinaryType()),
         ]
     )
 
     def features(batches):
         for batch in batches:
-            sizes, keys, groups, prefixes = [], [], [], []
+            sizes, keys, groups, prefixes, counts, seen = [], [], [], [], [], set()
             for one, weight in shingle_sets(*text_buffers(batch.column(2)), words, shared.value):
                 first = one[:0]
                 if len(one):
@@ -74,13 +85,18 @@ def _features(docs: DataFrame, id_column: str, text_column: str, words: int, per
                     # By weight, then by hash.
                     first = one[np.argsort(weight, kind="stable")[:length]]
                 sizes.append(len(one))
+                counts.append(_part_counts(one))
                 keys.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
-                groups.append(hashlib.blake2b(first.tobytes() + len(one).to_bytes(8, "little"), digest_size=16).digest())
-                prefixes.append(first.view(np.int64))
+                whole = hashlib.blake2b(first.tobytes() + len(one).to_bytes(8, "little"), digest_size=8).digest()
+                gid = int.from_bytes(whole, "little") >> 64 - GROUP_BITS
+                groups.append(gid)
+                prefixes.append((first >> np.uint64(64 - TOKEN_BITS)).view(np.int64) if gid not in seen else [])
+                seen.add(gid)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                    pa.array(groups, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(counts, pa.binary()),
                 ],
                 schema.fieldNames(),
             )
@@ -88,8 +104,32 @@ def _features(docs: DataFrame, id_column: str, text_column: str, words: int, per
     return stage(rows.mapInArrow(features, schema).withColumn("row", F.monotonically_increasing_id()), "features")
 
 
+def _part_counts(one: np.ndarray) -> bytes | None:
+    """Numbers of a set's shingles by part of the hash range; null if one does not fit in a byte."""
+    counts = np.bincount((one >> np.uint64(64 - COUNT_PARTS_BITS)).astype(np.int64), minlength=1 << COUNT_PARTS_BITS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def partners(counts: np.ndarray, known: np.ndarray, size: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets have a partner, in another block if there are two, that their counts allow a link with.
+
+    Two sets share at most the lesser count of each part. Sets without counts are partners of all.
+    """
+    any_ = np.zeros(len(size), bool)
+    cross = len(np.unique(block)) > 1
+    for i in range(1, len(size)):
+        shared = np.minimum(counts[:i], counts[i]).sum(1, dtype=np.int64)
+        shared = np.where(known[:i] & known[i], shared, np.minimum(size[:i], size[i]))
+        ok = 100 * shared >= percent * (size[:i] + size[i] - shared)
+        if cross:
+            ok &= block[:i] != block[i]
+        any_[:i] |= ok
+        any_[i] |= ok.any()
+    return any_
+
+
 def _leaders(percent: int):
-    """Over rows (token, gid, n) in that order: (leader, gid) pairs.
+    """Over rows (token, gid, n) in that order: (leader, gid) pairs. Repeated rows count once.
 
     A group whose size links with that of an earlier leader belongs to it, else it leads itself. It also goes to leaders
     whose own groups it could link with, two steps of size away. So of two groups that could link, the later one goes to
@@ -103,9 +143,16 @@ def _leaders(percent: int):
         return 10000 * min(a, b) >= percent * percent * max(a, b)
 
     def gather(batches):
-        token, leaders = None, []
+        token, leaders, before = None, [], None
         for batch in batches:
             tokens, gids, sizes = (batch.column(i).to_numpy() for i in range(3))
+            if not len(tokens):
+                continue
+            again = np.zeros(len(tokens), bool)
+            again[0] = before == (tokens[0], gids[0], sizes[0])
+            again[1:] = (tokens[1:] == tokens[:-1]) & (gids[1:] == gids[:-1]) & (sizes[1:] == sizes[:-1])
+            before = tokens[-1], gids[-1], sizes[-1]
+            tokens, gids, sizes = tokens[~again], gids[~again], sizes[~again]
             if not len(tokens):
                 continue
             # A token that stands alone needs no look, unless the batch's edge cuts its rows.
@@ -171,30 +218,49 @@ def linked_sets(sets: list[np.ndarray], block: np.ndarray, percent: int) -> np.n
     return np.array([find(i) for i in range(len(sets))])
 
 
+def _gatherings(batches):
+    """Tables of the rows that agree in the first three columns, from batches sorted by these."""
+    held, key = [], None
+    for batch in batches:
+        keys = [batch.column(i).to_numpy() for i in range(3)]
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                now = tuple(int(k[lo]) for k in keys)
+                if now != key and held:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _hopeful(percent: int):
+    """Over rows (leader, a, b, block, node, n, counts): those with a partner the counts allow, without the last two."""
+
+    def hopeful(batches):
+        for rows in _gatherings(batches):
+            if rows.num_rows < 2:
+                continue
+            raw = rows.column("counts").to_pylist()
+            empty = bytes(1 << COUNT_PARTS_BITS)
+            counts = np.frombuffer(b"".join(empty if c is None else c for c in raw), np.uint8).reshape(len(raw), -1)
+            known = np.array([c is not None for c in raw])
+            wanted = partners(counts, known, rows.column("n").to_numpy(), rows.column("block").to_numpy(), percent)
+            yield from rows.select(["leader", "a", "b", "block", "node"]).filter(pa.array(wanted)).to_batches()
+
+    return hopeful
+
+
 def _verify(words: int, percent: int):
     """Over rows (leader, a, b, block, node, text) with the rows of a leader's two blocks together: links (u, v)."""
 
-    def gathered(batches):
-        held, key = [], None
-        for batch in batches:
-            keys = [batch.column(i).to_numpy() for i in range(3)]
-            change = np.zeros(batch.num_rows, bool)
-            for k in keys:
-                change[1:] |= k[1:] != k[:-1]
-            edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for lo, hi in zip(edges, edges[1:]):
-                if hi > lo:
-                    now = tuple(int(k[lo]) for k in keys)
-                    if now != key and held:
-                        yield pa.Table.from_batches(held)
-                        held = []
-                    key = now
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield pa.Table.from_batches(held)
-
     def verify(batches):
-        for rows in gathered(batches):
+        for rows in _gatherings(batches):
             nodes, place = np.unique(rows.column("node").to_numpy(), return_index=True)
             if len(nodes) < 2:
                 continue
@@ -225,24 +291,22 @@ def link_documents(
     features = _features(docs, id_column, text_column, words, percent)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    # Equal sets are one node, named by its first row; nodes with equal prefix and size are one group.
-    keyed = features.where("n > 0").select("row", "set_key").groupBy("set_key").agg(F.min("row").alias("node"))
-    nodes = features.join(keyed.select("node"), F.col("row") == F.col("node")).drop("row")
-    nodes = stage(nodes, "nodes")
-    groups = nodes.groupBy("group_key").agg(F.min("node").alias("gid"), F.count("*").alias("sets"))
-    node_groups = stage(nodes.select("node", "group_key").join(groups, "group_key").select("node", "gid", "sets"), "groups")
-
     index = (
-        nodes.join(groups.select("gid"), F.col("node") == F.col("gid"))
-        .select(F.explode("prefix").alias("token"), "gid", "n")
+        features.select(F.explode("prefix").alias("token"), "gid", "n")
         .repartition(parts, "token")
-        .sortWithinPartitions("token", "gid")
+        .sortWithinPartitions("token", "gid", "n")
     )
     gathered = index.mapInArrow(_leaders(percent), "leader long, gid long")
-    alone = node_groups.where("sets > 1").select(F.col("gid").alias("leader"), "gid")
+
+    # Equal sets are one node, named by its first row; nodes of equal prefix and size share the name of their group.
+    narrow = features.where("n > 0").drop("prefix")
+    keyed = narrow.groupBy("set_key").agg(F.min("row").alias("node"))
+    nodes = narrow.join(keyed.select("node"), F.col("row") == F.col("node")).drop("row", "set_key")
+    nodes = stage(nodes, "nodes")
+    alone = nodes.groupBy("gid").agg(F.count("*").alias("sets")).where("sets > 1").select(F.col("gid").alias("leader"), "gid")
     gathered = stage(gathered.unionByName(alone).distinct(), "gathered")
 
-    members = stage(gathered.join(node_groups.select("node", "gid"), "gid").select("leader", "node"), "members")
+    members = stage(gathered.join(nodes.select("node", "gid"), "gid").select("leader", "node").distinct(), "members")
     sizes = members.groupBy("leader").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / F.lit(block_sets)).cast("int")
     placed = members.join(sizes, "leader").withColumn("blocks", blocks)
@@ -251,7 +315,15 @@ def link_documents(
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "leader", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node"
     )
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
+    filtered = (
+        placed.join(nodes.select("node", "n", "counts"), "node")
+        .select("leader", "a", "b", "block", "node", "n", "counts")
+        .repartition(parts, "leader", "a", "b")
+        .sortWithinPartitions("leader", "a", "b")
+        .mapInArrow(_hopeful(percent), "leader long, a int, b int, block int, node long")
+    )
+    placed = stage(filtered, "placed")
+    wanted = nodes.join(placed.select("node").distinct(), "node").select("node", F.col("id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     same = texts["id"].eqNullSafe(wanted["wanted_id"]) & (texts["text_hash"] == wanted["wanted_hash"])
@@ -268,5 +340,6 @@ def link_documents(
     node_of = features.join(keyed, "set_key", "left").select("id", "n", F.coalesce("node", "row").alias("node"))
     rooted = node_of.join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    # Staged, so that the join is one that Spark can split where very many rows have one root.
+    least = stage(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     return rooted.join(least, "root").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")

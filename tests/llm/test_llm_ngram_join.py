@@ -108,6 +108,26 @@ def test_linked_sets_share_a_prefix_shingle(size):
         assert 100 * (size - prefix) < percent * size
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_counts_never_part_sets_that_link(percent):
+    rng = np.random.RandomState(percent)
+    base = rng.randint(0, 2**62, 400).astype(np.uint64) * np.uint64(4)
+    sets = [np.unique(np.concatenate([rng.choice(base, k, replace=False), rng.randint(0, 2**62, m).astype(np.uint64)]))
+            for k, m in zip(rng.randint(150, 400, 40), rng.randint(1, 60, 40))] + [np.arange(5000, dtype=np.uint64)]
+    raw = [ngram_join._part_counts(x) for x in sets]
+    assert raw[-1] is None
+    known = np.array([c is not None for c in raw])
+    counts = np.frombuffer(b"".join(c or bytes(512) for c in raw), np.uint8).reshape(len(raw), -1)
+    size, block = np.array([len(x) for x in sets]), rng.randint(0, 2, len(sets))
+    linked = np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if block[i] != block[j] and 100 * shared >= percent * (size[i] + size[j] - shared):
+                linked[i] = True
+    assert not (linked & ~ngram_join.partners(counts, known, size, block, percent)).any()
+
+
 def test_component_roots(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 400)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)]
