@@ -7,22 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from specloom.plans.build import run_build
 from specloom.plans.ingest import ingest_lines
 from specloom.session import configure
-from specloom.sources.archive import FILES, unpacked
+from specloom.sources.archive import gz_lines
 from specloom.sources.tables import Warehouse
 
 
 def log_stream(spark: SparkSession, root: str, max_files: int | None = None) -> DataFrame:
     """Lines of new ``*.gz`` files anywhere below ``root``, however old they are."""
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(FILES)
-        .option("pathGlobFilter", "*.gz")
-        .option("recursiveFileLookup", "true")
-        .option("maxFileAge", "36500d")
-    )
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("maxFileAge", "36500d")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return unpacked(reader.load(root))
+    return gz_lines(spark, reader, root)
 
 
 def run_incremental(
@@ -41,7 +35,7 @@ def run_incremental(
     the stream's checkpoint remembers the files. Stamps derive from the batch number, so a
     repeated batch rewrites the same rows: ingest at second 2n, build at second 2n+1 after
     ``started``. In a later batch a key's new value beats the stored one, unless
-    ``precedence`` is 'oldest'. A file of 2 GiB or more fails the batch.
+    ``precedence`` is 'oldest'.
     """
     configure(spark)
 

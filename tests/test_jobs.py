@@ -5,6 +5,7 @@ import json
 import os
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +17,10 @@ from specloom.plans.documents import load_document, load_documents
 from specloom.plans.ingest import ingest_archive, ingest_folder
 from specloom.schemas import conform, empty_table
 from specloom.session import scratch_path
+from specloom.sources import archive
 from specloom.sources.archive import hour_paths, read_archive, read_folder
 from specloom.sources.tables import Warehouse
-from specloom.streaming.incremental import run_incremental
+from specloom.streaming.incremental import log_stream, run_incremental
 
 T0 = datetime(2023, 5, 31, 23, tzinfo=timezone.utc)
 NOW = datetime(2023, 8, 1, tzinfo=timezone.utc)
@@ -91,6 +93,56 @@ def test_damaged_files_give_their_lines_and_a_reason(spark, tmp_path, name):
     assert [r.damage for r in rows if r.damage] == ["file is damaged: it ends early"]
 
 
+@pytest.mark.parametrize("content", [b"\x1f\x8b", b"\x1f\x8b\n", b"\x1f\x8b\n\nx\n\n", b"\n", b"\n\nx"])
+def test_files_cut_at_newlines_are_put_together(content):
+    rows = content.removesuffix(b"\n").split(b"\n")
+    names = ["path", "size", "content"]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, (["a%20b"], [len(content)], [row])))) for row in rows]
+    assert [(path, b"".join(parts)) for path, parts in archive._raw_files(batches)] == [("a b", content)]
+    short = [pa.RecordBatch.from_pydict(dict(zip(names, (["x"], [9], [b"\x1f\x8b"]))))]
+    with pytest.raises(OSError):
+        [list(parts) for _, parts in archive._raw_files(short)]
+
+
+def test_files_that_fit_in_no_row(spark, tmp_path, monkeypatch):
+    """Files over the limits of a row give what smaller ones give: lines, positions, damage; in folder and stream."""
+    lines = [b"line %d %s" % (i, os.urandom(20).hex().encode()) for i in range(20000)]
+    whole = gzip.compress(b"\n".join(lines) + b"\n")
+    files = {"whole": whole, "cut": whole[: len(whole) // 2], "a b%[1]": whole + gzip.compress(b"more\n")}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+        (tmp_path / f"{name}.gz").write_bytes(content)
+    (tmp_path / "foreign").write_bytes(b"\0" * 300_000)
+
+    def found(df):
+        out = {}
+        df = df.selectExpr("file", "md5(value) AS value", "position", "damage").orderBy("file", F.col("position").asc_nulls_last())
+        for r in df.collect():
+            out.setdefault(r.file.rsplit("/", 1)[1], []).append((r.value, r.position, r.damage))
+        return out
+
+    expected = found(read_folder(spark, str(tmp_path)))
+    assert sorted(expected) == sorted([*files, *(f"{n}.gz" for n in files)])
+    assert all(expected[n] == expected[f"{n}.gz"] for n in files)
+    assert len(expected["whole"]) == 20000 and len(expected["a b%[1]"]) == 20001
+    assert expected["cut"][-1] == (None, None, "file is damaged: it ends early") and len(expected["cut"]) > 5000
+    monkeypatch.setattr(archive, "WHOLE_FILE_BYTES", 100_000)
+    limits = {"spark.sql.sources.binaryFile.maxLength": "100000", "spark.sql.files.maxPartitionBytes": "50000"}
+    old = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        assert found(read_folder(spark, str(tmp_path))) == expected
+        seen = []
+        log_stream(spark, str(tmp_path)).writeStream.option("checkpointLocation", scratch_path(spark, "stream")).trigger(
+            availableNow=True
+        ).foreachBatch(lambda df, _: seen.append(found(df))).start().awaitTermination()
+        assert seen == [{name: rows for name, rows in expected.items() if name.endswith(".gz")}]
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_files_of_several_members_and_odd_endings(spark, tmp_path):
     a, b = gzip.compress(b"one\ntw"), gzip.compress(b"o\n\nlast")
     (tmp_path / "members.gz").write_bytes(a + b)
