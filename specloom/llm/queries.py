@@ -11,7 +11,7 @@ from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import mark_duplicates
 from specloom.llm import hnsw, language_id
 from specloom.llm.ngram_join import link_documents
-from specloom.llm.sentence_pieces import decode_pieces, encode_pieces
+from specloom.llm.sentence_pieces import decode_pieces, encode_as_trained
 from specloom.llm.suffix_dedup import remove_repeats
 from specloom.llm.token_counts import count_tokens
 from specloom.llm.token_files import read_documents, write_token_files
@@ -87,9 +87,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text encoded and decoded again; equal digests of text and decoded text show the round trip."""
+    """Every text encoded as the model was trained, and decoded again; equal digests of text and decoded text show the round trip."""
     model = public_tokenizers.path(PIECES)
-    decoded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    decoded = decode_pieces(encode_as_trained(_table(spark, sf_dir, "documents"), model), model)
     return decoded.select(
         "doc_id", "n_tokens", "ids_crc32", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
     )

@@ -1,4 +1,7 @@
-"""SentencePiece vocabularies: encoding by a Viterbi search over a moving window, and decoding.
+"""SentencePiece vocabularies: encoding by merges or by a Viterbi search over a moving window, and decoding.
+
+A model file says which of the two it was trained for. For a merging model the neighbouring symbols whose joint piece
+scores most become one, the first ones where several do, until none can; see :class:`Merges`. The rest is about the search.
 
 The best segmentation is the one whose pieces' scores add up to most. The search goes through a text once and holds only
 the positions within the longest piece ahead, and the way back from them to the last committed boundary. Whenever all
@@ -11,7 +14,10 @@ searched once and remembered. A vocabulary with other pieces is searched text by
 
 from __future__ import annotations
 
+import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +34,51 @@ UNKNOWN_PENALTY = 10.0
 #: Positions after which a search looks whether all its ways meet.
 MEET_EVERY = 64
 
+#: Kinds of models and pieces, as model files number them.
+MERGING = 2
+USER_DEFINED, UNUSED = 4, 5
+
 _vocabularies: dict[str, "Vocabulary"] = {}
-_encoders: dict[str, "PieceIds"] = {}
+_encoders: dict[tuple[str, bool], "PieceIds"] = {}
+
+
+def _fields(raw: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(field, number or start, end, wire type) of a serialized message; a number has no end."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 0x7F) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 0x80:
+                return value, at
+
+    while at < end:
+        tag, at = number(at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = number(at)
+            yield tag >> 3, value, 0, kind
+        else:
+            size, at = number(at) if kind == 2 else (8 if kind == 1 else 4, at)
+            yield tag >> 3, at, at + size, kind
+            at += size
+
+
+def model_type(raw: bytes) -> int:
+    """The kind of a model: 1 unigram, 2 merging, 3 words, 4 characters."""
+    for field, a, b, _ in _fields(raw, 0, len(raw)):
+        if field == 2:
+            for inner, value, _, _ in _fields(raw, a, b):
+                if inner == 3:
+                    return value
+    return 1
+
+
+def piece_types(raw: bytes) -> list[int]:
+    """The kind of each piece, 1 for an ordinary one."""
+    pieces = [(a, b) for field, a, b, _ in _fields(raw, 0, len(raw)) if field == 1]
+    return [next((value for field, value, _, _ in _fields(raw, a, b) if field == 3), 1) for a, b in pieces]
 
 
 class Vocabulary:
@@ -206,11 +255,88 @@ class Vocabulary:
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-class PieceIds(WordIds):
-    """Word by word encoding of texts that have a space in front."""
+class Merges:
+    """Encoding by merges.
+
+    No merge goes over two characters that stand together in no piece, so a word is cut there first; what lies between
+    two cuts is merged with a heap of places. Pieces the user defined are taken whole before any merge, the longest first.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, slab_bytes: int = SLAB_BYTES, cache_words: int = CACHE_WORDS):
+    def __init__(self, vocabulary: Vocabulary, user_defined: Iterable[str] = ()):
         self.vocabulary = vocabulary
+        self.user_defined = frozenset(user_defined)
+        pieces = vocabulary.pieces
+        ranks = {score: rank for rank, score in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
+        self.rank = {piece: ranks[score] for piece, (_, score) in pieces.items()}
+        self.together = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        longest = sorted(self.user_defined, key=len, reverse=True)
+        self.symbols = re.compile("|".join([*map(re.escape, longest), "."]), re.DOTALL).findall
+
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of a word, its spaces as they are."""
+        spelled, together = self.vocabulary.escaped(word), self.together
+        ids: list[int] = []
+        at = 0
+        for end in range(1, len(spelled) + 1):
+            if end == len(spelled) or spelled[end - 1 : end + 1] not in together:
+                self._add(spelled[at:end], word[at:end], ids)
+                at = end
+        return ids
+
+    def _add(self, spelled: str, plain: str, ids: list[int]) -> None:
+        pieces, strange = self.vocabulary.pieces, self.vocabulary._strange
+        at = 0
+        for symbol in self._merged(spelled):
+            if symbol in pieces:
+                ids.append(pieces[symbol][0])
+            else:
+                # Unknown characters that follow each other are one unknown id, if they are not bytes.
+                found = strange(plain[at])
+                if found != [self.vocabulary.unknown] or ids[-1:] != found:
+                    ids += found
+            at += len(symbol)
+
+    def _merged(self, spelled: str) -> list[str]:
+        if len(spelled) == 1 or spelled in self.user_defined:
+            return [spelled]
+        symbols, rank, frozen = self.symbols(spelled), self.rank, self.user_defined
+        n = len(symbols)
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+
+        def joint(i: int) -> int | None:
+            """Rank of the merge of the symbol at ``i`` with the next one."""
+            j = after[i]
+            if j >= n or frozen and (symbols[i] in frozen or symbols[j] in frozen):
+                return None
+            return rank.get(symbols[i] + symbols[j])
+
+        # Rank and place in one number.
+        heap = [r << 40 | i for i in range(n - 1) if (r := joint(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            least = heapq.heappop(heap)
+            i = least & (1 << 40) - 1
+            if not symbols[i] or joint(i) != least >> 40:
+                continue
+            j = after[i]
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := joint(k)) is not None:
+                    heapq.heappush(heap, r << 40 | k)
+        return [s for s in symbols if s]
+
+
+class PieceIds(WordIds):
+    """Word by word encoding of texts that have a space in front, by merges if these are given."""
+
+    def __init__(
+        self, vocabulary: Vocabulary, slab_bytes: int = SLAB_BYTES, cache_words: int = CACHE_WORDS, merges: Merges | None = None
+    ):
+        self.vocabulary, self.merges = vocabulary, merges
         # Without words to rely on, a text is one word and is never cut.
         self.blanks = b" " if vocabulary.by_words else b""
         super().__init__(slab_bytes, cache_words)
@@ -225,9 +351,12 @@ class PieceIds(WordIds):
 
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.vocabulary
-        found = [
-            known.search_word(w) if len(w) <= MEET_EVERY else [i for run in known.search([w]) for i in run] for w in words
-        ]
+        if self.merges:
+            found = [self.merges.encode_word(w) for w in words]
+        else:
+            found = [
+                known.search_word(w) if len(w) <= MEET_EVERY else [i for run in known.search([w]) for i in run] for w in words
+            ]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return size, np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
 
@@ -239,10 +368,36 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def merges(path: str) -> Merges | None:
+    """The merges of a merging model's file; none for a unigram model."""
+    with open(path, "rb") as file:
+        raw = file.read()
+    kind, types, known = model_type(raw), piece_types(raw), vocabulary(path)
+    if kind == 1:
+        return None
+    if kind != MERGING or UNUSED in types:
+        raise ValueError(f"{path}: models of kind {kind}, or with unused pieces to merge, are not supported")
+    if known.by_words and MARK not in known.pieces:
+        raise ValueError(f"{path}: a model whose pieces lack the word mark is not supported")
+    spelled = {i: piece for piece, (i, _) in known.pieces.items()}
+    return Merges(known, (spelled[i] for i, type_ in enumerate(types) if type_ == USER_DEFINED))
+
+
+def encode_as_trained(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """:func:`encode_pieces` by the method the model file was trained for: merges or the search for the best sum.
+
+    The ids are those of the sentencepiece library for models that normalize nothing and put a space in front, but for a
+    word mark in a text, which stays one. Files of other kinds, or with unused pieces to merge, are refused.
+    """
+    return encode_pieces(docs, model, id_column, text_column, as_trained=True)
+
+
+def encode_pieces(
+    docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text", as_trained: bool = False
+) -> DataFrame:
     """(id, n_tokens, ids): the piece ids of each row's whole text, as a binary of little-endian 32-bit numbers.
 
-    A null or empty text has no ids. Repeated rows and null ids are kept; other columns are ignored.
+    They have the best sum of scores, whatever the kind of the model, unless ``as_trained``. A null or empty text has no ids. Repeated rows and null ids are kept; other columns are ignored.
     """
     ship_package(docs.sparkSession)
     schema = T.StructType(
@@ -253,9 +408,10 @@ def encode_pieces(docs: DataFrame, model: str, id_column: str = "doc_id", text_c
     )
 
     def encode(batches):
-        if model not in _encoders:
-            _encoders[model] = PieceIds(vocabulary(model))
-        words = _encoders[model]
+        key = model, as_trained
+        if key not in _encoders:
+            _encoders[key] = PieceIds(vocabulary(model), merges=merges(model) if as_trained else None)
+        words = _encoders[key]
         for batch in batches:
             at = 0
             for ids, edge in words.encode(batch.column(1)):

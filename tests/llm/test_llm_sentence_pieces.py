@@ -164,3 +164,50 @@ def test_documents(spark, known):
         expected.append((i, len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()), t or ""))
     assert found == sorted(expected, key=repr)
     assert decode_pieces(encode_pieces(docs.limit(0), PATH), PATH).collect() == []
+
+
+LIBRARY_TEXTS = [t for t in TEXTS if MARK not in t] + [
+    "Unbelievable segmentations, e.g. internationalisation!", "ab" * 4000 + "===" * 3000 + "漢字かな交じり" * 300, "a\u0301é ﬁ  \u00a0x\u3000y",
+]
+
+
+def merging():
+    return sentence_pieces.merges(PATH)
+
+
+@pytest.mark.parametrize("text", LIBRARY_TEXTS)
+def test_merges_are_those_of_the_library(known, text):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for slab in (64, 1 << 20):
+        words = PieceIds(known, slab, 1000, merging())
+        ids, edge = next(words.encode(pa.array([" " + text if text else ""])))
+        assert ids.tolist() == library.encode(text) and edge.tolist() == [0, len(ids)]
+
+
+def test_the_registered_query_gives_the_ids_of_the_library(spark, tmp_path):
+    from specloom.llm.queries import op10_sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [None, *LIBRARY_TEXTS, MARK]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in op10_sentencepiece(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts[:-1]):
+        ids = library.encode(text or "")
+        assert (found[i].n_tokens, found[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()))
+    assert found[len(texts) - 1].n_bytes == len(MARK.encode())
+
+
+def test_the_kind_of_model_decides(known, tmp_path):
+    path = tmp_path / "unigram.model"
+    with open(PATH, "rb") as file:
+        path.write_bytes(as_unigram(file.read()))
+    assert merging() is not None and sentence_pieces.merges(str(path)) is None
+
+
+def test_user_defined_pieces_are_taken_whole():
+    vocabulary = Vocabulary.of({MARK: -9.0, "a": -8.0, "b": -7.0, "ab": -1.0, "aba": 0.0, "bb": -2.0})
+    pieces = {i: p for p, (i, _) in vocabulary.pieces.items()}
+    spell = lambda m, t: [pieces[i] for i in m.encode_word(t)]
+    assert spell(sentence_pieces.Merges(vocabulary), "abab") == ["aba", "b"]
+    assert spell(sentence_pieces.Merges(vocabulary), "abbb") == ["ab", "bb"]
+    assert spell(sentence_pieces.Merges(vocabulary, ["aba"]), "aabab") == ["a", "aba", "b"]
