@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from specloom.llm import language_id
 from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import drop_duplicates
-from specloom.llm.ngram_join import link_documents
+from specloom.llm.ngram_join import linked_rows
 from specloom.llm.queries import BYTE_BPE, END_ID, SEQUENCE_TOKENS, language_model
 from specloom.llm.suffix_dedup import remove_repeats
 from specloom.session import stage
@@ -31,10 +31,19 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar sets of word shingles, directly or through others, the one with the smallest id."""
-    linked = link_documents(docs, NEAR_WORDS, NEAR_PERCENT)
-    first = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    """Of documents linked by similar sets of word shingles, directly or through others, the one with the smallest id.
+
+    Null ids come last; of rows with equal ids the text's hash decides. No text stands twice here: see
+    :func:`exact_duplicates`.
+    """
+    linked = linked_rows(docs, NEAR_WORDS, NEAR_PERCENT)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    first = linked.groupBy("root").agg(F.min(rank).alias("_first")).select(
+        F.col("_first.id").alias("_id"), F.col("_first.text_hash").alias("_hash")
+    ).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    return docs.join(first, same, "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -286,6 +286,15 @@ def link_documents(
     id reachable. A null, empty or blank text has no shingles and links with nothing. Repeated rows, and rows with equal
     ids, link as their sets do; null ids are never the smallest. Other columns are ignored; no rows give no rows.
     """
+    linked = linked_rows(docs, words, percent, id_column, text_column, block_sets)
+    return linked.select(F.col("id").alias(id_column), "n_shingles", "component_id")
+
+
+def linked_rows(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text",
+    block_sets: int = BLOCK_SETS,
+) -> DataFrame:
+    """(id, n_shingles, component_id, text_hash, root): see :func:`link_documents`; root names the component's one node."""
     spark = docs.sparkSession
     ship_package(spark)
     features = _features(docs, id_column, text_column, words, percent)
@@ -337,9 +346,9 @@ def link_documents(
     )
     roots = component_roots(stage(links, "links"))
 
-    node_of = features.join(keyed, "set_key", "left").select("id", "n", F.coalesce("node", "row").alias("node"))
-    rooted = node_of.join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
+    node_of = features.join(keyed, "set_key", "left").select("id", "text_hash", "n", F.coalesce("node", "row").alias("node"))
+    rooted = node_of.join(roots, "node", "left").select("id", "text_hash", "n", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     # Staged, so that the join is one that Spark can split where very many rows have one root.
     least = stage(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    return rooted.join(least, "root").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
+    return rooted.join(least, "root").select("id", F.col("n").alias("n_shingles"), "component_id", "text_hash", "root")

@@ -93,3 +93,21 @@ def test_columns_stay_and_nulls_pass(spark):
     assert [r[0] for r in collected(corpus_pipeline.exact_duplicates(spark, docs, SF_DIR))].count(3) == 1
     for name, function in corpus_pipeline.STAGES:
         assert function(spark, docs.limit(0), SF_DIR).collect() == [], name
+
+
+def test_one_row_of_each_group_stays_for_null_and_repeated_ids(spark):
+    """Rows, not ids, survive: one row of each group of near copies."""
+    words = [[f"{group}{i}" for i in range(200)] for group in "abcd"]
+    copy = lambda group, n: " ".join([*words[group], *(f"end{k}" for k in range(n))])
+    rows = [
+        (None, copy(0, 0)), (None, copy(0, 1)),
+        (1, copy(1, 0)), (None, copy(1, 1)),
+        (7, copy(2, 0)), (7, copy(2, 1)),
+        (7, copy(3, 0)), (5, copy(3, 1)),
+        (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    groups = sorted(next((g for g in range(4) if t.startswith(words[g][0])), 4) for _, t in left)
+    assert groups == [0, 1, 2, 3, 4]
+    assert (1, copy(1, 0)) in left and (5, copy(3, 1)) in left
