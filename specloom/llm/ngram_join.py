@@ -87,11 +87,12 @@ def _features(docs: DataFrame, id_column: str, text_column: str, words: int, per
                 sizes.append(len(one))
                 counts.append(_part_counts(one))
                 keys.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
-                whole = hashlib.blake2b(first.tobytes() + len(one).to_bytes(8, "little"), digest_size=8).digest()
+                group = first.tobytes() + len(one).to_bytes(8, "little")
+                whole = hashlib.blake2b(group, digest_size=8).digest()
                 gid = int.from_bytes(whole, "little") >> 64 - GROUP_BITS
                 groups.append(gid)
-                prefixes.append((first >> np.uint64(64 - TOKEN_BITS)).view(np.int64) if gid not in seen else [])
-                seen.add(gid)
+                prefixes.append((first >> np.uint64(64 - TOKEN_BITS)).view(np.int64) if group not in seen else [])
+                seen.add(group)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),

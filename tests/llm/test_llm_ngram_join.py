@@ -139,3 +139,10 @@ def test_component_roots(spark):
     touched = {n for u, v in edges if u != v for n in (u, v)}
     assert found == {n: root[n] for n in touched}
     assert component_roots(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_unlike_groups_of_one_name_keep_their_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP_BITS", 1)
+    rows = [(2 * i + k, " ".join(f"{i}w{j}" for j in range(60 + k))) for i in range(12) for k in (0, 1)]
+    found = link_documents(frame(spark, rows).coalesce(1), 3, 90).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in found) and len(found) == 24
