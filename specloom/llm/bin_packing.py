@@ -153,8 +153,16 @@ def swap_search(bins: list[list[int]], sizes: list[int], limit: int) -> list[lis
                 shift(source, [i], *hit)
                 return True
         # The less comes back, the emptier the source; a piece never swaps with its like.
-        pairs = [[i, j] for k, i in enumerate(items) for j in items[k + 1 :]] if len(items) <= 32 else []
-        for out in [[i] for i in items] + pairs:
+        # Of pairs of the same two sizes one will do, so their number is bounded by the sizes that fit in a bin.
+        by_size: dict[int, list[int]] = {}
+        for i in items:
+            by_size.setdefault(sizes[i], []).append(i)
+        some = [i for like in by_size.values() for i in like[:2]]
+        pairs: dict[tuple[int, int], list[int]] = {}
+        for k, i in enumerate(some):
+            for j in some[k + 1 :]:
+                pairs.setdefault((sizes[i], sizes[j]), [i, j])
+        for out in [*([i] for i in items), *pairs.values()]:
             taken = sum(sizes[i] for i in out)
             for held in range(max(1, taken - widest), min(taken - 1, limit) + 1):
                 if rooms[held] and (hit := home(held, taken - held, source)):

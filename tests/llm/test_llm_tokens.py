@@ -119,6 +119,15 @@ def test_swaps_save_bins_and_keep_pieces():
         assert all(sum(sizes[i] for i in b) <= 60 for b in found) and len(found) <= len(start)
 
 
+def test_two_for_one_exchanges_of_bins_with_many_pieces():
+    # Only two pieces of size 2 for one of size 3 fill the other bins.
+    sizes = [3] * 99 + [2] * 40
+    bins = [list(range(33 * b, 33 * b + 33)) for b in range(3)] + [list(range(99, 139))]
+    found = bin_packing.swap_search(bins, sizes, 100)
+    assert sorted(sum(sizes[i] for i in b) for b in found) == [77, 100, 100, 100]
+    assert sorted(i for b in found for i in b) == list(range(139))
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 @pytest.mark.parametrize("top", [1, 2, 300, 50257, 2**40, 2**64])
 def test_simple8b_round_trip(n, top):
