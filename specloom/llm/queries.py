@@ -7,16 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from specloom.llm.bag_search import rank_documents
 from specloom.llm.bin_packing import pack_documents
+from specloom.llm.decontamination import find_overlaps
 from specloom.llm.exact_dedup import mark_duplicates
 from specloom.llm import hnsw, language_id
 from specloom.llm.ngram_join import link_documents
+from specloom.llm.periodic_runs import collapse_runs
 from specloom.llm.sentence_pieces import decode_pieces, encode_as_trained
 from specloom.llm.suffix_dedup import remove_repeats
 from specloom.llm.token_counts import count_tokens
 from specloom.llm.token_files import read_documents, write_token_files
 from specloom.llm.url_filter import Rule, filter_urls
-from specloom.session import scratch_path
+from specloom.session import scratch_path, settled
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -95,6 +98,51 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), in which every tenth text or so, by its id's hash, repeats some of its words from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # Words are taken out of the texts that are changed, and no others; past ``settled`` they are not worked out again.
+    split = settled(docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h")).select(
+        "doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.when(F.col("h") % 10 == 0, words).alias("words")
+    ))
+    n = F.size("words")
+    placed = settled(split.select(
+        "doc_id", "text", "words", n.alias("n"), F.when(n > 0, F.col("g") % n).alias("a"), "g"
+    )).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    changed = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p as int)])), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(with_planted_runs(_table(spark, sf_dir, "documents")), least=24, periods=3)
+    # Runs come by start, then period; of equal exponents the first one stays.
+    best = F.expr("""
+        reduce(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),
+               (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))
+    """)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=20)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -107,6 +155,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_token_files": op9_token_files,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_decontamination": op11_decontamination,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -157,4 +208,57 @@ SQL: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM judged WHERE place = 1
     """,
+    "op11_decontamination": r"""
+        WITH worded AS (
+            SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+        ), words AS (
+            SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM worded
+        ), windows AS (
+            SELECT DISTINCT id AS item_id, size, array_to_string(w[i : i + size - 1], ' ') AS g
+            FROM (SELECT id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+                  FROM words WHERE kind = 1 AND len(w) > 0)
+        ), places AS (
+            SELECT id AS doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS g
+            FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+                  FROM words, (SELECT DISTINCT size FROM windows) WHERE kind = 0 AND len(w) >= size)
+        ), found AS (
+            SELECT doc_id, item_id, size, i FROM places JOIN windows USING (size, g)
+        ), hits AS (
+            SELECT doc_id, count(DISTINCT j) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM (SELECT DISTINCT doc_id, size, i FROM found)) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id
+        )
+        SELECT id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hits ON hits.doc_id = id LEFT JOIN items ON items.doc_id = id WHERE kind = 0
+    """,
+    "op13_lexical_search": r"""
+        WITH terms AS (
+            SELECT kind, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+        ), tf AS (
+            SELECT kind, id, t, count(*) AS tf FROM terms GROUP BY kind, id, t
+        ), sizes AS (
+            SELECT id, sum(tf)::BIGINT AS n FROM tf WHERE kind = 0 GROUP BY id
+        ), whole AS (
+            SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes
+        ), lengths AS (
+            SELECT id, 100 - 25 + (25 * n * docs) // l AS m FROM sizes, whole
+        ), weights AS (
+            SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, whole WHERE kind = 0 GROUP BY t
+        ), scores AS (
+            SELECT i.id AS item_id, d.id AS doc_id, CAST(sum(i.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * m))) AS BIGINT) AS score
+            FROM tf i JOIN tf d ON i.kind = 1 AND d.kind = 0 AND i.t = d.t JOIN weights ON weights.t = d.t JOIN lengths ON lengths.id = d.id
+            GROUP BY i.id, d.id
+        ), ranked AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+            FROM scores WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 20
+    """,
 }
