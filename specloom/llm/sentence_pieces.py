@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Positions after which a search looks whether all its ways meet.
 MEET_EVERY = 64
+#: Symbols above which a run is merged with a heap and not remembered, and runs a worker remembers.
+LONG_RUN, KNOWN_RUNS = 48, 1 << 18
 
 #: Kinds of models and pieces, as model files number them.
 MERGING = 2
@@ -258,8 +261,9 @@ class Vocabulary:
 class Merges:
     """Encoding by merges.
 
-    No merge goes over two characters that stand together in no piece, so a word is cut there first; what lies between
-    two cuts is merged with a heap of places. Pieces the user defined are taken whole before any merge, the longest first.
+    No merge goes over two characters that stand together in no piece, so words are cut there first. What lies between
+    two cuts, a run, is merged once and remembered: a short one by the least of a list of ranks, a long one with a heap
+    of places. Pieces the user defined are taken whole before any merge, the longest first.
     """
 
     def __init__(self, vocabulary: Vocabulary, user_defined: Iterable[str] = ()):
@@ -268,50 +272,113 @@ class Merges:
         pieces = vocabulary.pieces
         ranks = {score: rank for rank, score in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
         self.rank = {piece: ranks[score] for piece, (_, score) in pieces.items()}
-        self.together = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        self.never = len(ranks)
+        together = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
+        self.together = np.array(sorted(ord(a) << 21 | ord(b) for a, b in together), np.int64)
         longest = sorted(self.user_defined, key=len, reverse=True)
         self.symbols = re.compile("|".join([*map(re.escape, longest), "."]), re.DOTALL).findall
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a word, its spaces as they are."""
-        spelled, together = self.vocabulary.escaped(word), self.together
-        ids: list[int] = []
-        at = 0
-        for end in range(1, len(spelled) + 1):
-            if end == len(spelled) or spelled[end - 1 : end + 1] not in together:
-                self._add(spelled[at:end], word[at:end], ids)
-                at = end
-        return ids
-
-    def _add(self, spelled: str, plain: str, ids: list[int]) -> None:
-        pieces, strange = self.vocabulary.pieces, self.vocabulary._strange
-        at = 0
-        for symbol in self._merged(spelled):
+        return self.encode_words([word])[1].tolist()
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word: their numbers, and the ids one after the other. No word is empty."""
+        joined = "".join(words)
+        points = np.frombuffer(self.vocabulary.escaped(joined).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        cut = np.ones(len(points) + 1, bool)
+        if len(self.together):
+            pairs = points[:-1] << 21 | points[1:]
+            at = np.minimum(np.searchsorted(self.together, pairs), len(self.together) - 1)
+            cut[1:-1] = self.together[at] != pairs
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        found = self._runs([joined[a:b] for a, b in pairwise(at.tolist())])
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(total[-1]))
+        last = total[np.searchsorted(at, ends)]
+        if self.vocabulary.byte_ids[0] < 0:
+            # Unknown characters of a word that follow each other are one unknown id, if they are not bytes.
+            unknown = ids == self.vocabulary.unknown
+            again = np.concatenate([[False], unknown[1:] & unknown[:-1]])
+            again[last[:-1][last[:-1] < len(ids)]] = False
+            ids, last = ids[~again], last - np.concatenate([[0], np.cumsum(again)])[last]
+        return np.diff(last, prepend=0), ids
+
+    def _runs(self, runs: list[str]) -> list[tuple[int, ...]]:
+        if len(self.known) > KNOWN_RUNS:
+            self.known.clear()
+        known = self.known
+        found = list(map(known.get, runs))
+        for i, ids in enumerate(found):
+            if ids is None:
+                # Long runs are rare, and may be very long.
+                ids = known.get(runs[i])
+                if ids is None:
+                    ids = self._ids(runs[i])
+                    if len(runs[i]) <= LONG_RUN:
+                        known[runs[i]] = ids
+                found[i] = ids
+        return found
+
+    def _ids(self, plain: str) -> tuple[int, ...]:
+        pieces, ids, at = self.vocabulary.pieces, [], 0
+        for symbol in self._merged(self.vocabulary.escaped(plain)):
             if symbol in pieces:
                 ids.append(pieces[symbol][0])
             else:
-                # Unknown characters that follow each other are one unknown id, if they are not bytes.
-                found = strange(plain[at])
-                if found != [self.vocabulary.unknown] or ids[-1:] != found:
-                    ids += found
+                ids += self.vocabulary._strange(plain[at])
             at += len(symbol)
+        return tuple(ids)
+
+    def _joint(self, left: str, right: str) -> int:
+        """Rank of the merge of two symbols."""
+        if left in self.user_defined or right in self.user_defined:
+            return self.never
+        return self.rank.get(left + right, self.never)
 
     def _merged(self, spelled: str) -> list[str]:
         if len(spelled) == 1 or spelled in self.user_defined:
             return [spelled]
-        symbols, rank, frozen = self.symbols(spelled), self.rank, self.user_defined
-        n = len(symbols)
+        symbols = self.symbols(spelled) if self.user_defined else list(spelled)
+        return self._merged_short(symbols) if len(symbols) <= LONG_RUN else self._merged_long(symbols)
+
+    def _merged_short(self, symbols: list[str]) -> list[str]:
+        never = self.never
+        if self.user_defined:
+            joint = self._joint
+        else:
+            rank = self.rank
+
+            def joint(left: str, right: str) -> int:
+                return rank.get(left + right, never)
+
+        ranks = list(map(joint, symbols, symbols[1:]))
+        while ranks:
+            least = min(ranks)
+            if least == never:
+                break
+            i = ranks.index(least)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = joint(symbols[i - 1], symbols[i])
+            if i < len(ranks):
+                ranks[i] = joint(symbols[i], symbols[i + 1])
+        return symbols
+
+    def _merged_long(self, symbols: list[str]) -> list[str]:
+        n, never = len(symbols), self.never
         after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
 
-        def joint(i: int) -> int | None:
-            """Rank of the merge of the symbol at ``i`` with the next one."""
+        def joint(i: int) -> int:
             j = after[i]
-            if j >= n or frozen and (symbols[i] in frozen or symbols[j] in frozen):
-                return None
-            return rank.get(symbols[i] + symbols[j])
+            return self._joint(symbols[i], symbols[j]) if j < n else never
 
         # Rank and place in one number.
-        heap = [r << 40 | i for i in range(n - 1) if (r := joint(i)) is not None]
+        heap = [r << 40 | i for i in range(n - 1) if (r := joint(i)) != never]
         heapq.heapify(heap)
         while heap:
             least = heapq.heappop(heap)
@@ -325,7 +392,7 @@ class Merges:
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and (r := joint(k)) is not None:
+                if k >= 0 and (r := joint(k)) != never:
                     heapq.heappush(heap, r << 40 | k)
         return [s for s in symbols if s]
 
@@ -352,11 +419,8 @@ class PieceIds(WordIds):
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         known = self.vocabulary
         if self.merges:
-            found = [self.merges.encode_word(w) for w in words]
-        else:
-            found = [
-                known.search_word(w) if len(w) <= MEET_EVERY else [i for run in known.search([w]) for i in run] for w in words
-            ]
+            return self.merges.encode_words(words)
+        found = [known.search_word(w) if len(w) <= MEET_EVERY else [i for run in known.search([w]) for i in run] for w in words]
         size = np.fromiter(map(len, found), np.int64, len(found))
         return size, np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
 

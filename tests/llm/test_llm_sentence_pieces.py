@@ -211,3 +211,11 @@ def test_user_defined_pieces_are_taken_whole():
     assert spell(sentence_pieces.Merges(vocabulary), "abab") == ["aba", "b"]
     assert spell(sentence_pieces.Merges(vocabulary), "abbb") == ["ab", "bb"]
     assert spell(sentence_pieces.Merges(vocabulary, ["aba"]), "aabab") == ["a", "aba", "b"]
+
+
+def test_short_and_long_runs_merge_alike(known):
+    merging = sentence_pieces.merges(PATH)
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choices("theionrsa▁é=.", k=rng.randint(1, 60)))
+        assert merging._merged_short(list(text)) == merging._merged_long(list(text))
