@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 
 #: Bytes hashed at once; a text beyond that is hashed alone.
 SLAB_BYTES = 1 << 20
+#: A word of more bytes is hashed by a digest: sums modulo 2**64 clash for some long words that are easily made.
+LONG_WORD = 64
 BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BLANK = np.zeros(256, bool)
@@ -49,10 +53,14 @@ def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     closes[-1] = word[-1]
     end = np.flatnonzero(closes) + 1
     power, inverse = powers(len(raw))
+    lowered = _LOWER[raw]
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[raw]] * power[: len(raw)], out=total[1:])
+        np.cumsum(_BYTE[lowered] * power[: len(raw)], out=total[1:])
         hashes = _mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        digest = hashlib.blake2b(lowered[start[i] : end[i]], digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
     return hashes, np.searchsorted(start, bounds)
 
 

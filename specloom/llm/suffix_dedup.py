@@ -27,6 +27,8 @@ from specloom.session import ship_package, stage
 GRAM = 32
 CHUNK = 8
 SLAB_BYTES = 1 << 20
+#: Longest window: sums modulo 2**64, by which equal segments are known, do not tell some far longer ones apart.
+LONGEST = 256
 #: Segments whose suffixes are sorted together; an anchor with more has its windows dealt out by their bytes instead, and
 #: they are compared by digests of 128 bits.
 GROUP_SEGMENTS = 20_000
@@ -411,10 +413,10 @@ def remove_repeats(
     earlier: in a row with a smaller id, or before in the same text; strings are judged on the input. ``n_spans`` counts
     maximal removed runs; ``kept`` is the remaining bytes as text, broken characters left out. Null ids come first, rows
     with equal ids follow each other in a fixed order, and rows that agree in id and text count as one document, so each
-    has the same result. Columns not in ``others`` are ignored; no rows give no rows. ``length`` is at least GRAM + CHUNK.
+    has the same result. Columns not in ``others`` are ignored; no rows give no rows. ``length`` is from GRAM + CHUNK to LONGEST.
     """
-    if length < GRAM + CHUNK or length > 2048:
-        raise ValueError(f"length must be from {GRAM + CHUNK} to 2048")
+    if not GRAM + CHUNK <= length <= LONGEST:
+        raise ValueError(f"length must be from {GRAM + CHUNK} to {LONGEST}")
     ship_package(docs.sparkSession)
     rows, once = _ordered(docs, id_column, text_column, list(others))
     spans = repeated_spans(once, length)

@@ -146,3 +146,14 @@ def test_unlike_groups_of_one_name_keep_their_links(spark, monkeypatch):
     rows = [(2 * i + k, " ".join(f"{i}w{j}" for j in range(60 + k))) for i in range(12) for k in (0, 1)]
     found = link_documents(frame(spark, rows).coalesce(1), 3, 90).collect()
     assert all(r.component_id == r.doc_id // 2 * 2 for r in found) and len(found) == 24
+
+
+def test_long_words_whose_sums_agree_stay_apart(spark):
+    # Two complementary Thue-Morse words: all sums of their bytes by powers of an odd base modulo 2**64 agree.
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = [one, other, f"{one} x y", f"{other} x y", one.upper(), f"z {other}", "A" * 70, "a" * 70, "a" * 71]
+    rows = list(enumerate(texts))
+    for words, percent in ((3, 90), (5, 80), (1, 50)):
+        found = link_documents(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
+        assert sorted(map(tuple, found), key=repr) == components(rows, words, percent)
