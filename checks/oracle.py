@@ -398,6 +398,7 @@ SQL["damaged_files"] = _with(_E) + """
 for _name in ("late_files", "overlapping_ingest", "same_stamps"):
     SQL[_name] = _documents("CAST(1 - event_id % 2 AS VARCHAR) || ord")
 SQL["incremental_oldest"] = _documents("ord")
+SQL["arrival_orders"] = f"SELECT * FROM ({_documents('ord')}), (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS arrival_order)"
 SQL["rebuild_after_delete"] = _with(_E, _RESPONSE_BODIES, _RESPONSE_VALUES) + """,
     s AS (SELECT api_id, count(*) FILTER (WHERE event_id % 2 = 0) AS n0, count(*) FILTER (WHERE event_id % 2 = 1) AS n1
           FROM a WHERE event_id % 11 <> 0 GROUP BY 1),

@@ -1,6 +1,7 @@
 """Registered queries: one per operator group, each over the whole of its tables."""
 
 from collections.abc import Callable
+from functools import reduce
 import gzip
 import zlib
 from datetime import datetime, timedelta, timezone
@@ -15,9 +16,9 @@ from specloom.operators import catalog, gate, rows, schema_fold, updates
 from specloom.operators.documents import api_documents
 from specloom.operators.parameter_merge import merge_parameters
 from specloom.operators.records import accepted, parse_records, quarantined
-from specloom.plans.build import build_structures, run_build
+from specloom.plans.build import build_structures, read_rollups, run_build
 from specloom.plans.documents import load_documents
-from specloom.plans.ingest import ingest_archive, ingest_lines
+from specloom.plans.ingest import append_samples, ingest_archive, ingest_lines
 from specloom.schemas import conform, empty_table
 from specloom.session import configure, scratch_path, stage
 from specloom.sources.archive import hour_paths, read_archive, read_folder, unpacked
@@ -454,9 +455,18 @@ def _gate_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return apis.withColumn("latest_build_structure", cursor), samples
 
 
+def _rollups(spark: SparkSession, samples: DataFrame) -> DataFrame:
+    """What ingests of the samples in three batches leave for the gates."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    for batch in range(3):
+        part = samples.where(F.pmod(F.xxhash64("id"), F.lit(3)) == batch)
+        append_samples(warehouse, part, empty_table(spark, "sample_responses"), batch + 1, NOW)
+    return read_rollups(warehouse)
+
+
 def newest_per_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, samples = _gate_input(spark, sf_dir)
-    return gate.newest_samples(samples).select("api_id", _micros("newest"))
+    return gate.newest_in_rollups(_rollups(spark, samples), "request").select("api_id", _micros("newest"))
 
 
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,8 +477,9 @@ def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stale_apis(spark: SparkSession, sf_dir: str) -> DataFrame:
     apis, samples = _gate_input(spark, sf_dir)
+    newest = gate.newest_in_rollups(_rollups(spark, samples), "request")
     due = [
-        gate.due_apis(apis, samples, g).select(F.lit(g).alias("gate"), "api_id", _micros("cursor"))
+        gate.due_by_newest(apis, newest, g).select(F.lit(g).alias("gate"), "api_id", _micros("cursor"))
         for g in gate.GATES
     ]
     return due[0].unionByName(due[1])
@@ -557,6 +568,21 @@ def incremental_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_documents(warehouse)
 
 
+def arrival_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log dealt out over batches in three ways that have nothing to do with time, each built batch by batch."""
+    lines = stage(log_lines(load(spark, sf_dir, "events")), "lines")
+    documents = []
+    for order in range(3):
+        warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+        part = F.pmod(F.xxhash64("event_id", F.lit(order)), F.lit(2))
+        for batch in range(1, 3):
+            now = NOW + timedelta(hours=batch)
+            ingest_lines(lines.where(part == (batch + order) % 2).select("file", "value"), warehouse, now, batch)
+            run_build(warehouse, now, version=2 * batch + 1, precedence="event")
+        documents.append(load_documents(warehouse).withColumn("arrival_order", F.lit(order)))
+    return reduce(DataFrame.unionByName, documents)
+
+
 def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     lines = stage(log_lines(load(spark, sf_dir, "events")), "lines")
     return [lines.where(F.col("event_id") % 2 == part).select("file", "value") for part in range(2)]
@@ -610,6 +636,7 @@ QUERIES = {
     "damaged_files": damaged_files,
     "late_files": late_files,
     "incremental_oldest": incremental_oldest,
+    "arrival_orders": arrival_orders,
     "overlapping_ingest": overlapping_ingest,
     "same_stamps": same_stamps,
     "rebuild_after_delete": rebuild_after_delete,

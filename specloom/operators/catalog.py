@@ -8,26 +8,46 @@ from specloom.operators.records import accepted
 from specloom.schemas import conform
 
 
-def discover_apis(records: DataFrame) -> DataFrame:
-    """One row per path template, with host and method of its first record.
+def sightings(records: DataFrame) -> DataFrame:
+    """(api_id, path, host, method, first_seen): when each path was first met under a host and method.
 
-    The big aggregation groups by (path, host, method) and keeps only a timestamp, so it
-    hashes and combines before the shuffle whatever the share of one path; the second one
-    sees a handful of rows per path. Records of one instant are ordered by host and method.
+    Keeps only a timestamp per group, so it hashes and combines before the shuffle whatever
+    the share of one path.
     """
-    seen = (
+    return (
         accepted(records)
         .groupBy("api_id", "path", "host", "method")
         .agg(F.min("event_at").alias("first_seen"))
     )
-    first = F.min_by(F.struct("host", "method"), F.struct("first_seen", "host", "method"))
+
+
+def first_sightings(seen: DataFrame) -> DataFrame:
+    """The first sighting per path; those of one instant are ordered by host and method.
+
+    Sightings of several batches may come together in any order: the first of their firsts
+    is the first of all.
+    """
+    first = F.min(F.struct("first_seen", "host", "method"))
     return (
         seen.groupBy("api_id", "path")
         .agg(first.alias("_first"))
-        .select("api_id", "path", "_first.host", "_first.method")
+        .select("api_id", "path", "_first.host", "_first.method", "_first.first_seen")
     )
 
 
+def discover_apis(records: DataFrame) -> DataFrame:
+    """One row per path template, with host and method of its first record."""
+    return first_sightings(sightings(records)).drop("first_seen")
+
+
+def with_first_sighting(apis: DataFrame, first: DataFrame) -> DataFrame:
+    """Live rows of the catalog with host and method of their path's first sighting, whenever it turned up."""
+    seen = first.select(F.col("api_id").alias("id"), F.struct("host", "method").alias("_first"))
+    known = F.col("_first").isNotNull() & F.col("deleted_at").isNull()
+    named = {c: F.when(known, F.col(f"_first.{c}")).otherwise(F.col(c)) for c in ("host", "method")}
+    return apis.join(seen, "id", "left").withColumns(named).select(*apis.columns)
+
+
 def new_apis(discovered: DataFrame, apis: DataFrame, now: datetime) -> DataFrame:
     """Discovered APIs the catalog has no live row for, as catalog rows."""
     known = apis.where(F.col("deleted_at").isNull()).select(F.col("id").alias("api_id"))

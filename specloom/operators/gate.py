@@ -27,15 +27,32 @@ def newest_samples(samples: DataFrame) -> DataFrame:
     return live(samples).groupBy("api_id").agg(F.max("created_at").alias("newest"))
 
 
+def rollup_samples(samples: DataFrame, side: str) -> DataFrame:
+    """(side, api_id, oldest, newest, n) of live samples by their stamps: one small row per API, written at ingest."""
+    return live(samples).groupBy("api_id").agg(
+        F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"), F.count("*").alias("n")
+    ).select(F.lit(side).alias("side"), "api_id", "oldest", "newest", "n")
+
+
+def newest_in_rollups(rollups: DataFrame, side: str) -> DataFrame:
+    """(api_id, newest) as :func:`newest_samples` gives it, from rollups of batches; no sample is read."""
+    return rollups.where(F.col("side") == side).groupBy("api_id").agg(F.max("newest").alias("newest"))
+
+
 def due_apis(apis: DataFrame, samples: DataFrame, gate: str = "fixed") -> DataFrame:
-    """(api_id, cursor) of live APIs to rebuild; an API without samples never is.
+    """:func:`due_by_newest`, the newest stamps taken from the samples themselves."""
+    return due_by_newest(apis, newest_samples(samples), gate)
+
+
+def due_by_newest(apis: DataFrame, newest_stamps: DataFrame, gate: str = "fixed") -> DataFrame:
+    """(api_id, cursor) of live APIs to rebuild; an API without samples never is. ``newest_stamps``: (api_id, newest).
 
     'fixed' rebuilds when there is something at or after the cursor. 'legacy' does the
     opposite once a cursor is set, which freezes a structure after its first build. 'unread'
     is for samples no build has read yet: any of them counts, and cursors do not.
     """
     if gate == UNREAD:
-        touched = live(apis).join(live(samples).select(F.col("api_id").alias("id")), "id", "left_semi")
+        touched = live(apis).join(newest_stamps.select(F.col("api_id").alias("id")), "id", "left_semi")
         return touched.select(F.col("id").alias("api_id"), F.lit(None).cast("timestamp").alias("cursor"))
     if gate not in GATES:
         raise ValueError(f"gate must be one of {(*GATES, UNREAD)}")
@@ -45,7 +62,7 @@ def due_apis(apis: DataFrame, samples: DataFrame, gate: str = "fixed") -> DataFr
     newest, cursor = F.col("newest"), F.col("cursor")
     wanted = newest >= cursor if gate == "fixed" else cursor >= newest
     return (
-        cursors.join(newest_samples(samples), "api_id")
+        cursors.join(newest_stamps, "api_id")
         .where(cursor.isNull() | wanted)
         .select("api_id", "cursor")
     )

@@ -17,14 +17,15 @@ def _distinct(df: DataFrame, rank: int) -> DataFrame:
     )
 
 
-def merge_parameters(stored: DataFrame, samples: DataFrame) -> DataFrame:
+def merge_parameters(stored: DataFrame, samples: DataFrame, stored_first: bool = True) -> DataFrame:
     """(api_id, parameters) with one parameter per name, sorted by name.
 
     The type stays if all agree, else it becomes 'any', also for good once stored. Location
-    and requiredness come from the stored parameter if there is one. Values are dropped.
+    and requiredness come from the stored parameter if there is one; without ``stored_first``
+    they are the least of all, so that the order of builds does not matter. Values are dropped.
     """
     merged = (
-        _distinct(stored, 0)
+        _distinct(stored, 0 if stored_first else 1)
         .unionByName(_distinct(samples, 1))
         .groupBy("api_id", "name")
         .agg(

@@ -58,7 +58,7 @@ def _parsed_bodies(samples: DataFrame, *columns: str) -> DataFrame:
 
 
 def fold_bodies(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Oldest telling value per (``by``, key), plus 'body' and 'rejected' counts per ``by``.
+    """Oldest telling value per (``by``, key), with its sample's time and id, plus 'body' and 'rejected' counts per ``by``.
 
     ``samples`` has the ``by`` columns, ``id``, ``event_at`` and ``body``. Every body is
     parsed in one pass and one shuffle; a hot API leaves each task as one row per key. Rows
@@ -71,9 +71,9 @@ def fold_bodies(samples: DataFrame, by: list[str]) -> DataFrame:
     values = (
         entries.join(oldest, [*by, "key", "event_at"], "left_semi")
         .groupBy(*by, "key")
-        .agg(F.min_by("value", "id").alias("value"))
+        .agg(F.min_by("value", "id").alias("value"), F.min("id").alias("id"))
     )
-    return counted.drop("event_at").join(values, [*by, "key"], "left")
+    return counted.join(values, [*by, "key"], "left")
 
 
 def _entries(samples: DataFrame, by: list[str]) -> DataFrame:
@@ -161,6 +161,22 @@ def _merged_text(left: str, right: str) -> str:
     return json.dumps(merge(json.loads(left), json.loads(right)), separators=(",", ":"), ensure_ascii=False)
 
 
+def merge_folds(state: DataFrame, folded: DataFrame, by: list[str]) -> DataFrame:
+    """Next state (``by``, key, event_at, id, schema): per key what the oldest sample decides, of all builds so far.
+
+    ``state`` is an earlier result, ``folded`` one of :func:`fold_bodies` over other samples. The least of (time, id) does
+    not depend on which samples came together, nor in which order, so any sequence of builds over the same samples ends
+    in the same state. Only winners that beat the state have their schemas inferred. A null time is older than all.
+    """
+    new = folded.where(F.col("kind") == "key").select(*by, "key", "event_at", "id", "value")
+    held = state.select(*by, "key", F.struct("event_at", "id").alias("_held"))
+    ahead = F.col("_held").isNull() | (F.struct("event_at", "id") < F.col("_held"))
+    # Staged: what is inferred and what is replaced must be the same rows.
+    ahead = stage(new.join(held, [*by, "key"], "left").where(ahead).drop("_held"), "ahead")
+    inferred = infer_schemas(ahead).select(*by, "key", "event_at", "id", "schema")
+    return state.join(ahead.select(*by, "key"), [*by, "key"], "left_anti").select(*inferred.columns).unionByName(inferred)
+
+
 def stored_keys(structures: DataFrame, by: list[str]) -> DataFrame:
     """Top-level keys of stored body schemas as (``by``, key, schema)."""
     properties = F.try_variant_get(

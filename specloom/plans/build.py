@@ -5,23 +5,27 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
+from specloom.operators.catalog import first_sightings, with_first_sighting
 from specloom.operators.gate import (
-    UNREAD, advance_cursor, created_between, due_apis, live, unmatched_ids, window_samples,
+    UNREAD, advance_cursor, created_between, due_by_newest, live, newest_in_rollups, rollup_samples,
+    unmatched_ids, window_samples,
 )
 from specloom.operators.parameter_merge import merge_parameters
 from specloom.operators.schema_fold import (
-    EMPTY_SCHEMA, fold_bodies, merge_deep, merge_schemas, object_schema, rejected_bodies,
+    EMPTY_SCHEMA, fold_bodies, merge_deep, merge_folds, merge_schemas, object_schema, rejected_bodies,
     render_bodies, stored_keys, winning_schemas,
 )
 from specloom.operators.updates import upsert
-from specloom.schemas import conform
+from specloom.schemas import conform, empty_table
 from specloom.session import configure, stage
 from specloom.sources.tables import Warehouse
 
 _BY = ["side", "api_id"]
 REQUEST, RESPONSE = "request", "response"
-# Which schema of a key stays when a build meets a stored one, and how two of them are merged.
-PRECEDENCES = ("newest", "oldest")
+# Which schema of a key stays when a build meets a stored one, and how two of them are merged. 'event' goes by the
+# time of the samples that decided them, whichever build they came in.
+EVENT = "event"
+PRECEDENCES = ("newest", "oldest", EVENT)
 MERGES = {"shallow": merge_schemas, "deep": merge_deep}
 
 
@@ -30,31 +34,53 @@ class Built(NamedTuple):
     request_structures: DataFrame
     response_structures: DataFrame
     quarantine: DataFrame
+    folds: DataFrame
 
 
 def body_schemas(
-    due: DataFrame, window: DataFrame, stored: DataFrame, precedence: str = "newest", merge: str = "shallow"
-) -> DataFrame:
-    """(side, api_id, body_schema, has_body, rejected) for every due side of an API.
+    due: DataFrame,
+    window: DataFrame,
+    stored: DataFrame,
+    precedence: str = "newest",
+    merge: str = "shallow",
+    folds: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(side, api_id, body_schema, has_body, rejected) for every due side of an API; and the next ``folds``.
 
     Request and response bodies go through one pass. Without an accepted body, now or
     earlier, the schema is empty; with one it is at least an object without properties.
+
+    ``folds`` is the state that the 'event' precedence keeps. A stored key that it does not
+    know counts as older than all samples. The other precedences forget it for what they build.
     """
     if precedence not in PRECEDENCES or merge not in MERGES:
         raise ValueError(f"precedence must be one of {PRECEDENCES}, merge one of {tuple(MERGES)}")
+    if precedence == EVENT and merge != "shallow":
+        raise ValueError("by event time a key has the schema of one sample: there is nothing to merge")
+    folds = empty_table(due.sparkSession, "folds") if folds is None else folds
     folded = stage(fold_bodies(window, _BY), "fold")
     counts = folded.where(F.col("kind") != "key").groupBy(*_BY).agg(
         F.max(F.col("kind") == "body").alias("_accepted"),
         F.sum(F.when(F.col("kind") == "rejected", F.col("n"))).alias("rejected"),
     )
     seed = stored.join(due.select(*_BY), _BY, "left_semi")
-    sides = [stored_keys(seed, _BY), winning_schemas(folded, _BY)]
-    keys = MERGES[merge](*(sides if precedence == "newest" else reversed(sides)), _BY)
+    built = due.select(*_BY)
+    others = folds.join(built, _BY, "left_anti")
+    if precedence == EVENT:
+        # State of structures that are still there; of deleted ones it is forgotten.
+        known = folds.join(seed.select(*_BY), _BY, "left_semi")
+        untimed = stored_keys(seed, _BY).join(known, [*_BY, "key"], "left_anti")
+        state = known.unionByName(conform(untimed, "folds"))
+        keys = stage(conform(merge_folds(state, folded, _BY), "folds"), "folds")
+        folds = others.unionByName(keys)
+    else:
+        sides = [stored_keys(seed, _BY), winning_schemas(folded, _BY)]
+        keys = MERGES[merge](*(sides if precedence == "newest" else reversed(sides)), _BY)
+        folds = others
     had_body = seed.select(*_BY, F.col("has_body").alias("_had"))
     accepted = F.coalesce("_accepted", F.lit(False)) | F.coalesce("_had", F.lit(False))
-    return (
-        due.select(*_BY)
-        .join(render_bodies(keys, _BY), _BY, "left")
+    schemas = (
+        built.join(render_bodies(keys, _BY), _BY, "left")
         .join(counts, _BY, "left")
         .join(had_body, _BY, "left")
         .select(
@@ -68,6 +94,7 @@ def body_schemas(
             F.coalesce("rejected", F.lit(0)).alias("rejected"),
         )
     )
+    return schemas, folds
 
 
 def _both(request: DataFrame, response: DataFrame, *columns: str) -> DataFrame:
@@ -95,19 +122,26 @@ def build_structures(
     gate: str = "fixed",
     precedence: str = "newest",
     merge: str = "shallow",
+    folds: DataFrame | None = None,
+    rollups: DataFrame | None = None,
 ) -> Built:
     """Next state of catalog and structures. The cursor of every live API moves to ``now``.
 
     With ``precedence='oldest'`` a stored schema of a key stays when a new one turns up, so
     builds over arrivals in order of time give what one build over all of them gives. With
+    'event' they do so in any order: ``folds`` holds which sample decided each key. With
     ``merge='deep'`` object schemas of a key are merged member by member.
+
+    ``rollups`` of the samples spare the gate their scan.
     """
     configure(apis.sparkSession)
+    if rollups is None:
+        rollups = rollup_samples(sample_requests, REQUEST).unionByName(rollup_samples(sample_responses, RESPONSE))
     # Staged: used several times, and as a plain small table it is what a join broadcasts.
     due = stage(
         _both(
-            due_apis(apis, sample_requests, gate),
-            due_apis(apis, sample_responses, gate),
+            due_by_newest(apis, newest_in_rollups(rollups, REQUEST), gate),
+            due_by_newest(apis, newest_in_rollups(rollups, RESPONSE), gate),
             "api_id",
             "cursor",
         ),
@@ -118,15 +152,10 @@ def build_structures(
     window_req = window_samples(_since_oldest_cursor(sample_requests, due_req), due_req)
     window_resp = window_samples(_since_oldest_cursor(sample_responses, due_resp), due_resp)
     window = _both(window_req, window_resp, "api_id", "id", "event_at", "body")
-    schemas = body_schemas(
-        due,
-        window,
-        _both(live(request_structures), live(response_structures), "api_id", "body_schema", "has_body"),
-        precedence,
-        merge,
-    )
+    stored = _both(live(request_structures), live(response_structures), "api_id", "body_schema", "has_body")
+    schemas, folds = body_schemas(due, window, stored, precedence, merge, folds)
     parameters = merge_parameters(
-        live(request_structures).join(due_req, "api_id", "left_semi"), window_req
+        live(request_structures).join(due_req, "api_id", "left_semi"), window_req, precedence != EVENT
     ).withColumn("side", F.lit(REQUEST))
     no_parameters = F.expr("array()").cast(request_structures.schema["parameters"].dataType)
     structures = stage(
@@ -144,6 +173,7 @@ def build_structures(
         _store(request_structures, of(REQUEST), REQUEST, now),
         _store(response_structures, of(RESPONSE).drop("parameters"), RESPONSE, now),
         _rejected(structures, window),
+        folds,
     )
 
 
@@ -176,7 +206,9 @@ def run_build(
 ) -> None:
     """Build from the tables of a warehouse and write the next snapshots.
 
-    ``version`` must exceed that of the catalog read. By default the build takes up the
+    ``version`` must exceed that of the catalog read. With ``precedence='event'`` any
+    sequence of builds over the same batches ends in the same documents; host and method of
+    the catalog then follow the first sighting too. By default the build takes up the
     batches that no earlier build has read, however their stamps and the builds' clocks
     compare, and no others are read; the gates that compare stamps read all batches. The
     list of batches read and the catalog are written last: a job that dies earlier is
@@ -186,6 +218,13 @@ def run_build(
     batches = warehouse.batches("sample_responses")
     read = {r.batch for r in warehouse.read_snapshot("consumed", below=version).toLocalIterator()}
     wanted = [b for b in batches if b not in read] if gate == UNREAD else None
+    if precedence == EVENT:
+        # Without earlier state, the sightings of all batches are its beginning.
+        earlier = warehouse.read_snapshot("first_seen", below=version)
+        known = any(v < version for v in warehouse.versions("first_seen"))
+        seen = warehouse.read_appended("sightings", wanted if known else None)
+        first = stage(first_sightings(conform(seen, "first_seen").unionByName(earlier)), "first_seen")
+        apis = with_first_sighting(apis, first)
     built = build_structures(
         apis,
         warehouse.read_appended("sample_requests", wanted),
@@ -196,7 +235,13 @@ def run_build(
         gate,
         precedence,
         merge,
+        warehouse.read_snapshot("folds", below=version),
+        read_rollups(warehouse, wanted),
     )
+    if precedence == EVENT:
+        warehouse.write_snapshot("first_seen", first, version)
+    if precedence == EVENT or any(v < version for v in warehouse.versions("folds")):
+        warehouse.write_snapshot("folds", built.folds, version)
     warehouse.write_snapshot("request_structures", built.request_structures, version)
     warehouse.write_snapshot("response_structures", built.response_structures, version)
     warehouse.append("quarantine", conform(built.quarantine, "quarantine"), version, now.date())
@@ -205,6 +250,17 @@ def run_build(
     warehouse.write_snapshot("apis", built.apis, version)
 
 
+def read_rollups(warehouse: Warehouse, batches: list[int] | None = None) -> DataFrame:
+    """Rollups of the given batches' samples, or of all; batches written without one are rolled up from their samples."""
+    there = warehouse.batches("sample_rollups")
+    wanted = warehouse.batches("sample_responses") if batches is None else batches
+    rollups = warehouse.read_appended("sample_rollups", [b for b in wanted if b in set(there)])
+    bare = [b for b in wanted if b not in set(there)]
+    for side, table in ((REQUEST, "sample_requests"), (RESPONSE, "sample_responses")) if bare else ():
+        rollups = rollups.unionByName(rollup_samples(warehouse.read_appended(table, bare), side))
+    return rollups
+
+
 def move_cursor(apis: DataFrame, ids: DataFrame, now: datetime) -> DataFrame:
     """Move the cursor of the given ids; an id the catalog lacks, or a move that changes nothing, is an error."""
     if not unmatched_ids(apis, ids).isEmpty():

@@ -4,7 +4,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.operators.catalog import discover_apis, new_apis, request_samples, response_samples
+from specloom.operators.catalog import (
+    first_sightings, new_apis, request_samples, response_samples, sightings,
+)
+from specloom.operators.gate import rollup_samples
 from specloom.operators.records import parse_records, quarantined
 from specloom.session import configure, stage
 from specloom.sources.archive import read_archive, read_folder, spread
@@ -24,17 +27,30 @@ def ingest_lines(
     writes carry the batch number, so a repeated batch replaces itself.
     """
     records = stage(parse_records(lines, now, max_line_bytes=max_line_bytes), "records")
+    day = now.date()
+    warehouse.append("sightings", sightings(records), batch, day)
     apis = warehouse.read_snapshot("apis", below=_step(batch))
-    added = new_apis(discover_apis(records), apis, now)
+    added = new_apis(first_sightings(warehouse.read_appended("sightings", [batch])), apis, now)
     warehouse.write_snapshot("apis", apis.unionByName(added), _step(batch))
-    day = now.date()
     warehouse.append("quarantine", quarantined(records), 2 * batch, day)
-    warehouse.append("sample_requests", request_samples(records, now), batch, day)
-    # Responses come last: a build takes up the batches that have them.
-    warehouse.append("sample_responses", response_samples(records, now), batch, day)
+    append_samples(warehouse, request_samples(records, now), response_samples(records, now), batch, now)
     return records
 
 
+def append_samples(
+    warehouse: Warehouse, requests: DataFrame, responses: DataFrame, batch: int, now: datetime
+) -> None:
+    """Write the samples of a batch, and the rollup of their stamps that gates read instead of them."""
+    day = now.date()
+    warehouse.append("sample_requests", requests, batch, day)
+    rollups = rollup_samples(warehouse.read_appended("sample_requests", [batch]), "request").unionByName(
+        rollup_samples(responses, "response")
+    )
+    warehouse.append("sample_rollups", rollups, batch, day)
+    # Responses come last: a build takes up the batches that have them.
+    warehouse.append("sample_responses", responses, batch, day)
+
+
 def _step(batch: int) -> int:
     """Snapshot number of an ingest; the build that follows it takes the next one."""
     return 2 * batch

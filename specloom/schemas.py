@@ -20,6 +20,12 @@ TABLES = {
     "response_structures": f"{BASE}, api_id STRING, body_schema STRING, has_body BOOLEAN",
     "types": f"{BASE}, name STRING, properties STRING",
     "consumed": "batch BIGINT",
+    # What an ingest notes of its samples, and where and when it met each path; both are small.
+    "sample_rollups": "side STRING, api_id STRING, oldest TIMESTAMP, newest TIMESTAMP, n BIGINT",
+    "sightings": "api_id STRING, path STRING, host STRING, method STRING, first_seen TIMESTAMP",
+    # State of builds by event time: per key the sample that decides its schema, per path its first sighting.
+    "folds": "side STRING, api_id STRING, key STRING, event_at TIMESTAMP, id STRING, schema STRING",
+    "first_seen": "api_id STRING, path STRING, host STRING, method STRING, first_seen TIMESTAMP",
     "quarantine": "file STRING, line STRING, stage STRING, reason STRING",
 }
 

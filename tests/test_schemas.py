@@ -151,7 +151,7 @@ def test_fold_is_oldest_wins_over_stored(spark):
         expected[f"api{a}"] = obj(**state)
     due = spark.createDataFrame([(k,) for k in expected], "api_id string")
     old = spark.createDataFrame(stored, "api_id string, body_schema string, has_body boolean")
-    rows = body_schemas(_side(due), _side(_samples(spark, rows)), _side(old)).collect()
+    rows = body_schemas(_side(due), _side(_samples(spark, rows)), _side(old))[0].collect()
     assert {r.api_id: json.loads(r.body_schema) for r in rows} == expected
 
 
@@ -159,7 +159,7 @@ def test_empty_schemas(spark):
     due = spark.createDataFrame([("none",), ("blank",), ("array",)], "api_id string")
     old = spark.createDataFrame([], "api_id string, body_schema string, has_body boolean")
     samples = _samples(spark, [("blank", 0, ""), ("array", 0, "[1]")])
-    rows = body_schemas(_side(due), _side(samples), _side(old)).collect()
+    rows = body_schemas(_side(due), _side(samples), _side(old))[0].collect()
     assert {r.api_id: (r.body_schema, r.has_body) for r in rows} == {
         "none": ("{}", False), "blank": ("{}", False), "array": ('{"properties":{},"type":"object"}', True),
     }
