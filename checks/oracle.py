@@ -399,6 +399,43 @@ for _name in ("late_files", "overlapping_ingest", "same_stamps"):
     SQL[_name] = _documents("CAST(1 - event_id % 2 AS VARCHAR) || ord")
 SQL["incremental_oldest"] = _documents("ord")
 SQL["arrival_orders"] = f"SELECT * FROM ({_documents('ord')}), (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS arrival_order)"
+SQL["far_page"] = _with(_ORDERS) + """
+    SELECT * FROM o WHERE deleted_at IS NULL AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, id LIMIT 40 OFFSET 1000"""
+SQL["page_chain"] = _with(_ORDERS) + """
+    SELECT *, CAST((row_number() OVER (ORDER BY o_orderpriority DESC, o_custkey, id) - 1) // (count(*) OVER () // 5 + 1) AS INTEGER) AS page
+    FROM o WHERE deleted_at IS NULL AND o_orderstatus = 'O'"""
+# Changes one after the other; the places of first matches are worked out on what the change before has left.
+_CHANGED = _with(_ORDERS) + f""",
+    one AS (SELECT id FROM o WHERE o_orderpriority = '2-HIGH' ORDER BY created_at, id LIMIT 1),
+    removed AS (SELECT id FROM o WHERE o_orderpriority = '5-LOW' ORDER BY created_at, id LIMIT 1),
+    c2 AS (SELECT id, created_at, deleted_at, o_custkey, o_orderpriority,
+        CASE WHEN id IN (FROM one) THEN NULL ELSE o_orderstatus END AS o_orderstatus,
+        CASE WHEN o_custkey % 30 = 7 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+        id IN (FROM one) OR o_custkey % 30 = 7 OR o_custkey = 11 AS hit FROM o),
+    c5 AS (SELECT * REPLACE (CASE WHEN o_custkey = 11 THEN {_STAMP} ELSE deleted_at END AS deleted_at) FROM c2 WHERE id NOT IN (FROM removed)),
+    i AS (SELECT lpad(CAST(o_orderkey * 3 AS VARCHAR), 24, '0') AS id, o_custkey FROM orders WHERE o_orderkey % 40 = 0),
+    c6 AS (SELECT coalesce(c5.id, i.id) AS id, coalesce(created_at, {_STAMP}) AS created_at, deleted_at,
+        coalesce(i.o_custkey, c5.o_custkey) AS o_custkey, o_orderpriority,
+        CASE WHEN i.id IS NULL THEN o_orderstatus ELSE 'N' END AS o_orderstatus, o_totalprice,
+        coalesce(hit, false) OR i.id IS NOT NULL AS hit FROM c5 FULL JOIN i ON c5.id = i.id),
+    k AS (SELECT DISTINCT o_custkey * 2 AS o_custkey, upper(o_orderpriority) AS o_orderpriority FROM orders WHERE o_custkey % 50 = 1),
+    firsts AS (SELECT arg_min(id, (created_at, id)) AS id FROM c6 JOIN k USING (o_custkey, o_orderpriority) GROUP BY o_custkey, o_orderpriority),
+    added AS (SELECT * FROM k ANTI JOIN c6 USING (o_custkey, o_orderpriority))
+"""
+SQL["bucket_rows"] = _CHANGED + f"""
+    SELECT id, created_at, CASE WHEN hit OR id IN (FROM firsts) THEN {_STAMP} ELSE created_at END AS updated_at, deleted_at, o_custkey,
+      o_orderstatus, CASE WHEN id IN (FROM firsts) THEN 0.5 ELSE o_totalprice END AS o_totalprice, o_orderpriority
+    FROM c6 UNION ALL
+    SELECT substr(sha256(o_custkey || '/' || o_orderpriority), 1, 24), {_STAMP}, {_STAMP}, NULL, o_custkey, NULL, 0.5, o_orderpriority FROM added"""
+SQL["bucket_counts"] = _CHANGED + """
+    SELECT 'one' AS what, (SELECT count(*) FROM one) AS modified, 0 AS inserted, 0 AS deleted, true AS one_bucket
+    UNION ALL SELECT 'many', (SELECT count(*) FROM o WHERE o_custkey % 30 = 7), 0, 0, false
+    UNION ALL SELECT 'soft', (SELECT count(*) FROM o WHERE o_custkey = 11), 0, 0,
+      (SELECT count(*) = 1 FROM o WHERE o_custkey = 11)
+    UNION ALL SELECT 'removed', 0, 0, (SELECT count(*) FROM removed), true
+    UNION ALL SELECT 'by id', (SELECT count(*) FROM i SEMI JOIN c5 USING (id)), (SELECT count(*) FROM i ANTI JOIN c5 USING (id)), 0, false
+    UNION ALL SELECT 'by key', (SELECT count(*) FROM firsts), (SELECT count(*) FROM added), 0, false
+    UNION ALL SELECT 'none', 0, 0, 0, false"""
 SQL["rebuild_after_delete"] = _with(_E, _RESPONSE_BODIES, _RESPONSE_VALUES) + """,
     s AS (SELECT api_id, count(*) FILTER (WHERE event_id % 2 = 0) AS n0, count(*) FILTER (WHERE event_id % 2 = 1) AS n1
           FROM a WHERE event_id % 11 <> 0 GROUP BY 1),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from checks.derived_log import NOW, load, log_lines, log_records, write_archive
 from specloom.functions.text import with_clean_text
 from specloom.functions.urls import path_template, with_url_parts
-from specloom.operators import catalog, gate, rows, schema_fold, updates
+from specloom.operators import catalog, changes, gate, rows, schema_fold, updates
 from specloom.operators.documents import api_documents
 from specloom.operators.parameter_merge import merge_parameters
 from specloom.operators.records import accepted, parse_records, quarantined
@@ -22,6 +22,7 @@ from specloom.plans.ingest import append_samples, ingest_archive, ingest_lines
 from specloom.schemas import conform, empty_table
 from specloom.session import configure, scratch_path, stage
 from specloom.sources.archive import hour_paths, read_archive, read_folder, unpacked
+from specloom.sources.buckets import BucketTable
 from specloom.sources.tables import Warehouse
 from specloom.streaming.incremental import run_incremental
 
@@ -354,6 +355,65 @@ def valid_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.valid_inputs(inputs)
 
 
+def far_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page beyond what a top-k may hold: places of sorted partitions find it."""
+    cond, order = rows.matches({"o_orderstatus": "O"}), [F.col("o_totalprice").desc()]
+    return _shown(rows.find_page(_orders(spark, sf_dir), cond, order, limit=40, offset=1000, far_rows=500))
+
+
+def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that follow each other by the last row's values, to the end; the sort columns have very many ties."""
+    orders, cond = stage(_orders(spark, sf_dir), "orders"), rows.matches({"o_orderstatus": "O"})
+    order = [("o_orderpriority", True), ("deleted_at", False), ("o_custkey", False)]
+    size = rows.count_rows(rows.find(orders, cond)).first().n // 5 + 1
+    pages, last = [], None
+    while True:
+        page = stage(rows.page_after(orders, cond, order, size, last), "page")
+        end = page.orderBy("o_orderpriority", F.col("o_custkey").desc(), F.col("id").desc()).limit(1).collect()
+        if not end:
+            break
+        pages.append(page.withColumn("page", F.lit(len(pages))))
+        last = end[0].asDict()
+    return _shown(reduce(DataFrame.unionByName, pages, orders.limit(0).withColumn("page", F.lit(0))))
+
+
+def _changed_orders(spark: SparkSession, sf_dir: str) -> tuple[BucketTable, dict[str, changes.Change]]:
+    """``orders`` in buckets, after changes of one row, of many, a removal, and upserts by id and by key."""
+    orders = _orders(spark, sf_dir)
+    table = BucketTable(spark, scratch_path(spark, "orders"), orders.schema)
+    table.write(orders, 1)
+    o = load(spark, sf_dir, "orders")
+    by_id = o.where(F.col("o_orderkey") % 40 == 0).select(
+        F.lpad((F.col("o_orderkey") * 3).cast("string"), 24, "0").alias("id"), F.lit("N").alias("o_orderstatus"), "o_custkey"
+    )
+    by_key = o.where(F.col("o_custkey") % 50 == 1).select(
+        (F.col("o_custkey") * 2).alias("o_custkey"), F.upper("o_orderpriority").alias("o_orderpriority"), F.lit(0.5).alias("o_totalprice")
+    ).distinct()
+    key = ["o_custkey", "o_orderpriority"]
+    new_id = F.substring(F.sha2(F.concat_ws("/", *key), 256), 1, 24)
+    done = {
+        "one": changes.update_one(table, 2, F.col("o_orderpriority") == "2-HIGH", {"o_orderstatus": None}, STAMP),
+        "many": changes.update_many(table, 3, F.col("o_custkey") % 30 == 7, {"o_totalprice": F.col("o_totalprice") * 2}, STAMP),
+        "soft": changes.soft_delete(table, 4, F.col("o_custkey") == 11, STAMP),
+        "removed": changes.delete_one(table, 5, F.col("o_orderpriority") == "5-LOW"),
+        "by id": changes.upsert_by_id(table, 6, by_id, STAMP),
+        "by key": changes.upsert(table, 7, by_key, key, STAMP, new_id),
+        "none": changes.update_by_id(table, 8, "absent", {"o_totalprice": 1}, STAMP),
+    }
+    return table, done
+
+
+def bucket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(_changed_orders(spark, sf_dir)[0].read())
+
+
+def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each change reports; counts come from the rows as they are written."""
+    done = _changed_orders(spark, sf_dir)[1]
+    found = [(what, c.modified, c.inserted, c.deleted, len(c.buckets) == 1) for what, c in done.items()]
+    return spark.createDataFrame(found, "what string, modified long, inserted long, deleted long, one_bucket boolean")
+
+
 def insert_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
     old = F.when(F.col("p_partkey") % 3 == 0, F.lit(MID_JANUARY))
@@ -659,6 +719,10 @@ QUERIES = {
     "schema_merge_pair": schema_merge_pair,
     "find_rows": find_rows,
     "page_live_rows": page_live_rows,
+    "far_page": far_page,
+    "page_chain": page_chain,
+    "bucket_rows": bucket_rows,
+    "bucket_counts": bucket_counts,
     "api_page": api_page,
     "first_match": first_match,
     "count_rows": count_rows,

@@ -10,6 +10,8 @@ from specloom.session import stage
 
 # Columns of every collection; they are never assigned by an item.
 BASE_COLUMNS = ("id", "created_at", "updated_at", "deleted_at")
+# Rows up to the end of a page that a top-k may hold in each task; a page beyond is found by places.
+FAR_ROWS = 100_000
 # What an input may describe.
 INPUT_TYPES = ("request", "response")
 
@@ -48,17 +50,53 @@ def find_page(
     order: Iterable[Column] = (),
     limit: int = 0,
     offset: int = 0,
+    far_rows: int = FAR_ROWS,
 ) -> DataFrame:
-    """A page of the live rows that match; a limit of 0 means all. The id breaks ties."""
+    """A page of the live rows that match; a limit of 0 means all. The id breaks ties.
+
+    No task holds more than ``far_rows`` rows for it. To go through many pages, see :func:`page_after`.
+    """
     order = [*order, F.col("id")]
     page = find(df, cond).orderBy(*order)
-    if offset > 0 and limit <= 0:
-        return _from_place(page, offset).orderBy(*order)
+    if offset > 0 and (limit <= 0 or offset + limit > far_rows):
+        return _from_place(page, offset, limit).orderBy(*order)
     page = page.offset(offset) if offset > 0 else page
     return page.limit(limit) if limit > 0 else page
 
 
-def _from_place(page: DataFrame, offset: int) -> DataFrame:
+def after(order: Iterable[tuple[str, bool]], last: Mapping) -> Column:
+    """Rows that come behind a row with the values ``last``, sorted by ``order``: (column, whether descending).
+
+    Comparisons of columns with values, which the scan prunes by. Nulls come first in ascending order, last in descending.
+    """
+    behind, same = [], F.lit(True)
+    for name, descending in order:
+        column, value = F.col(name), last[name]
+        if value is None:
+            beyond = F.lit(False) if descending else column.isNotNull()
+            equal = column.isNull()
+        else:
+            beyond = (column < F.lit(value)) | column.isNull() if descending else column > F.lit(value)
+            equal = column == F.lit(value)
+        behind.append(same & beyond)
+        same = same & equal
+    return reduce(lambda a, b: a | b, behind)
+
+
+def page_after(
+    df: DataFrame, cond: Column, order: Iterable[tuple[str, bool]], limit: int, last: Mapping | None = None
+) -> DataFrame:
+    """The page that follows the row ``last`` (values of the sort columns and id), or the first one.
+
+    However far the page, only its own rows are held, and rows before it are left out at the scan. Rows added or removed
+    meanwhile shift no page, as they would with offsets. ``order`` has (column, whether descending); the id breaks ties.
+    """
+    order = [*order, ("id", False)]
+    rest = cond if last is None else cond & after(order, last)
+    return find(df, rest).orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]).limit(limit)
+
+
+def _from_place(page: DataFrame, offset: int, limit: int = 0) -> DataFrame:
     """Sorted rows from a place on, without a task that sees them all: places follow from the partitions' sizes."""
     columns = page.columns
     numbered = stage(page.withColumn("_row", F.monotonically_increasing_id()), "page")
@@ -68,7 +106,8 @@ def _from_place(page: DataFrame, offset: int) -> DataFrame:
     bases = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_base"))
     placed = numbered.withColumn("_part", part).join(bases, "_part")
     place = F.col("_base") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.where(place >= offset).select(*columns)
+    within = place >= offset if limit <= 0 else (place >= offset) & (place < offset + limit)
+    return placed.where(within).select(*columns)
 
 
 def api_page(apis: DataFrame, limit: int, offset: int = 0) -> DataFrame:

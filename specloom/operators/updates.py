@@ -34,7 +34,8 @@ def _with_first(df: DataFrame, cond: Column) -> DataFrame:
     )
 
 
-def _assign(df: DataFrame, hit: Column, values: Mapping, now: datetime, base=("id", "created_at")) -> DataFrame:
+def assign(df: DataFrame, hit: Column, values: Mapping, now: datetime, base=("id", "created_at")) -> DataFrame:
+    """Values on the rows that ``hit`` holds for, and their stamp; columns ``base`` stay."""
     new = {name: value for name, value in values.items() if name not in base}
     new["updated_at"] = now
     return df.withColumns(
@@ -49,7 +50,7 @@ def _assign(df: DataFrame, hit: Column, values: Mapping, now: datetime, base=("i
 
 def update_one(df: DataFrame, cond: Column, values: Mapping, now: datetime) -> DataFrame:
     """Assign ``values`` on the first match. A column subset makes a partial update."""
-    return _assign(_with_first(df, cond), F.col("_hit"), values, now).select(*df.columns)
+    return assign(_with_first(df, cond), F.col("_hit"), values, now).select(*df.columns)
 
 
 def update_by_id(df: DataFrame, row_id: str, values: Mapping, now: datetime) -> DataFrame:
@@ -58,7 +59,7 @@ def update_by_id(df: DataFrame, row_id: str, values: Mapping, now: datetime) ->
 
 def update_many(df: DataFrame, cond: Column, values: Mapping, now: datetime) -> DataFrame:
     """Assign ``values`` on every match: one projection, no shuffle."""
-    return _assign(df, F.coalesce(cond, F.lit(False)), values, now)
+    return assign(df, F.coalesce(cond, F.lit(False)), values, now)
 
 
 def modified_count(df: DataFrame, cond: Column, one: bool) -> DataFrame:
@@ -85,7 +86,7 @@ def soft_delete_by_id(df: DataFrame, row_id: str, now: datetime) -> DataFrame:
     return update_by_id(df, row_id, {"deleted_at": now}, now)
 
 
-def _last_item(items: DataFrame, key: list[str], order: str | None) -> DataFrame:
+def last_item(items: DataFrame, key: list[str], order: str | None) -> DataFrame:
     """One item per key: applying items in turn leaves the last one's values."""
     if order is None:
         return items
@@ -97,7 +98,7 @@ def _last_item(items: DataFrame, key: list[str], order: str | None) -> DataFrame
     )
 
 
-def _upsert_hits(df: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
+def first_rows(df: DataFrame, items: DataFrame, key: list[str]) -> DataFrame:
     """The id of the first row per item key. Rows without an item drop out before any is sorted."""
     firsts = df.join(items.select(*key), key, "left_semi").groupBy(*key).agg(F.min(F.expr(_FIRST)).alias("m"))
     return firsts.select(*key, F.col("m.id").alias("_id"))
@@ -117,16 +118,16 @@ def upsert(
     apply in that order, without it keys must be unique. All assigned columns overwrite,
     nulls too. An inserted row gets ``new_id`` (over the key columns) and ``created_at``.
     """
-    items = _last_item(items, key, order)
+    items = last_item(items, key, order)
     assigned = [c for c in items.columns if c not in key and c not in BASE_COLUMNS]
-    hits = _upsert_hits(df, items, key)
+    hits = first_rows(df, items, key)
     changes = items.join(hits, key, "left")
     by_row = changes.where(F.col("_id").isNotNull()).select(
         F.col("_id").alias("id"),
         F.struct(*assigned, F.lit(1).alias("_")).alias("_new"),
     )
     updated = df.join(by_row, "id", "left").withColumn("_hit", F.col("_new").isNotNull())
-    updated = _assign(
+    updated = assign(
         updated, F.col("_hit"), {c: F.col(f"_new.{c}") for c in assigned}, now
     ).select(*df.columns)
     inserted = changes.where(F.col("_id").isNull()).withColumns(
@@ -141,13 +142,13 @@ def upsert_by_id(
     df: DataFrame, items: DataFrame, now: datetime, order: str | None = None
 ) -> DataFrame:
     """Upsert keyed by ``id``: a full outer join, as ids are unique."""
-    items = _last_item(items, ["id"], order)
+    items = last_item(items, ["id"], order)
     assigned = [c for c in items.columns if c not in BASE_COLUMNS]
     new = items.select("id", F.struct(*assigned, F.lit(1).alias("_")).alias("_new"))
     old = df.withColumn("_old", F.lit(True))
     joined = old.join(new, "id", "full_outer")
     hit = F.col("_new").isNotNull()
-    result = _assign(joined, hit, {c: F.col(f"_new.{c}") for c in assigned}, now)
+    result = assign(joined, hit, {c: F.col(f"_new.{c}") for c in assigned}, now)
     return result.withColumn(
         "created_at", F.when(F.col("_old").isNull(), F.lit(now)).otherwise(F.col("created_at"))
     ).select(*df.columns)
@@ -155,7 +156,7 @@ def upsert_by_id(
 
 def upsert_counts(df: DataFrame, items: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """(matched, inserted) rows of an upsert."""
-    items = _last_item(items, key, order)
+    items = last_item(items, key, order)
     known = df.select(*key).distinct().withColumn("_known", F.lit(1))
     hit = F.col("_known").isNotNull()
     return items.join(known, key, "left").agg(
