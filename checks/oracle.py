@@ -398,6 +398,7 @@ SQL["damaged_files"] = _with(_E) + """
 for _name in ("late_files", "overlapping_ingest", "same_stamps"):
     SQL[_name] = _documents("CAST(1 - event_id % 2 AS VARCHAR) || ord")
 SQL["incremental_oldest"] = _documents("ord")
+SQL["refreshed_documents"] = f"SELECT *, CASE WHEN path LIKE '%/purchase/%' THEN 5 ELSE 3 END AS version FROM ({_documents('ord')})"
 SQL["arrival_orders"] = f"SELECT * FROM ({_documents('ord')}), (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS arrival_order)"
 SQL["far_page"] = _with(_ORDERS) + """
     SELECT * FROM o WHERE deleted_at IS NULL AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, id LIMIT 40 OFFSET 1000"""

@@ -17,7 +17,7 @@ from specloom.operators.documents import api_documents
 from specloom.operators.parameter_merge import merge_parameters
 from specloom.operators.records import accepted, parse_records, quarantined
 from specloom.plans.build import build_structures, read_rollups, run_build
-from specloom.plans.documents import load_documents
+from specloom.plans.documents import load_documents, refresh_documents
 from specloom.plans.ingest import append_samples, ingest_archive, ingest_lines
 from specloom.schemas import conform, empty_table
 from specloom.session import configure, scratch_path, stage
@@ -595,6 +595,20 @@ def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_documents(warehouse)
 
 
+def refreshed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after two ingests of unlike APIs, each with the version that rendered it: the second leaves the first's alone."""
+    warehouse = Warehouse(spark, scratch_path(spark, "warehouse"))
+    late = F.col("event_type") == "purchase"
+    kinds = load(spark, sf_dir, "events").select("event_id", late.alias("late"))
+    lines = stage(log_lines(load(spark, sf_dir, "events")).join(kinds, "event_id"), "lines")
+    for batch, part in enumerate((~F.col("late"), F.col("late")), start=1):
+        now = NOW + timedelta(hours=batch)
+        ingest_lines(lines.where(part).select("file", "value"), warehouse, now, batch)
+        run_build(warehouse, now, version=2 * batch + 1)
+        documents = refresh_documents(warehouse, 2 * batch + 1)
+    return documents.drop("mark")
+
+
 def _arrive(lines: DataFrame, folder: str) -> None:
     lines.select("value").write.option("compression", "gzip").text(folder)
 
@@ -697,6 +711,7 @@ QUERIES = {
     "late_files": late_files,
     "incremental_oldest": incremental_oldest,
     "arrival_orders": arrival_orders,
+    "refreshed_documents": refreshed_documents,
     "overlapping_ingest": overlapping_ingest,
     "same_stamps": same_stamps,
     "rebuild_after_delete": rebuild_after_delete,

@@ -88,6 +88,22 @@ def _single(structures: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def document_inputs(apis: DataFrame, request_structures: DataFrame, response_structures: DataFrame) -> DataFrame:
+    """All that the document of each live API is made of; null where a structure is missing."""
+    req = _single(request_structures, ["parameters", "body_schema"]).select(
+        "api_id", "s.parameters", F.col("s.body_schema").alias("request_schema")
+    )
+    resp = _single(response_structures, ["body_schema"]).select(
+        "api_id", F.col("s.body_schema").alias("response_schema")
+    )
+    return (
+        live(apis)
+        .select(F.col("id").alias("api_id"), "host", "path", "method")
+        .join(req, "api_id", "left")
+        .join(resp, "api_id", "left")
+    )
+
+
 def api_documents(
     apis: DataFrame,
     request_structures: DataFrame,
@@ -100,18 +116,7 @@ def api_documents(
     Filter on ``api_id`` for one API: the filter reaches all three scans, and an empty
     result means the API is not known.
     """
-    req = _single(request_structures, ["parameters", "body_schema"]).select(
-        "api_id", "s.parameters", F.col("s.body_schema").alias("request_schema")
-    )
-    resp = _single(response_structures, ["body_schema"]).select(
-        "api_id", F.col("s.body_schema").alias("response_schema")
-    )
-    joined = (
-        live(apis)
-        .select(F.col("id").alias("api_id"), "host", "path", "method")
-        .join(req, "api_id", "left")
-        .join(resp, "api_id", "left")
-    )
+    joined = document_inputs(apis, request_structures, response_structures)
     op = operation(
         F.col("path"), F.col("parameters"), F.col("request_schema"), F.col("response_schema")
     )

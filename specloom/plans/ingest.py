@@ -10,7 +10,7 @@ from specloom.operators.catalog import (
 from specloom.operators.gate import rollup_samples
 from specloom.operators.records import parse_records, quarantined
 from specloom.session import configure, stage
-from specloom.sources.archive import read_archive, read_folder, spread
+from specloom.sources.archive import archive_folders, parsing_tasks, read_folder, read_lines, spread
 from specloom.sources.tables import Warehouse
 
 
@@ -68,11 +68,11 @@ def ingest_archive(
 ) -> DataFrame:
     """Ingest the hour folders of a time range; no folder or file is a success without rows.
 
-    ``partitions`` spreads the lines of few, large files before they are parsed.
+    Lines are spread before they are parsed where the files' sizes ask for it, or over ``partitions`` tasks if given.
     """
     configure(spark)
-    lines = read_archive(spark, root, start, end)
-    lines = lines if partitions is None else spread(lines, partitions)
+    folders = archive_folders(spark, root, start, end)
+    lines = spread(read_lines(spark, folders), partitions or parsing_tasks(spark, folders))
     return ingest_lines(lines, warehouse, now, batch)
 
 

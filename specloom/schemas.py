@@ -19,6 +19,8 @@ TABLES = {
     "has_body BOOLEAN",
     "response_structures": f"{BASE}, api_id STRING, body_schema STRING, has_body BOOLEAN",
     "types": f"{BASE}, name STRING, properties STRING",
+    # Rendered documents, the version that rendered each, and what it was rendered from.
+    "documents": "api_id STRING, path STRING, method STRING, document STRING, version BIGINT, mark STRING",
     "consumed": "batch BIGINT",
     # What an ingest notes of its samples, and where and when it met each path; both are small.
     "sample_rollups": "side STRING, api_id STRING, oldest TIMESTAMP, newest TIMESTAMP, n BIGINT",

@@ -21,6 +21,10 @@ SERVICE = "proxy"
 LINES = "file STRING, value STRING, position BIGINT, damage STRING"
 #: Compressed files without the ending ``.gz`` come as one row below this size, else as rows that are put in order.
 WHOLE_FILE_BYTES = 1 << 30
+#: Compressed files up to this size are not worth moving their lines.
+LARGE_FILE_BYTES = 32 << 20
+#: Compressed bytes whose lines one task parses, where lines are moved.
+TASK_BYTES = 8 << 20
 _GZIP_MAGIC = b"\x1f\x8b"
 _PIECE = 1 << 20
 
@@ -106,15 +110,36 @@ def read_archive(
 
     The folder list is as long as the time range has hours; only it passes the driver.
     """
-    one = spark.range(1)
-    hours = hour_paths(one, F.lit(start), F.lit(end), service)
-    folders = [r.folder for r in hours.toLocalIterator()]
-    return read_lines(spark, existing_folders(spark, root, folders))
+    return read_lines(spark, archive_folders(spark, root, start, end, service))
 
 
-def spread(lines: DataFrame, partitions: int) -> DataFrame:
-    """Distribute lines of few large files before the costly parsing."""
-    return lines.repartition(partitions)
+def archive_folders(
+    spark: SparkSession, root: str, start: datetime, end: datetime, service: str = SERVICE
+) -> list[str]:
+    """The hour folders from start to end that exist."""
+    hours = hour_paths(spark.range(1), F.lit(start), F.lit(end), service)
+    return existing_folders(spark, root, [r.folder for r in hours.toLocalIterator()])
+
+
+def spread(lines: DataFrame, partitions: int | None) -> DataFrame:
+    """Distribute lines of few large files over tasks before the costly parsing."""
+    return lines if partitions is None else lines.repartition(partitions)
+
+
+def parsing_tasks(spark: SparkSession, paths: list[str]) -> int | None:
+    """Tasks to spread the lines of the ``*.gz`` files below the paths over; none where files make tasks of like size.
+
+    Only sizes are read. Lines are worth moving where a file of some size holds more than a core's even share of all bytes:
+    its task would be parsing long after the others.
+    """
+    if not paths:
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(paths)
+    size = files.select("length").agg(F.max("length").alias("largest"), F.sum("length").alias("whole")).first()
+    share = (size.whole or 0) / max(1, spark.sparkContext.defaultParallelism)
+    if (size.largest or 0) <= max(LARGE_FILE_BYTES, share):
+        return None
+    return max(spark.sparkContext.defaultParallelism, -(-size.whole // TASK_BYTES))
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:

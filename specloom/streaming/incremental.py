@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 
 from specloom.plans.build import run_build
+from specloom.plans.documents import refresh_documents
 from specloom.plans.ingest import ingest_lines
 from specloom.session import configure
 from specloom.sources.archive import gz_lines
@@ -28,6 +29,7 @@ def run_incremental(
     max_files: int | None = None,
     precedence: str = "newest",
     merge: str = "shallow",
+    documents: bool = False,
 ) -> None:
     """Ingest and build everything that is new, then stop.
 
@@ -35,7 +37,8 @@ def run_incremental(
     the stream's checkpoint remembers the files. Stamps derive from the batch number, so a
     repeated batch rewrites the same rows: ingest at second 2n, build at second 2n+1 after
     ``started``. In a later batch a key's new value beats the stored one, unless
-    ``precedence`` is 'oldest'.
+    ``precedence`` is 'oldest', or 'event', with which it does not matter how files fall into
+    batches. With ``documents`` those of the touched APIs are rendered into the snapshot.
     """
     configure(spark)
 
@@ -44,6 +47,8 @@ def run_incremental(
         ingest_lines(lines, warehouse, started + timedelta(seconds=2 * batch), batch)
         built_at = started + timedelta(seconds=2 * batch + 1)
         run_build(warehouse, built_at, 2 * batch + 1, precedence=precedence, merge=merge)
+        if documents:
+            refresh_documents(warehouse, 2 * batch + 1)
 
     query = (
         log_stream(spark, root, max_files)

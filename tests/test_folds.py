@@ -10,7 +10,7 @@ from specloom.operators.gate import due_apis, due_by_newest, newest_in_rollups
 from specloom.operators.schema_fold import fold_bodies, merge_folds
 from specloom.operators.updates import soft_delete
 from specloom.plans.build import read_rollups, run_build
-from specloom.plans.documents import load_documents
+from specloom.plans.documents import load_documents, refresh_documents
 from specloom.plans.ingest import ingest_lines
 from specloom.schemas import empty_table
 from specloom.session import scratch_path
@@ -101,3 +101,24 @@ def test_batches_without_a_rollup_are_rolled_up_from_their_samples(spark):
             older.append(table, warehouse.read_appended(table, [batch]), batch, (NOW + batch * DAY).date())
     older.append("sample_rollups", warehouse.read_appended("sample_rollups", [2]), 2, (NOW + 2 * DAY).date())
     assert sorted(read_rollups(older).collect()) == sorted(read_rollups(warehouse).collect())
+
+
+def test_only_documents_whose_inputs_changed_are_rendered(spark):
+    warehouse = build(spark, [LOG[:3] + LOG[3:5]])
+    first = {r.path: r for r in refresh_documents(warehouse, 3).collect()}
+    assert {r.version for r in first.values()} == {3} and len(first) == 2
+    # The same inputs: nothing is rendered. Another title: everything is.
+    assert {r.version for r in refresh_documents(warehouse, 4).collect()} == {3}
+    assert {r.version for r in refresh_documents(warehouse, 5, title="T").collect()} == {5}
+    lines = spark.createDataFrame([("f", line("/c", T0, "{}")), ("f", line("/b/9", T0, "[]", '{"more":1}'))], "file string, value string")
+    ingest_lines(lines, warehouse, NOW + 9 * DAY, 9)
+    run_build(warehouse, NOW + 9 * DAY, 19, precedence="event")
+    gone = warehouse.read_snapshot("apis").withColumn("deleted_at", F.when(F.col("path") == "/a", F.lit(NOW)))
+    refresh_documents(warehouse, 19)
+    found = {r.path: r.version for r in refresh_documents(warehouse, 20, title="T").collect()}
+    assert found == {"/a": 20, "/b/{id}": 20, "/c": 20}
+    warehouse.write_snapshot("apis", gone, 21)
+    left = refresh_documents(warehouse, 21, title="T")
+    assert {r.path: r.version for r in left.collect()} == {"/b/{id}": 20, "/c": 20}
+    columns = ["api_id", "path", "method", "document"]
+    assert sorted(left.select(*columns).collect()) == sorted(load_documents(warehouse, title="T").select(*columns).collect())

@@ -365,3 +365,21 @@ def test_old_files_are_taken_up(spark, tmp_path):
     os.utime(root / "2.gz", (1_000_000_000, 1_000_000_000))
     run_incremental(spark, str(root), warehouse, checkpoint, NOW)
     assert set(documents(warehouse)) == {"/a", "/old"}
+
+
+def test_a_large_file_among_small_ones_is_spread_by_its_size(spark, tmp_path, monkeypatch):
+    hour = tmp_path / "logs/proxy/2023-05-31/23"
+    for i in range(100):
+        put(hour, f"{i}.gz", [line("/a", T0, "{}")])
+    body = json.dumps({f"k{i}": "x" * 50 for i in range(20)})
+    put(hour, "large.gz", [line(f"/a/{i}", T0 + timedelta(microseconds=i), body) for i in range(2000)])
+    folders = archive.archive_folders(spark, str(tmp_path), T0, T0)
+    assert archive.parsing_tasks(spark, folders) is None and archive.parsing_tasks(spark, []) is None
+    monkeypatch.setattr(archive, "LARGE_FILE_BYTES", 1 << 12)
+    assert archive.parsing_tasks(spark, folders) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(archive, "TASK_BYTES", 1 << 10)
+    assert archive.parsing_tasks(spark, folders) > spark.sparkContext.defaultParallelism
+    warehouse = Warehouse(spark, scratch_path(spark, "jobs"))
+    records = ingest_archive(spark, str(tmp_path), T0, T0, warehouse, NOW, batch=1)
+    large = records.where(F.col("file").contains("large.gz"))
+    assert large.select(F.input_file_name()).distinct().count() > 1 and (large.count(), records.count()) == (2000, 2100)
