@@ -200,9 +200,10 @@ def pack_pieces(pieces: DataFrame, limit: int, shard_pieces: int = SHARD_PIECES)
     """``pieces`` (with ``length`` from 1 to ``limit``) and for each its ``sequence_id`` and ``offset`` in it.
 
     Pieces of a sequence stand without gaps from offset 0. Columns of these names, or named shard or fill, are replaced.
+    Pieces that agree in all columns lie in shards like others do.
     """
     ship_package(pieces.sparkSession)
-    pieces = pieces.drop("sequence_id", "offset", "shard", "fill")
+    pieces = stage(pieces.drop("sequence_id", "offset", "shard", "fill"), "pieces")
     schema = T.StructType(
         pieces.schema.fields
         + [T.StructField(c, T.LongType()) for c in ("shard", "sequence_id", "offset", "fill")]
@@ -217,7 +218,8 @@ def pack_pieces(pieces: DataFrame, limit: int, shard_pieces: int = SHARD_PIECES)
 
     keys = [f.name for f in pieces.schema.fields if isinstance(f.dataType, (T.IntegralType, T.StringType))]
     shards, first, done = max(1, -(-pieces.count() // shard_pieces)), 0, None
-    left = pieces.withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
+    # A row's place in the staged files tells rows that are alike apart.
+    left = pieces.withColumn("shard", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(shards)))
     while True:
         packed = left.groupBy("shard").applyInArrow(pack, schema)
         if shards == 1:
@@ -235,5 +237,4 @@ def pack_documents(
     docs: DataFrame, vocabulary: str, end_id: int, limit: int, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """One row per piece of each document: see :func:`cut_pieces` and :func:`pack_pieces`. No documents, no rows."""
-    pieces = stage(cut_pieces(docs, vocabulary, end_id, limit, id_column, text_column), "pieces")
-    return pack_pieces(pieces, limit)
+    return pack_pieces(cut_pieces(docs, vocabulary, end_id, limit, id_column, text_column), limit)
