@@ -84,8 +84,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), END_ID, files)
+    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), END_ID)
     return read_documents(spark, path, checksum=True)
 
 

@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from specloom.llm import simple8b
 from specloom.llm.byte_bpe import encoder
+from specloom.llm.names import unused
 from specloom.session import ship_package
 
 #: Ids after which a segment ends; a longer document makes a longer segment.
 SEGMENT_IDS = 1 << 19
+#: Bytes of text whose ids one file holds, where the number of files is not given.
+FILE_BYTES = 64 << 20
 
 
 def _segment_schema(id_type: T.DataType) -> T.StructType:
@@ -43,14 +46,21 @@ def _segment_schema(id_type: T.DataType) -> T.StructType:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, vocabulary: str, end_id: int, files: int, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, path: str, vocabulary: str, end_id: int, files: int | None = None, id_column: str = "doc_id",
+    text_column: str = "text",
 ) -> None:
     """Encode every text of ``docs``, append ``end_id`` to each, and write the ids in ascending order of the ids.
 
-    One shuffle deals documents out by ranges of their id; each task encodes its range in order and writes one file. A
-    null or empty text is the end id alone. Null ids come first; rows with equal ids are all written, in any order.
+    One shuffle deals documents out by ranges of their id; each task encodes its range in order and writes one file. The
+    number of files follows from the bytes of all texts, unless it is given. A null or empty text is the end id alone. Null
+    ids come first; rows with equal ids follow each other by a hash of their texts, over as many ranges as they fill.
     """
     ship_package(docs.sparkSession)
+    rows = docs.select(F.col(id_column), F.col(text_column).cast("string").alias(unused("text", [id_column])))
+    text = F.col(rows.columns[1])
+    if files is None:
+        files = max(1, -(-(rows.agg(F.sum(F.octet_length(text))).first()[0] or 0) // FILE_BYTES))
+    tie = F.xxhash64(text)
     schema = _segment_schema(docs.schema[id_column].dataType)
 
     def segments(batches):
@@ -94,9 +104,8 @@ def write_token_files(
             yield flush()
 
     (
-        docs.select(F.col(id_column), F.col(text_column).cast("string"))
-        .repartitionByRange(files, id_column)
-        .sortWithinPartitions(id_column)
+        rows.repartitionByRange(files, id_column, tie)
+        .sortWithinPartitions(id_column, tie)
         .mapInArrow(segments, schema)
         .write.parquet(path)
     )

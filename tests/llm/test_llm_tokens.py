@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from specloom.llm import bin_packing, simple8b
+from specloom.llm import bin_packing, simple8b, token_files
 from specloom.llm.byte_bpe import ByteBpe
 from specloom.llm.words import safe_cuts
 from specloom.llm.token_counts import count_tokens
@@ -162,3 +163,25 @@ def test_token_files_of_null_and_equal_ids(spark):
     path = scratch_path(spark, "files")
     write_token_files(docs.limit(0), path, PATH, 2, files=2)
     assert read_documents(spark, path).collect() == []
+
+
+def test_rows_that_are_alike_are_dealt_out_over_shards(spark):
+    pieces = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("length"))
+    packed = bin_packing.pack_pieces(pieces, 100, shard_pieces=100).collect()
+    assert len(packed) == 3000 and len({r.sequence_id >> 32 for r in packed}) > 20
+    places = {(r.sequence_id, r.offset) for r in packed}
+    assert len(places) == 3000 and len({s for s, _ in places}) <= 3000 // 14 + 40
+
+
+def test_number_of_files_follows_the_bytes_and_equal_ids_fill_several(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 1000)
+    rows = [(None if i % 2 else 5, f"text number {i} " * 5, "x", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, n_tokens int").repartition(3)
+    write_token_files(docs, str(tmp_path / "files"), PATH, 2)
+    stored = spark.read.parquet(str(tmp_path / "files"))
+    per_file = [len(r["ids"]) for r in stored.groupBy("shard").agg(F.flatten(F.collect_list("ids")).alias("ids")).collect()]
+    assert len(per_file) > 3 and max(per_file) < 60
+    found = read_documents(spark, str(tmp_path / "files")).orderBy("start").collect()
+    assert sorted(r.doc_id or 0 for r in found) == [0] * 30 + [5] * 30 and found[0].start == 0
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
+    assert all(r.doc_id is None for r in found[:1]) and found[-1].doc_id == 5
