@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from specloom.llm.names import unused
 from specloom.session import ship_package, stage
 
 FEATURES = 1 << 13
@@ -164,13 +165,12 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     frequency = np.sum([r["n"] for r in sums], axis=0)
     idf = np.log((1 + sum(sizes.values())) / (1 + frequency)).astype(np.float32)
     languages, centroids, owner, floors = sorted(sizes), [], [], []
-    for number, lang in enumerate(languages):
-        sample = counted.where(F.col("lang") == lang).orderBy(F.xxhash64("slot", "n")).collect()
-        if not sample:
-            continue
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        sample = group.sort_values("place", kind="stable")
         counts = np.zeros((len(sample), FEATURES), np.float32)
-        for i, r in enumerate(sample):
-            counts[i, r["slot"]] = r["n"]
+        for i, (slot, n) in enumerate(zip(sample["slot"], sample["n"])):
+            counts[i, slot] = n
         vectors = unit_vectors(counts, idf)
         centres = _k_means(vectors, CENTROIDS)
         near, step = np.max(vectors @ centres.T, axis=1), _size_step(counts)
@@ -178,10 +178,21 @@ def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         floor = np.array([near[step >= s].min() if (step >= s).any() else 1.0 for s in range(SIZE_STEPS)])
         lowest = np.array([near[step == s].min() if (step == s).any() else np.nan for s in range(SIZE_STEPS)])
         floor = np.fmin(floor, np.where(np.isnan(lowest), floor, lowest))
-        centroids.append(centres)
-        owner += [number] * len(centres)
         sure = np.minimum(1, 2 ** (np.arange(SIZE_STEPS) / 2) / SURE_FEATURES)
-        floors += [FLOOR_PART * sure * np.minimum.accumulate(floor[::-1])[::-1]] * len(centres)
+        floor = FLOOR_PART * sure * np.minimum.accumulate(floor[::-1])[::-1]
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "centres": [centres.ravel()], "floor": [floor]})
+
+    # A group is a sample of one language; what comes back is a few centroids of each.
+    sampled = counted.where("lang IS NOT NULL").select("lang", "slot", "n", F.xxhash64("slot", "n").alias("place"))
+    fitted = {r.lang: r for r in sampled.groupBy("lang").applyInPandas(fit, "lang string, centres array<float>, floor array<double>").collect()}
+    for number, lang in enumerate(languages):
+        if lang in fitted:
+            centres = np.array(fitted[lang].centres, np.float32).reshape(-1, FEATURES)
+            centroids.append(centres)
+            owner += [number] * len(centres)
+            floors += [np.array(fitted[lang].floor)] * len(centres)
+    if not centroids:
+        return Model([], np.empty((0, FEATURES), np.float32), np.empty(0, np.int64), idf, np.empty((0, SIZE_STEPS)))
     return Model(languages, np.concatenate(centroids), np.array(owner), idf, np.array(floors))
 
 
@@ -240,5 +251,5 @@ def keep_known(docs: DataFrame, model: Model, text_column: str = "text") -> Data
             kept = pa.RecordBatch.from_arrays(batch.columns[:width], batch.schema.names[:width])
             yield kept.filter(pa.array([not r for r in rejected], pa.bool_()))
 
-    text = F.col(text_column)
-    return docs.select("*", letters_only(text).alias("_letters"), has_letter(text).alias("_any")).mapInArrow(keep, docs.schema)
+    text, letters, any_ = F.col(text_column), unused("_letters", docs.columns), unused("_any", docs.columns)
+    return docs.select("*", letters_only(text).alias(letters), has_letter(text).alias(any_)).mapInArrow(keep, docs.schema)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from specloom.llm import language_id
@@ -72,3 +73,39 @@ def test_unit_vectors():
     counts, idf = np.array([[2, 0, 1], [0, 0, 0]], np.float32), np.array([1.0, 5.0, 3.0], np.float32)
     a, b = 1 + math.log(2), 3.0
     assert np.allclose(language_id.unit_vectors(counts, idf), [[a / math.hypot(a, b), 0, b / math.hypot(a, b)], [0, 0, 0]])
+
+
+def plain_prediction(model, text):
+    """Language, cosine and rejection, gram by gram and centroid by centroid."""
+    letters = regex.sub(r"[^\p{L}\p{M}]+", " ", (text or "").lower()).strip(" ")
+    if not regex.search(r"\p{L}", text or ""):
+        return "und", 0.0, True
+    counts = grams(letters)
+    weight = {k: (1 + math.log(n)) * float(model.idf[k]) for k, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in weight.values())) or 1.0
+    cosines = [sum(w / norm * float(c[k]) for k, w in weight.items()) for c in model.centroids]
+    best = max(range(len(cosines)), key=lambda j: (cosines[j], -j))
+    step = min(language_id.SIZE_STEPS - 1, int(2 * math.log2(max(1, len(counts)))))
+    return model.languages[model.owner[best]], min(1.0, max(0.0, cosines[best])), cosines[best] < model.floors[best, step]
+
+
+def odd_and_real(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(None, rows[0][1], "en"), rows[1], rows[1], (9001, None, "en"), (9002, "12 !", None), (9003, "漢字仮名 " * 90, None)]
+    rows += [(9004, "x y", "en"), (9005, "ок это русский текст " * 20, None), (9006, "The OF and", "de")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), rows
+
+
+def test_predictions_and_the_stage_against_brute_force(spark):
+    docs, rows = odd_and_real(spark)
+    known = language_id.learn(docs)
+    expected = [(r, plain_prediction(known, r[1])) for r in rows]
+    found = language_id.predict(docs, known).collect()
+    by_id = lambda pairs: sorted(pairs, key=repr)
+    assert by_id([(g.doc_id, g.lang_pred, round(g.score, 4), g.rejected) for g in found]) == by_id(
+        [(r[0], lang, round(score, 4), rejected) for r, (lang, score, rejected) in expected]
+    )
+    kept = language_id.keep_known(docs.withColumn("_letters", F.lit(1)).withColumn("_ANY", F.lit("a")), known)
+    assert kept.columns == ["doc_id", "text", "lang", "_letters", "_ANY"]
+    assert by_id([tuple(r)[:3] for r in kept.collect()]) == by_id([r for r, (_, _, rejected) in expected if not rejected])
+    assert any(rejected and r[1] for r, (_, _, rejected) in expected)
