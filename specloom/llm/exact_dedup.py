@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from specloom.llm.names import unused
 from specloom.session import scratch_path, stage
 
 #: Settings of the state while the stream runs.
@@ -107,11 +108,12 @@ def mark_duplicates(
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`mark_duplicates` keeps, with all their columns."""
-    kept = mark_duplicates(docs, id_column, text_column).where("kept").select(F.col(id_column).alias("_id"), F.col("digest").alias("_digest"))
-    hashed = docs.withColumn("_digest", sha256(lower_ascii(F.col(text_column))))
-    same = hashed[id_column].eqNullSafe(kept["_id"]) & (hashed["_digest"] == kept["_digest"])
+    own, name = unused("_digest", docs.columns), unused("_id", docs.columns)
+    kept = mark_duplicates(docs, id_column, text_column).where("kept").select(F.col(id_column).alias(name), F.col("digest").alias(own))
+    hashed = docs.withColumn(own, sha256(lower_ascii(F.col(text_column))))
+    same = hashed[id_column].eqNullSafe(kept[name]) & (hashed[own] == kept[own])
     # Rows that agree in id and text are left to the last step, which shares the join's partitions.
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, "_digest"]).drop("_digest")
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, own]).drop(own)
 
 
 def _by_text(docs: DataFrame, keyed: DataFrame, clashes: DataFrame) -> DataFrame:

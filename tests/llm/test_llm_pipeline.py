@@ -111,3 +111,17 @@ def test_one_row_of_each_group_stays_for_null_and_repeated_ids(spark):
     groups = sorted(next((g for g in range(4) if t.startswith(words[g][0])), 4) for _, t in left)
     assert groups == [0, 1, 2, 3, 4]
     assert (1, copy(1, 0)) in left and (5, copy(3, 1)) in left
+
+
+def test_every_stage_keeps_columns_of_any_name(spark):
+    names = ["_id", "_hash", "_digest", "_letters", "_ANY", "id", "text_hash", "root", "key", "kept", "others", "digest", "row", "n", "spans"]
+    words = " ".join(f"the of and w{i}" for i in range(400))
+    rows = [(1, "the of and to in that is was", "en", "s", 1, *names), (2, words, "en", None, 2, *names), (2, words, "en", None, 2, *names)]
+    rows.append((3, "q" * 200_000 + " " + words, "en", "s", 3, *names))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, function in corpus_pipeline.STAGES[:4]:
+        left = function(spark, docs, SF_DIR)
+        assert left.columns == docs.columns, name
+        found = left.collect()
+        assert found and all(tuple(r)[5:] == tuple(names) for r in found), name
+    assert {r.doc_id for r in corpus_pipeline.packed_sequences(spark, docs, SF_DIR).collect()} == {1, 2, 3}
