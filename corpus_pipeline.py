@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from specloom.llm import language_id
 from specloom.llm.bin_packing import pack_documents
 from specloom.llm.exact_dedup import drop_duplicates
+from specloom.llm.names import unused
 from specloom.llm.ngram_join import linked_rows
 from specloom.llm.queries import BYTE_BPE, END_ID, SEQUENCE_TOKENS, language_model
 from specloom.llm.suffix_dedup import remove_repeats
@@ -36,13 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null ids come last; of rows with equal ids the text's hash decides. No text stands twice here: see
     :func:`exact_duplicates`.
     """
+    own, text_hash = unused("_id", docs.columns), unused("_hash", docs.columns)
     linked = linked_rows(docs, NEAR_WORDS, NEAR_PERCENT)
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
     first = linked.groupBy("root").agg(F.min(rank).alias("_first")).select(
-        F.col("_first.id").alias("_id"), F.col("_first.text_hash").alias("_hash")
+        F.col("_first.id").alias(own), F.col("_first.text_hash").alias(text_hash)
     ).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(text_hash))
     return docs.join(first, same, "left_semi")
 
 
