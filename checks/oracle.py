@@ -392,9 +392,9 @@ SQL["folder_scan"] = _with(_E) + """
       CASE WHEN clean <> '' THEN clean ELSE record END AS reason, 2 * count(*) AS n, 2 * count(*) AS n_ids
     FROM e GROUP BY 1, 2"""
 SQL["damaged_files"] = _with(_E) + """
-    SELECT 'user-' || user_id % 50 AS file, count(*) AS n_lines,
+    SELECT 'user-' || user_id % 50 || '-' || event_id % blocks AS file, count(*) AS n_lines,
       count(*) FILTER (WHERE clean = '' AND record = '') AS n_accepted, CASE WHEN user_id % 50 % 4 = 0 THEN 0 ELSE 1 END AS n_damaged
-    FROM e GROUP BY user_id % 50"""
+    FROM e, (SELECT count(*) // 5000 + 1 AS blocks FROM events) GROUP BY user_id % 50, event_id % blocks"""
 for _name in ("late_files", "overlapping_ingest", "same_stamps"):
     SQL[_name] = _documents("CAST(1 - event_id % 2 AS VARCHAR) || ord")
 SQL["incremental_oldest"] = _documents("ord")

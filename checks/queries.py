@@ -83,17 +83,24 @@ def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per user group: whole, without its last bytes, with a wrong checksum, or with a tail of other bytes."""
+    """Files of a user group's blocks: whole, without their last bytes, with a wrong checksum, or with a tail of other bytes.
+
+    The number of blocks follows from that of lines, so files stay of like size as the table grows.
+    """
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        kind = int(group["user"].iloc[0]) % 4
+        user, block = group["user"].iloc[0], group["block"].iloc[0]
+        kind = int(user) % 4
         whole = gzip.compress("".join(f"{line}\n" for line in group["value"]).encode(), mtime=0)
         crc = zlib.crc32(whole).to_bytes(4, "little")
         content = [whole, whole[:-4], whole[:-8] + crc + whole[-4:], whole + b"other bytes"][kind]
-        return pd.DataFrame({"path": [f"user-{group['user'].iloc[0]}"], "content": [content]})
+        return pd.DataFrame({"path": [f"user-{user}-{block}"], "content": [content]})
 
-    lines = log_lines(load(spark, sf_dir, "events")).join(load(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
-    files = lines.select((F.col("user_id") % 50).alias("user"), "value").groupBy("user").applyInPandas(pack, "path string, content binary")
+    events = load(spark, sf_dir, "events")
+    blocks = events.count() // 5000 + 1
+    lines = log_lines(events).join(events.select("event_id", "user_id"), "event_id")
+    keys = (F.col("user_id") % 50).alias("user"), F.pmod("event_id", F.lit(blocks)).alias("block")
+    files = lines.select(*keys, "value").groupBy("user", "block").applyInPandas(pack, "path string, content binary")
     records = parse_records(unpacked(files), NOW)
     return records.groupBy("file").agg(
         F.count_if(F.coalesce("stage", F.lit("")) != "file").alias("n_lines"),
