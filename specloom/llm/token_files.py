@@ -25,8 +25,8 @@ from specloom.session import ship_package
 
 #: Ids after which a segment ends; a longer document makes a longer segment.
 SEGMENT_IDS = 1 << 19
-#: Bytes of text whose ids one file holds, where the number of files is not given.
-FILE_BYTES = 64 << 20
+#: Bytes of text whose ids one file holds, where the number of files is not given; a task sorts as many.
+FILE_BYTES = 16 << 20
 
 
 def _segment_schema(id_type: T.DataType) -> T.StructType:
