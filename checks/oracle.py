@@ -401,7 +401,7 @@ SQL["incremental_oldest"] = _documents("ord")
 SQL["refreshed_documents"] = f"SELECT *, CASE WHEN path LIKE '%/purchase/%' THEN 5 ELSE 3 END AS version FROM ({_documents('ord')})"
 SQL["arrival_orders"] = f"SELECT * FROM ({_documents('ord')}), (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS arrival_order)"
 SQL["far_page"] = _with(_ORDERS) + """
-    SELECT * FROM o WHERE deleted_at IS NULL AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, id LIMIT 40 OFFSET 1000"""
+    SELECT * FROM o WHERE deleted_at IS NULL AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, id LIMIT 40 OFFSET 300"""
 SQL["page_chain"] = _with(_ORDERS) + """
     SELECT *, CAST((row_number() OVER (ORDER BY o_orderpriority DESC, o_custkey, id) - 1) // (count(*) OVER () // 5 + 1) AS INTEGER) AS page
     FROM o WHERE deleted_at IS NULL AND o_orderstatus = 'O'"""

@@ -365,7 +365,7 @@ def valid_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def far_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page beyond what a top-k may hold: places of sorted partitions find it."""
     cond, order = rows.matches({"o_orderstatus": "O"}), [F.col("o_totalprice").desc()]
-    return _shown(rows.find_page(_orders(spark, sf_dir), cond, order, limit=40, offset=1000, far_rows=500))
+    return _shown(rows.find_page(_orders(spark, sf_dir), cond, order, limit=40, offset=300, far_rows=100))
 
 
 def page_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
