@@ -1,14 +1,18 @@
 """Exact deduplication by a stream with keyed state on disk.
 
 Each document's normalised text is reduced to a digest. A streaming aggregation keeps, per digest and without expiry, how
-many rows had it and the row to keep: its identifier, and where its content lies. The state lives in RocksDB on the
-executors' disks and in the checkpoint folder, so a later run on the same folder goes on where the last one ended. Rows
-whose digest was met twice are hits; for those, and only those, the full texts are compared.
+many rows had it and the row to keep: its id, and where its content lies (file and place in it). The state lives in
+RocksDB on the executors' disks and in the checkpoint folder, so a later call on the same folder goes on where the last
+one ended. Rows whose digest was met twice are hits; for those, and only those, the full texts are fetched by file and
+place and compared, with those of earlier calls too.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -63,6 +67,11 @@ def retain(spark: SparkSession, keys_path: str, state_path: str) -> DataFrame:
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+    return state_of(spark, state_path)
+
+
+def state_of(spark: SparkSession, state_path: str) -> DataFrame:
+    """(digest, keep, n) of every digest that a stream has met."""
     state = spark.read.format("statestore").load(state_path)
     value = [f.name for f in state.schema["value"].dataType.fields]
     return state.select(
@@ -70,57 +79,166 @@ def retain(spark: SparkSession, keys_path: str, state_path: str) -> DataFrame:
     )
 
 
-def mark_duplicates(
-    docs: DataFrame,
+class Met:
+    """What a folder has met: ``keys`` (one row per document), ``state`` (the stream's), ``checked`` (calls whose hits were
+    compared) and ``clashes`` (digests that stand for several texts).
+
+    A document is the row of a Parquet file: its identifier is the file and the place in it, which also is the locator its
+    text is fetched by. So the files have to stay as long as the folder is used.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, id_column: str, text_column: str,
+        normalise: Callable[[Column], Column] = lower_ascii, digest: Callable[[Column], Column] = sha256,
+    ):
+        self.spark, self.folder = spark, folder
+        self.id_column, self.text_column, self.normalise, self.digest = id_column, text_column, normalise, digest
+        self.call, self.paths, self.state = None, [], None
+
+    def _read(self, table: str) -> DataFrame | None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(str(path)) if there else None
+
+    def _last(self, table: DataFrame | None) -> int:
+        return 0 if table is None else table.agg(F.max("call")).first()[0] or 0
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        """(id, text, row, place) of all documents in the files."""
+        table = self.spark.read.parquet(*paths)
+        return table.select(F.col(self.id_column).alias("id"), F.col(self.text_column).alias("text"), *locator(table))
+
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (digest, id, row, place, call) with ``text``: of earlier calls, only files with such rows are read."""
+        parts = []
+        if self.paths:
+            parts.append((wanted.where(F.col("call") == self.call), self.paths))
+        if self.call != 1:
+            older = wanted.where(F.col("call") != self.call) if self.paths else wanted
+            files = [unquote(r.place) for r in older.select("place").distinct().collect()]
+            if files:
+                parts.append((older, files))
+        found = [w.join(self._rows(files).select("place", "row", "text"), ["place", "row"]) for w, files in parts]
+        return reduce(DataFrame.unionByName, found).withColumn("text", self.normalise(F.col("text")))
+
+    def take_in(self, paths: list[str]) -> DataFrame:
+        """Take in the documents of some files; (digest, id, row, place) of all of them, also those met before."""
+        earlier = self._read("keys")
+        self.call, self.paths = 1 + self._last(earlier), paths
+        own = self._rows(paths).select(self.digest(self.normalise(F.col("text"))).alias("digest"), "id", "row", "place")
+        new = own
+        if earlier is not None:
+            own = stage(own, "keys")
+            new = own.join(earlier.select("place", "row"), ["place", "row"], "left_anti")
+        new = new.withColumn("call", F.lit(self.call).cast("long"))
+        new.write.mode("append").parquet(f"{self.folder}/keys")
+        self.state = stage(retain(self.spark, f"{self.folder}/keys", f"{self.folder}/state"), "state")
+        keys = self._read("keys")
+        self._check(keys)
+        return own if earlier is not None else keys.drop("call")
+
+    def _check(self, keys: DataFrame) -> None:
+        """Compare full texts of the hits among rows not compared yet, each digest's with one compared before."""
+        checked = self._last(self._read("checked"))
+        suspects = keys.where(F.col("call") > checked).join(self.state.where("n > 1").select("digest"), "digest")
+        if checked:
+            suspects = stage(suspects, "suspects")
+            known = keys.where(F.col("call") <= checked).join(suspects.select("digest"), "digest", "left_semi")
+            one = known.groupBy("digest").agg(F.min(F.struct("id", "row", "place", "call")).alias("one")).select("digest", "one.*")
+            suspects = suspects.unionByName(one)
+        # Copies of a text leave a task once.
+        classes = self._texts(suspects).groupBy("digest", "text").agg(F.count("*").alias("n"))
+        clashes = classes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+        clashes.write.mode("append").parquet(f"{self.folder}/clashes")
+        done = self.spark.range(1).select(F.lit(self.call).cast("long").alias("call"))
+        done.write.mode("append").parquet(f"{self.folder}/checked")
+
+    def marks(self, own: DataFrame) -> DataFrame:
+        """(id, keep_id, group_size, kept, digest, row, place) of the rows ``own``, judged over all rows ever met."""
+        state = state_of(self.spark, f"{self.folder}/state") if self.state is None else self.state
+        columns = [
+            "id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
+            ((F.col("keep.row") == F.col("row")) & (F.col("keep.place") == F.col("place"))).alias("kept"), "digest", "row", "place",
+        ]
+        result = own.join(state, "digest").select(*columns)
+        clashes = self._read("clashes").distinct()
+        if clashes.isEmpty():
+            return result
+        # Digests that stand for several texts: grouped by the texts themselves, over all rows ever met.
+        rows = stage(self._texts(self._read("keys").join(clashes, "digest")), "clashing")
+        groups = rows.groupBy("digest", "text").agg(F.max(F.struct("id", "row", "place")).alias("keep"), F.count("*").alias("n"))
+        by_text = rows.join(groups, ["digest", "text"]).select(*columns)
+        by_text = by_text.join(own.select("place", "row"), ["place", "row"], "left_semi")
+        return result.join(clashes, "digest", "left_anti").unionByName(by_text)
+
+
+def locator(table: DataFrame, row: str = "row", place: str = "place") -> list[Column]:
+    """File and place in it of each row of a table that was read from Parquet files."""
+    file = table.metadataColumn("_metadata")
+    return [file["row_index"].alias(row), file["file_path"].alias(place)]
+
+
+def mark_files(
+    spark: SparkSession,
+    paths: list[str],
     id_column: str = "doc_id",
     text_column: str = "text",
     normalise: Callable[[Column], Column] = lower_ascii,
     digest: Callable[[Column], Column] = sha256,
+    folder: str | None = None,
 ) -> DataFrame:
-    """(id, keep_id, group_size, kept, digest): one row for each row of ``docs``.
+    """(id, keep_id, group_size, kept, digest): one row for each row of the Parquet files.
 
     Rows with equal normalised texts form a group, of which the row with the largest id stays; null ids are smallest. Of
     rows that agree in id and text one stays. A null text is empty. Other columns are ignored; no rows give no rows.
+
+    With ``folder`` the groups are those of all rows that any call on this folder took in, and the rows given back are those
+    of ``paths``; :func:`marks_so_far` gives those of all calls. Files that an earlier call took in, also one that failed
+    halfway, count once. One call at a time may use a folder, and the columns and functions must be the same in all.
+    """
+    met = Met(spark, folder or scratch_path(spark, "met"), id_column, text_column, normalise, digest)
+    return met.marks(met.take_in(paths)).drop("row", "place").withColumnRenamed("id", id_column)
+
+
+def marks_so_far(
+    spark: SparkSession,
+    folder: str,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    normalise: Callable[[Column], Column] = lower_ascii,
+) -> DataFrame:
+    """The same columns for every row that calls on a folder have taken in: one row of each group is kept."""
+    met = Met(spark, folder, id_column, text_column, normalise)
+    return met.marks(met._read("keys").drop("call")).drop("row", "place").withColumnRenamed("id", id_column)
+
+
+def mark_duplicates(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    normalise: Callable[[Column], Column] = lower_ascii,
+    digest: Callable[[Column], Column] = sha256,
+    folder: str | None = None,
+) -> DataFrame:
+    """:func:`mark_files` for any frame: its ids and texts are written first, beside the state where that lasts.
+
+    All rows of a frame are new ones, also where an earlier call was given the same.
     """
     spark = docs.sparkSession
-    text = normalise(F.col(text_column))
-    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.input_file_name().alias("place"))
-    keyed = keyed.withColumn("digest", digest(F.col("text")))
-    path = scratch_path(spark, "keys")
-    keyed.select("id", F.monotonically_increasing_id().alias("row"), "place", "digest").write.parquet(path)
-    keys = spark.read.parquet(path)
-    state = stage(retain(spark, path, scratch_path(spark, "state")), "state")
-
-    # Full texts of hits, fetched by identifier, each text once per task before it is shuffled.
-    hits = keys.join(state.where("n > 1").select("digest"), "digest").select("id").distinct()
-    texts = keyed.join(hits, keyed["id"].eqNullSafe(hits["id"]), "left_semi")
-    classes = texts.groupBy("digest", "text").agg(F.count("*").alias("n"))
-    clashes = stage(classes.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "clashes")
-
-    result = keys.join(state.select("digest", "keep", "n"), "digest").select(
-        "digest", "id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("keep.row") == F.col("row")).alias("kept"),
-    )
-    if not clashes.isEmpty():
-        result = result.join(clashes, "digest", "left_anti").unionByName(_by_text(docs, keyed, clashes))
-    return result.select(F.col("id").alias(id_column), "keep_id", "group_size", "kept", "digest")
+    path = f"{folder}/content/{uuid.uuid4().hex}" if folder else scratch_path(spark, "content")
+    docs.select(id_column, F.col(text_column).cast("string").alias(text_column)).write.parquet(path)
+    return mark_files(spark, [path], id_column, text_column, normalise, digest, folder)
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`mark_duplicates` keeps, with all their columns."""
-    own, name = unused("_digest", docs.columns), unused("_id", docs.columns)
-    kept = mark_duplicates(docs, id_column, text_column).where("kept").select(F.col(id_column).alias(name), F.col("digest").alias(own))
-    hashed = docs.withColumn(own, sha256(lower_ascii(F.col(text_column))))
-    same = hashed[id_column].eqNullSafe(kept[name]) & (hashed[own] == kept[own])
-    # Rows that agree in id and text are left to the last step, which shares the join's partitions.
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, own]).drop(own)
-
-
-def _by_text(docs: DataFrame, keyed: DataFrame, clashes: DataFrame) -> DataFrame:
-    """The same columns for rows whose digest stands for several texts: grouped by the texts themselves."""
-    rows = stage(keyed.join(clashes, "digest").withColumn("row", F.monotonically_increasing_id()), "clashing")
-    groups = rows.groupBy("digest", "text").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("n"))
-    return rows.join(groups, ["digest", "text"]).select(
-        "digest", "id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"),
-        (F.col("keep.row") == F.col("row")).alias("kept"),
-    )
+    """The rows of ``docs`` that :func:`mark_duplicates` keeps, with all their columns; of rows that agree in id and text
+    one stays, whatever its other columns."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "content")
+    docs.write.parquet(path)
+    met = Met(spark, scratch_path(spark, "met"), id_column, text_column)
+    kept = met.marks(met.take_in([path])).where("kept")
+    row, place = unused("_row", docs.columns), unused("_place", docs.columns)
+    table = spark.read.schema(docs.schema).parquet(path)
+    rows = table.select("*", *locator(table, row, place))
+    return rows.join(kept.select(F.col("row").alias(row), F.col("place").alias(place)), [place, row], "left_semi").drop(row, place)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from specloom.llm.bag_search import rank_documents
 from specloom.llm.bin_packing import pack_documents
 from specloom.llm.decontamination import find_overlaps
-from specloom.llm.exact_dedup import mark_duplicates
+from specloom.llm.exact_dedup import mark_files
 from specloom.llm import hnsw, language_id
 from specloom.llm.ngram_join import link_documents
 from specloom.llm.periodic_runs import collapse_runs
@@ -78,7 +78,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mark_duplicates(_table(spark, sf_dir, "documents"))
+    marked = mark_files(spark, [f"{sf_dir}/documents.parquet"])
     return marked.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
 
 
