@@ -2,7 +2,8 @@
 
 Equal vectors are one entry, so copies neither crowd a graph nor a result. Entries are dealt out to shards of bounded size
 by a hash of the vector; each shard builds its graph in one task and is stored as one row of flat arrays. Queries travel
-in blocks to every shard; a block and a shard are searched together, all queries of the block a step at a time.
+in blocks to every shard: a task opens the shard's graph once and the blocks go past it one by one, all queries of a block
+a step at a time. Where blocks are many, a shard is sent to several tasks.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from specloom.session import ship_package, stage
 
-#: Entries of a shard, about.
+#: Entries of a shard, about; of larger tables there are ``SHARDS`` larger ones, until a shard's vectors take up SHARD_BYTES.
 SHARD_ENTRIES = 4096
+SHARDS = 64
+SHARD_BYTES = 64 << 20
+#: Queries that go through a graph together, and how many such blocks one task takes.
 QUERY_BLOCK = 512
+TASK_BLOCKS = 64
 #: Links of an entry above the ground level; twice as many on it.
 LINKS = 16
 #: Entries kept in view while building and while searching.
@@ -27,6 +32,8 @@ SEARCH_WIDTH = 96
 INSERT_BATCH = 256
 EXPAND = 4
 SALTS = 64
+#: Tasks of a stage at most; beyond that, a task takes several shards, one after the other.
+MOST_TASKS = 20_000
 
 INDEX = "dim int, shard int, n int, vectors binary, members array<array<bigint>>, nodes binary, links binary, levels array<int>"
 
@@ -205,6 +212,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return (scaled / np.linalg.norm(scaled, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _total(sizes: DataFrame, column: str) -> int:
+    return sizes.agg(F.sum(F.expr(column))).first()[0] or 0
+
+
+def _dealt(rows: DataFrame, number: Column, tasks: int) -> DataFrame:
+    """Rows dealt out to tasks by a number that starts at 0 for each length of vectors; equal numbers stay together."""
+    tasks = min(max(tasks, 1), MOST_TASKS)
+    start = F.pmod(F.xxhash64("dim"), F.lit(tasks))
+    return rows.repartitionById(tasks, F.pmod(start + number, F.lit(tasks)).cast("int"))
+
+
 def build_index(
     vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", neighbours: int = 5,
     shard_entries: int = SHARD_ENTRIES,
@@ -222,11 +240,11 @@ def build_index(
         place = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
         rows = rows.withColumn("place", place).where(F.col("place") <= neighbours + 1).drop("place")
     entries = stage(rows.groupBy("vec", "dim").agg(F.sort_array(F.collect_list("id")).alias("members")), "entries")
-    sizes = entries.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(shard_entries)).cast("int").alias("shards"))
+    held = F.least(F.greatest(F.lit(shard_entries), F.count("*") / F.lit(SHARDS)), F.lit(SHARD_BYTES) / (8 * F.col("dim")))
+    sizes = entries.groupBy("dim").agg(F.ceil(F.count("*") / F.greatest(held, F.lit(1))).cast("int").alias("shards"))
     placed = entries.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
 
-    def shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("members_first", "ascending")])
+    def shard(table: pa.Table) -> pa.RecordBatch:
         dim = table.column("dim")[0].as_py()
         raw = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
         graph = build(_unit(raw))
@@ -244,12 +262,28 @@ def build_index(
                 ("levels", pa.list_(pa.int32())),
             ]
         )
-        return pa.Table.from_pylist([row], schema=schema)
+        return pa.RecordBatch.from_pylist([row], schema=schema)
 
-    placed = placed.select("dim", "shard", "vec", "members", F.col("members")[0].alias("members_first"))
-    # Building a graph takes long for its bytes, so shards are not put together into few tasks by size.
-    placed = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "dim", "shard")
-    return placed.groupBy("dim", "shard").applyInArrow(shard, INDEX)
+    def shards(batches):
+        """Rows come sorted by shard."""
+        own, parts = None, []
+        for batch in batches:
+            dims, numbers = batch.column("dim").to_numpy(), batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(dims) != 0) | (np.diff(numbers) != 0)) + 1).tolist(), len(dims)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if parts and own != (dims[a], numbers[a]):
+                    yield shard(pa.Table.from_batches(parts))
+                    parts = []
+                own = (dims[a], numbers[a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield shard(pa.Table.from_batches(parts))
+
+    # Building a graph takes long for its bytes, so each shard has a task of its own.
+    placed = _dealt(placed, F.col("shard"), _total(sizes, "shards")).sortWithinPartitions("dim", "shard", F.col("members")[0])
+    return placed.select("dim", "shard", "vec", "members").mapInArrow(shards, INDEX)
 
 
 def stored_graph(vectors: np.ndarray, nodes: np.ndarray, links: np.ndarray, levels: list[int], most: int = LINKS) -> Graph:
@@ -281,41 +315,59 @@ def search(
     sizes = index.groupBy("dim").agg(F.count("*").cast("int").alias("shards"))
     asked = usable(queries, id_column, vector_column).distinct()
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("blocks"))
-    asked = asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    asked = asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int"))
     found_schema = "query_id long, vec_id long, score double"
 
     def pack(table: pa.Table) -> pa.Table:
         raw = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return pa.table(
             {
-                "dim": table.column("dim").slice(0, 1), "queries": pa.array([table.column("id").to_pylist()], pa.list_(pa.int64())),
+                "dim": table.column("dim").slice(0, 1), "block": table.column("block").slice(0, 1),
+                "queries": pa.array([table.column("id").to_pylist()], pa.list_(pa.int64())),
                 "asked": pa.array([raw.astype("<f8").tobytes()], pa.binary()),
             }
         )
 
     packed = asked.select("dim", "block", "id", "vec").groupBy("dim", "block").applyInArrow(
-        pack, "dim int, queries array<bigint>, asked binary"
+        pack, "dim int, block int, queries array<bigint>, asked binary"
+    )
+    # Each shard meets all blocks of its length, up to TASK_BLOCKS of them in one task.
+    plan = stage(
+        sizes.join(blocks, "dim").withColumn("parts", F.ceil(F.col("blocks") / F.lit(TASK_BLOCKS)).cast("int")), "plan"
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+    sent = packed.join(plan, "dim").select("dim", every, F.floor(F.col("block") / F.lit(TASK_BLOCKS)).cast("int").alias("part"), "parts", "block", "queries", "asked")
+    opened = index.join(plan, "dim").select(
+        "dim", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.lit(-1).alias("block"),
+        "n", "vectors", "members", "nodes", "links", "levels",
+    )
+    tasks = _total(plan, "shards * parts")
+    met = _dealt(opened.unionByName(sent, allowMissingColumns=True), F.col("shard") * F.col("parts") + F.col("part"), tasks)
+    # The shard itself comes first, its blocks behind it.
+    met = met.sortWithinPartitions("dim", "shard", "part", "block").select(
+        "n", "vectors", "members", "nodes", "links", "levels", "queries", "asked"
     )
-    sent = packed.join(sizes, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
 
     def look(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(k)[i].as_py() for k, c in enumerate(columns)}
-                vectors = _scaled(np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1))
+            for row in batch.to_pylist():
+                if row["vectors"] is not None:
+                    vectors = _scaled(np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1))
+                    graph = stored_graph(
+                        vectors, np.frombuffer(row["nodes"], "<i4"), np.frombuffer(row["links"], "<i4"), row["levels"]
+                    )
+                    norm, members = np.linalg.norm(vectors, axis=1), row["members"]
+                    firsts = np.array([m[0] for m in members])
+                    continue
                 asked = _scaled(np.frombuffer(row["asked"], "<f8").reshape(-1, vectors.shape[1]))
-                graph = stored_graph(
-                    vectors, np.frombuffer(row["nodes"], "<i4"), np.frombuffer(row["links"], "<i4"), row["levels"]
-                )
                 view, _ = graph.search(_unit(asked), max(width, neighbours + 1))
-                norm, own = np.linalg.norm(vectors, axis=1), np.linalg.norm(asked, axis=1)
+                own = np.linalg.norm(asked, axis=1)
                 ids, hits, scores = [], [], []
                 for q, query in enumerate(row["queries"]):
                     near = view[q][view[q] >= 0]
                     cosine = (vectors[near] @ asked[q]) / (norm[near] * own[q])
-                    first = [row["members"][e][0] for e in near.tolist()]
-                    for p in np.lexsort((first, -cosine))[: neighbours + 1].tolist():
-                        for member in row["members"][near[p]]:
+                    for p in np.lexsort((firsts[near], -cosine))[: neighbours + 1].tolist():
+                        for member in members[near[p]]:
                             if member != query:
                                 ids.append(query)
                                 hits.append(member)
@@ -325,11 +377,9 @@ def search(
                     ["query_id", "vec_id", "score"],
                 )
 
-    columns = ["n", "vectors", "members", "nodes", "links", "levels", "queries", "asked"]
-    pairs = index.join(sent, ["dim", "shard"]).select(*columns)
     # A row holds a whole shard: few of them travel at once.
     with _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
-        found = stage(pairs.mapInArrow(look, found_schema), "found")
+        found = stage(met.mapInArrow(look, found_schema), "found")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

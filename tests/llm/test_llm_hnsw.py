@@ -87,3 +87,29 @@ def test_small_graphs_find_everything(n):
     view, near = graph.search(unit, 50)
     for i in range(n):
         assert sorted(view[i][view[i] >= 0].tolist()) == list(range(n)) and view[i][0] == i
+
+
+def test_many_shards_in_few_tasks_and_shards_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(hnsw, "TASK_BLOCKS", 2)
+    monkeypatch.setattr(hnsw, "MOST_TASKS", 7)
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 200 * 8 * 16)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.RandomState(2).normal(size=(3000, 16)))]
+    # One id has a third of the queries' vectors.
+    rows = [(0 if i % 150 == 0 else i, v) for i, v in rows]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = hnsw.build_index(vectors, shard_entries=1000)
+    shards = index.select("dim", "shard", "n").collect()
+    assert len(shards) == len(set(shards)) == 15 and sum(r.n for r in shards) == 3000
+    found = results(hnsw.search(index, vectors.where("vec_id % 50 = 0")))
+    asked = [r for r in rows if r[0] % 50 == 0 and r[0]]
+    assert set(found) == {i for i, _ in asked} | {0}
+    assert recall({q: v for q, v in found.items() if q}, nearest(rows, asked, 5)) >= 0.9
+    assert [r for r, _, _ in found[0]] == [1, 2, 3, 4, 5]
+
+
+def test_shards_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARDS", 3)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.RandomState(3).normal(size=(900, 4)))]
+    vectors = spark.createDataFrame(rows + [(5000, [1.0])], "vec_id long, embedding array<double>")
+    assert sorted(r["dim"] for r in hnsw.build_index(vectors, shard_entries=10).collect()) == [1, 4, 4, 4]
