@@ -28,15 +28,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base up to ``n``, and their inverses modulo 2**64."""
-    if not _powers or len(_powers[0]) <= n:
-        n = max(n, SLAB_BYTES) + 1
-        with np.errstate(over="ignore"):
-            _powers[:] = [
-                np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(b))]), dtype=np.uint64)
-                for b in (BASE, pow(BASE, -1, 1 << 64))
-            ]
-    return _powers[0], _powers[1]
+    """Powers of the hash's base up to ``n``, and their inverses modulo 2**64; those of a slab stay, of a longer text not."""
+    if _powers and len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    most = max(n, SLAB_BYTES) + 1
+    with np.errstate(over="ignore"):
+        found = [
+            np.cumprod(np.concatenate([[np.uint64(1)], np.full(most, np.uint64(b))]), dtype=np.uint64)
+            for b in (BASE, pow(BASE, -1, 1 << 64))
+        ]
+    if n <= SLAB_BYTES:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
