@@ -9,11 +9,13 @@ place and compared, with those of earlier calls too.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from specloom.llm.names import unused
@@ -230,12 +232,31 @@ def mark_duplicates(
     return mark_files(spark, [path], id_column, text_column, normalise, digest, folder)
 
 
+def own_path(docs: DataFrame) -> str | None:
+    """The Parquet file or folder that ``docs`` is, unchanged; none if it is anything else."""
+    files = {unquote(f) for f in docs.inputFiles()}
+    for roots in (files, {f.rpartition("/")[0] for f in files}):
+        if len(roots) == 1:
+            path = next(iter(roots))
+            # A table may have been read by its path alone; frames read by two spellings of a path are not the same.
+            for spelling in (path, re.sub("^[a-z0-9]+://[^/]*", "", path)):
+                try:
+                    read = docs.sparkSession.read.schema(docs.schema).parquet(spelling)
+                except AnalysisException:  # no such path on the default file system
+                    continue
+                if docs.sameSemantics(read):
+                    return spelling
+    return None
+
+
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`mark_duplicates` keeps, with all their columns; of rows that agree in id and text
-    one stays, whatever its other columns."""
+    one stays, whatever its other columns. A frame that is no Parquet table as it stands is written first."""
     spark = docs.sparkSession
-    path = scratch_path(spark, "content")
-    docs.write.parquet(path)
+    path = own_path(docs)
+    if path is None:
+        path = scratch_path(spark, "content")
+        docs.write.parquet(path)
     met = Met(spark, scratch_path(spark, "met"), id_column, text_column)
     kept = met.marks(met.take_in([path])).where("kept")
     row, place = unused("_row", docs.columns), unused("_place", docs.columns)

@@ -128,3 +128,15 @@ def test_kept_rows_have_all_columns_of_any_name(spark):
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=repr) == [(2, "A", 4, 5, 6, 1), (None, None, 7, 8, 9, 1)]
+
+
+def test_a_table_as_it_stands_is_not_written_again(spark):
+    path = written(spark, ROWS)
+    table = spark.read.parquet(path)
+    assert exact_dedup.own_path(table).endswith(path.rpartition("/")[2])
+    for other in (table.where("doc_id > 3"), table.withColumn("text", F.lower("text")), table.union(table), frame(spark, ROWS),
+                  table.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))):
+        assert exact_dedup.own_path(other) is None
+    kept = sorted((r[0], r[4]) for r in expected(ROWS) if r[3] and r[0] is not None)
+    rows = exact_dedup.drop_duplicates(table).where("doc_id is not null").select("doc_id", "text").collect()
+    assert sorted((r.doc_id, hashlib.sha256(low(r.text).encode()).hexdigest()) for r in rows) == kept
