@@ -58,7 +58,7 @@ class Scanner:
         self.empty = not windows
 
     def scan(self, text: bytes) -> tuple[int, set, list[tuple[int, int]]]:
-        """Number of words, ids of the items with windows in the text, and (first, last) word of each occurrence."""
+        """Number of words, ids of the items with windows in the text, and (first, last) word of each stretch of hits."""
         n, owners, hits, search, base = 0, set(), [], None, 0
         for words in word_pieces(text, LETTERS_AND_DIGITS):
             if words and not self.empty:
@@ -76,6 +76,8 @@ class Scanner:
                     for end, (_, (size, items)) in zip(last.tolist(), found):
                         hits.append((end - size + 1, end))
                         owners |= items
+                    # Occurrences of a piece become stretches at once, so a text that is full of them takes no more memory.
+                    hits = covered(hits)
                 base += len(spelled)
             n += len(words)
         return n, owners, hits
@@ -123,8 +125,11 @@ def find_overlaps(
         raise ValueError("a window has at least one word")
     ship_package(docs.sparkSession)
     item_type = items.schema[item_id_column].dataType
+    if not isinstance(item_type, T.AtomicType):
+        raise ValueError("item ids must be of a type that has an order")
     text = F.col(item_text_column).cast("string")
-    known = items.select(F.col(item_id_column).alias("id"), text.alias("text")).where(F.length("text") > 0)
+    # Repeated items give the same windows: they are one before any of them is brought together.
+    known = items.select(F.col(item_id_column).alias("id"), text.alias("text")).where(F.length("text") > 0).distinct()
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // ITEM_BYTES) + 1
     found = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
@@ -154,7 +159,6 @@ def _pass(rows: DataFrame, windows: Broadcast, last: bool) -> DataFrame:
         )
     else:
         schema = rows.schema
-    item_type = schema["items"].dataType.elementType
 
     def scan(batches):
         scanner, arrow = _scanner(windows, key), to_arrow_schema(schema)
@@ -178,6 +182,4 @@ def _pass(rows: DataFrame, windows: Broadcast, last: bool) -> DataFrame:
                 schema=arrow,
             )
 
-    if not isinstance(item_type, T.AtomicType):
-        raise ValueError("item ids must be of a type that has an order")
     return rows.mapInArrow(scan, schema)

@@ -88,6 +88,24 @@ def test_pieces_of_any_size_give_the_same(monkeypatch):
         assert (n, covered, sorted(owners)) == plain(text, items, 4)[:3]
 
 
+def test_a_text_full_of_occurrences_holds_stretches_only(monkeypatch):
+    held = []
+    monkeypatch.setattr(decontamination, "word_pieces", lambda t, table: plain_words.word_pieces(t, table, 1000))
+    monkeypatch.setattr(decontamination, "covered", lambda hits, of=decontamination.covered: held.append(len(hits)) or of(hits))
+    n, owners, hits = Scanner(item_windows([(1, "a b a b a b"), (2, "b a")], 4)).scan(b"a b " * 50_000)
+    assert (n, owners, hits) == (100_000, {1, 2}, [(0, 99_999)])
+    assert len(held) == 200 and max(held) < 1500
+
+
+def test_repeated_items_are_brought_together_once(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(decontamination, "item_windows", lambda items, n, of=decontamination.item_windows: taken.extend(items) or of(items, n))
+    docs = spark.createDataFrame([(1, "x one two y")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "one two")] * 200 + [(None, "one two"), (6, "one two")], "item_id long, text string")
+    assert [tuple(r)[:4] for r in find_overlaps(docs, items).collect()] == [(1, 4, 2, [5, 6])]
+    assert sorted(taken, key=repr) == [(5, "one two"), (6, "one two"), (None, "one two")]
+
+
 def test_query_agrees_with_sql(spark):
     sf_dir = "/root/testdata/sf0.01"
     found = spark_result(op11_decontamination(spark, sf_dir))
