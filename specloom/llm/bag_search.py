@@ -26,8 +26,8 @@ from specloom.llm.plain_words import LETTERS_AND_DIGITS, texts_of, word_pieces
 from specloom.session import ship_package, stage
 
 TOP = 20
-#: Item text that one pass over the classes takes up; more items take more passes.
-ITEM_BYTES = 1 << 20
+#: Item text and distinct items that one pass over the classes takes up; more items take more passes.
+ITEM_BYTES, ITEM_ROWS = 1 << 20, 1 << 13
 #: Classes and distinct item terms that are multiplied at once.
 BLOCK_CLASSES, BLOCK_TERMS = 512, 1024
 #: Fixed values of the score.
@@ -154,19 +154,21 @@ class Best:
             self.floor[item] = max(1, -self.found[item][-1][0])
 
 
-def score_classes(classes: DataFrame, items: list, terms: list[dict[int, int]], weights: np.ndarray, item_type, top: int) -> DataFrame:
-    """(number, item_id, score, members): from each task, the best classes of every item."""
+def score_classes(
+    classes: DataFrame, items: list[tuple], terms: list[dict[int, int]], weights: np.ndarray, item_type: T.DataType, top: int
+) -> DataFrame:
+    """(number, item_id, copies, score, members): from each task, the best classes of every item (id, copies)."""
     schema = T.StructType(
         [
             T.StructField("number", T.IntegerType()), T.StructField("item_id", item_type),
-            T.StructField("score", T.LongType()), classes.schema["members"],
+            T.StructField("copies", T.IntegerType()), T.StructField("score", T.LongType()), classes.schema["members"],
         ]
     )
     held = classes.sparkSession.sparkContext.broadcast((items, terms, weights))
 
     def score(batches):
-        ids, found, weights = held.value
-        blocks, best = item_blocks(found, weights), Best(len(ids), top)
+        known, found, weights = held.value
+        blocks, best = item_blocks(found, weights), Best(len(known), top)
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK_CLASSES):
                 batch = whole.slice(at, BLOCK_CLASSES)
@@ -177,9 +179,9 @@ def score_classes(classes: DataFrame, items: list, terms: list[dict[int, int]],
                 members = batch.column("members").to_pylist()
                 for block in blocks:
                     best.add(block.numbers, block.scores(row, term, part, n), members)
-        rows = [(i, ids[i], -f[0], f[3]) for i, kept in enumerate(best.found) for f in kept]
+        rows = [(i, *known[i], -f[0], f[3]) for i, kept in enumerate(best.found) for f in kept]
         arrow = to_arrow_schema(schema)
-        columns = zip(*rows) if rows else [[], [], [], []]
+        columns = zip(*rows) if rows else [[]] * len(arrow)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return classes.mapInArrow(score, schema)
@@ -212,12 +214,14 @@ def rank_documents(
         raise ValueError("ids must be of a type that has an order")
     text = F.col(item_text_column).cast("string")
     known = items.select(F.col(item_id_column).alias("id"), text.alias("text")).where(F.length("text") > 0)
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(size // ITEM_BYTES) + 1
+    # Repeated items are ranked once, however many there are; their copies are put back into the result.
+    known = known.groupBy("id", "text").agg(F.count("*").cast("int").alias("copies"))
+    size = known.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).first()
+    parts = max((size.bytes or 0) // ITEM_BYTES, size.rows // ITEM_ROWS) + 1
     ranked = []
     for part in range(parts):
         mine = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect()
-        found = [(r.id, Counter(_words(r.text))) for r in mine]
+        found = [((r.id, r.copies), Counter(_words(r.text))) for r in mine]
         ranked.append(_ranked(spark, docs, [f for f in found if f[1]], top, id_column, text_column, item_type))
     whole = reduce(DataFrame.unionByName, ranked)
     return whole.select(F.col("item_id").alias(item_id_column), "rank", F.col("id").alias(id_column), "score")
@@ -244,8 +248,9 @@ def _ranked(
     scored = score_classes(classes, [item for item, _ in items], terms, weights, item_type, top)
     best = Window.partitionBy("number").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     return (
-        scored.select("number", "item_id", "score", F.explode("members").alias("id"))
+        scored.select("number", "item_id", "copies", "score", F.explode("members").alias("id"))
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= top)
-        .select("item_id", "rank", "id", "score")
+        .select("item_id", "rank", "id", "score", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+        .drop("col")
     )

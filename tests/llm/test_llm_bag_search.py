@@ -49,9 +49,9 @@ def check(spark, docs, items, top):
     return found
 
 
-@pytest.mark.parametrize("limits", [(1 << 20, 512, 1024), (40, 3, 4)])
+@pytest.mark.parametrize("limits", [(1 << 20, 1 << 13, 512, 1024), (40, 9, 3, 4), (1 << 20, 2, 512, 1024)])
 def test_scores_of_all_documents(spark, monkeypatch, limits):
-    for name, limit in zip(("ITEM_BYTES", "BLOCK_CLASSES", "BLOCK_TERMS"), limits):
+    for name, limit in zip(("ITEM_BYTES", "ITEM_ROWS", "BLOCK_CLASSES", "BLOCK_TERMS"), limits):
         monkeypatch.setattr(bag_search, name, limit)
     rng = random.Random(11)
     words = ["Alpha", "beta", "GAMMA", "delta", "é", "x1", "zz", "rare", "other", "more"]
@@ -73,6 +73,14 @@ def test_a_large_class_fills_all_ranks_in_order_of_id(spark):
     check(spark, docs, [(1, "words"), (2, "same same")], 5)
 
 
+def test_repeated_items_are_scored_once_and_listed_each(spark, monkeypatch):
+    scored = []
+    monkeypatch.setattr(bag_search, "score_classes", lambda c, items, *rest, of=bag_search.score_classes: scored.extend(items) or of(c, items, *rest))
+    items = [(1, "one two")] * 300 + [(None, "two")] * 3 + [(2, "one two")]
+    found = check(spark, [(i, "one two three"[: 7 + i % 7]) for i in range(8)], items, 5)
+    assert len(found) == 304 * 5 and sorted(scored, key=repr) == [(1, 300), (2, 1), (None, 3)]
+
+
 def test_nothing_to_rank(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([("i", "a")], "item_id string, text string")
