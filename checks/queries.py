@@ -113,12 +113,24 @@ def damaged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = with_clean_text(log_lines(load(spark, sf_dir, "events")))
-    return cleaned.groupBy(F.coalesce("clean_reason", F.lit("")).alias("reason")).agg(
+    counts = cleaned.groupBy(F.coalesce("clean_reason", F.lit("")).alias("reason")).agg(
         F.count("*").alias("n"),
         F.count_if("extractable").alias("n_extractable"),
-        F.coalesce(F.sum(F.unix_micros("receive_time")), F.lit(0)).alias("receive_micros"),
-        F.coalesce(F.sum(_digest(F.col("text"))), F.lit(0)).alias("text_digests"),
+        _exact_sum(F.unix_micros("receive_time")).alias("receive_micros"),
+        _exact_sum(_digest(F.col("text"))).alias("text_digests"),
     )
+    return _long_where_it_fits(stage(counts, "counts"), "receive_micros", "text_digests")
+
+
+def _exact_sum(number: Column) -> Column:
+    """The sum of longs, 0 if there are none, as a decimal: some 5,400 stamps in microseconds are beyond a long."""
+    return F.coalesce(F.sum(number.cast("decimal(19,0)")), F.lit(0).cast("decimal(29,0)"))
+
+
+def _long_where_it_fits(sums: DataFrame, *names: str) -> DataFrame:
+    """Columns of exact sums as longs; one that holds a sum beyond a long stays a decimal. A flag for each passes the driver."""
+    fits = sums.agg(*[F.max(F.abs(n)).cast("decimal(38,0)").alias(n) for n in names]).first()
+    return sums.withColumns({n: F.col(n).cast("long") for n in names if (fits[n] or 0) < 2**63})
 
 
 def _digest(text: Column) -> Column:
