@@ -16,6 +16,9 @@ from specloom.session import stage
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
 ORIGIN = "https://gw.example.com:443"
 
+# Lines that one task makes: so few where cores would be idle, else so many.
+_FEW_LINES, _MANY_LINES = 5_000, 100_000
+
 _DEEP = '{"deep":{"a":{"b":{"c":{"d":{"e":{"f":{"g":[{"h":true}]}}}}}}}}'
 
 
@@ -99,10 +102,20 @@ def _text(value: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]\z", "")
 
 
+def dealt_out(events: DataFrame) -> DataFrame:
+    """The same rows in parts of like size, evenly mixed, however few row groups and files the table has.
+
+    A row group is one task's, and a million events make as many lines of half a kilobyte, which that task would also
+    write and often parse. Only the count passes the driver; it comes from the files' footers.
+    """
+    count, cores = events.count(), events.sparkSession.sparkContext.defaultParallelism
+    return events.repartition(min(count // _FEW_LINES + 1, max(4 * cores, count // _MANY_LINES + 1)))
+
+
 def log_lines(events: DataFrame) -> DataFrame:
     """(event_id, ts, key, file, value): the archived line of every event."""
     h = _mod(100)
-    df = _with_url(events)
+    df = _with_url(dealt_out(events))
     df = df.withColumn("_response_body", _text(_response_body()))
     method = F.when(F.col("is_write"), F.lit('"POST"')).otherwise(F.lit('"GET"'))
     body = _text(F.when(F.col("is_write"), F.col("props")).otherwise(F.lit("")))

@@ -1,9 +1,16 @@
 """Queries on the derived log over larger tables."""
 
+import gzip
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
-from checks.queries import registered
+from checks import queries
+from checks.derived_log import log_lines
+from checks.queries import STAMP, registered
+from specloom.sources.tables import Warehouse
+from specloom.streaming import incremental
 
 #: 2024-01-01T00:00:00.123456Z, what lines of remainder 3 say.
 MICROS = 1704067200123456
@@ -35,3 +42,42 @@ def test_clean_lines_of_no_events(spark, tmp_path):
     found = registered()["clean_lines"](spark, str(tmp_path))
     assert found.collect() == []
     assert dict(found.dtypes)["receive_micros"] == dict(found.dtypes)["text_digests"] == "bigint"
+
+
+def test_lines_of_one_row_group_are_dealt_out(spark):
+    table = events(spark, spark.range(20_000).union(spark.range(5))).withColumn("ts", F.col("ts").cast("timestamp"))
+    lines = log_lines(table)
+    assert lines.rdd.getNumPartitions() == 5
+    shares = lines.groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) == 5 and max(r["count"] for r in shares) < 6000
+    assert [r.event_id for r in lines.select("event_id").sort("event_id").collect()] == sorted([*range(20_000), *range(5)])
+
+
+def test_stream_moves_lines_of_few_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.gz").write_bytes(gzip.compress("".join(f"line {i}\n" for i in range(5000)).encode()))
+    found = []
+
+    def ingest(lines, *rest):
+        found.append((lines.rdd.getNumPartitions(), sorted((r.value, r.position) for r in lines.collect())))
+
+    monkeypatch.setattr(incremental, "ingest_lines", ingest)
+    monkeypatch.setattr(incremental, "run_build", lambda *a, **k: None)
+    warehouse = Warehouse(spark, f"{tmp_path}/warehouse")
+    incremental.run_incremental(spark, str(tmp_path / "in"), warehouse, str(tmp_path / "stream"), STAMP)
+    assert found == [(spark.sparkContext.defaultParallelism, sorted((f"line {i}", i) for i in range(5000)))]
+
+
+def test_orders_of_arrival_are_one_beside_another(spark, tmp_path, monkeypatch):
+    events(spark, spark.range(300)).write.parquet(f"{tmp_path}/events.parquet")
+    together, ingest = threading.Barrier(3, timeout=60), queries.ingest_lines
+
+    def meeting(lines, warehouse, now, batch):
+        if batch == 1:
+            together.wait()
+        return ingest(lines, warehouse, now, batch)
+
+    monkeypatch.setattr(queries, "ingest_lines", meeting)
+    rows = registered()["arrival_orders"](spark, str(tmp_path)).collect()
+    documents = [sorted(r[:-1] for r in rows if r.arrival_order == order) for order in range(3)]
+    assert documents[0] and documents[0] == documents[1] == documents[2]
