@@ -8,7 +8,7 @@ from specloom.plans.build import run_build
 from specloom.plans.documents import refresh_documents
 from specloom.plans.ingest import ingest_lines
 from specloom.session import configure
-from specloom.sources.archive import gz_lines
+from specloom.sources.archive import gz_lines, spread
 from specloom.sources.tables import Warehouse
 
 
@@ -44,6 +44,9 @@ def run_incremental(
 
     def process(lines: DataFrame, batch_id: int) -> None:
         batch = batch_id + 1
+        # A file is one task's: lines of fewer files than cores are moved before they are parsed.
+        cores = spark.sparkContext.defaultParallelism
+        lines = spread(lines, cores if lines.rdd.getNumPartitions() < cores else None)
         ingest_lines(lines, warehouse, started + timedelta(seconds=2 * batch), batch)
         built_at = started + timedelta(seconds=2 * batch + 1)
         run_build(warehouse, built_at, 2 * batch + 1, precedence=precedence, merge=merge)
