@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 _STRING = r'(?s)"(?:[^"\\]++|\\.)*+"'
 _NUMBER = r"[0-9][0-9.eE+-]*+"
-# Only a number with an exponent, or one of very many digits, can be beyond a double.
-_MAYBE_BIG = r"[0-9.][eE]\+?[0-9]|[0-9]{309}"
+# Only a number with an exponent, or one of very many digits, can be beyond a double. Most characters fail the first class.
+_MAYBE_BIG = r"[0-9.](?:[eE]\+?[0-9]|[0-9]{308})"
 
 
 def has_out_of_range_number(text: Column) -> Column:

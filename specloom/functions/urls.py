@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # The usual form: scheme, host, maybe a port, a path and a query without escapes or oddities.
 _USUAL = (
-    r"^[A-Za-z][A-Za-z0-9+.-]*+://([A-Za-z0-9._-]*+)(?::[0-9]*+)?"
-    r"((?:/[^%?#\x00-\x1F\x7F]*+)?)(?:\?[^#\x00-\x1F\x7F]*+)?\z"
+    r"^[A-Za-z][A-Za-z0-9+.-]*+://[A-Za-z0-9._-]*+(?::[0-9]*+)?"
+    r"(?:/[^%?#\x00-\x1F\x7F]*+)?(?:\?[^#\x00-\x1F\x7F]*+)?\z"
 )
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _CONTROL = r"[\x00-\x1F\x7F]"
@@ -33,9 +33,17 @@ def percent_decode(text: Column) -> Column:
 
 
 def with_url_parts(df: DataFrame, url: str, host: str = "host", path: str = "path") -> DataFrame:
-    """Add ``host`` (no port) and ``path`` (percent-decoded); both '' if the URL is unusable."""
+    """Add ``host`` (no port) and ``path`` (percent-decoded); both '' if the URL is unusable.
+
+    A URL of the usual form is matched once and then cut at its first '://', '?', '/' and ':'; groups of the pattern
+    would match it again for each part.
+    """
     df = df.withColumn("_usual", url.rlike(_USUAL))
     usual = F.col("_usual")
+    df = df.withColumn("_before", F.when(usual, F.substring_index(F.make_valid_utf8(url), "?", 1)))
+    before, after, site = F.col("_before"), F.col("_after"), F.col("_site")
+    df = df.withColumn("_after", F.substring(before, F.locate("://", before) + 3, F.length(before)))
+    df = df.withColumn("_site", F.substring_index(after, "/", 1))
     df = df.withColumn("_u", F.when(~usual, F.substring_index(url, "#", 1)))
     df = df.withColumn("_schemed", F.col("_u").rlike(_SCHEME))
     df = df.withColumn("_rest", F.substring_index(F.regexp_replace("_u", _SCHEME, ""), "?", 1))
@@ -82,15 +90,15 @@ def with_url_parts(df: DataFrame, url: str, host: str = "host", path: str = "pat
         df.withColumn("_unusable", unusable & (F.col("_u") != "*"))
         .withColumns(
             {
-                host: F.when(usual, F.regexp_extract(url, _USUAL, 1))
+                host: F.when(usual, F.substring_index(site, ":", 1))
                 .when(F.col("_unusable"), F.lit(""))
                 .otherwise(bare_host),
-                path: F.when(usual, F.regexp_extract(url, _USUAL, 2))
+                path: F.when(usual, F.substring(after, F.length(site) + 1, F.length(after)))
                 .when(F.col("_unusable"), F.lit(""))
                 .otherwise(F.col("_path")),
             }
         )
-        .drop("_usual", "_u", "_schemed", "_rest", "_has_authority", "_authority", "_netloc", "_path", "_unusable")
+        .drop("_usual", "_before", "_after", "_site", "_u", "_schemed", "_rest", "_has_authority", "_authority", "_netloc", "_path", "_unusable")
     )
 
 

@@ -31,17 +31,18 @@ def _entry(kind: str, key=None, value=None) -> Column:
     )
 
 
-def body_entries(body: Column, members: Column) -> Column:
-    """A parsed body as entries: 'body' once if accepted, then 'key' per telling member.
+def body_entries(body: Column, members: Column, values: bool = True) -> Column:
+    """A parsed body as entries: 'body' once if accepted, then 'key' per telling member, if asked with its value.
 
     ``members`` is the body's member map, null unless it is an object. An array or null is a
     body without members; a scalar, or text that is not one JSON value (null here), is
     'rejected'.
     """
-    keys = F.transform(
-        F.map_entries(producing_members(members)),
-        lambda e: _entry("key", e["key"], shape(e["value"])),
-    )
+    telling = producing_members(members)
+    if values:
+        keys = F.transform(F.map_entries(telling), lambda e: _entry("key", e["key"], shape(e["value"])))
+    else:
+        keys = F.transform(F.map_keys(telling), lambda key: _entry("key", key))
     return (
         F.when(members.isNotNull(), F.concat(F.array(_entry("body")), keys))
         .when(F.is_variant_null(body) | as_array(body).isNotNull(), F.array(_entry("body")))
@@ -83,10 +84,17 @@ def _entries(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _entry_names(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Kinds and keys alone: no values are shaped for a pass over all samples that drops them."""
+    parsed = _parsed_bodies(samples, *by, "event_at")
+    entries = body_entries(F.col("_body"), F.col("_members"), values=False)
+    return parsed.select(*by, "event_at", F.explode(entries).alias("e"))
+
+
 def oldest_entries(samples: DataFrame, by: list[str]) -> DataFrame:
     """(``by``, kind, key, event_at, n): the oldest time and number of each kind of entry, by hashing alone."""
     return (
-        _entries(samples, by)
+        _entry_names(samples, by)
         .select(*by, "e.kind", "e.key", "event_at")
         .groupBy(*by, "kind", "key")
         .agg(F.min("event_at").alias("event_at"), F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from specloom.functions.json_values import with_strict_json
 from specloom.functions.parameters import parameter_type
 from specloom.functions.text import with_clean_text
-from specloom.functions.urls import path_template, with_url_parts
+from specloom.functions.urls import _USUAL, path_template, with_url_parts
 from specloom.operators.records import status_code
 
 
@@ -157,6 +157,34 @@ PATHS = {
 }
 
 
+def test_usual_urls_are_matched_once(spark):
+    cases = {
+        "http://h": ("h", ""),
+        "http://h:80": ("h", ""),
+        "http://h:?a=b": ("h", ""),
+        "http://h?a=/b:c://d?e": ("h", ""),
+        "http://h/?a": ("h", "/"),
+        "https://gw.example.com:443/v1/x:confirm?u=http://o/p": ("gw.example.com", "/v1/x:confirm"),
+        "a+b.c-d://h/x://y:1//z": ("h", "/x://y:1//z"),
+        "http:///only/path": ("", "/only/path"),
+        "http://:8/p": ("", "/p"),
+        "http://h/é/😀/ü?q=😀": ("h", "/é/😀/ü"),
+    }
+    df = one_column(spark, list(cases))
+    found = with_url_parts(df.withColumn("usual", F.col("value").rlike(_USUAL)), F.col("value"))
+    assert all(r.usual for r in found.collect())
+    assert {r.value: (r.host, r.path) for r in found.collect()} == cases
+    plan = found.drop("usual")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(value" not in plan
+
+
+def test_numbers_of_very_many_digits(spark):
+    fits = ["[0." + "9" * 400 + "]", "[1" + "0" * 308 + "]", "[12." + "1" * 308 + "]", "[0.e1]".replace(".", ".0"), "[" + "9" * 308 + "]"]
+    beyond = ["[2" + "0" * 308 + "]", "[" + "9" * 309 + "]", "[-" + "9" * 309 + ".5]", "[1e400]", "[0.1E+400]"]
+    found = with_strict_json(one_column(spark, fits + beyond), "value", "v").select("value", F.col("v").isNull().alias("refused"))
+    assert {r.value: r.refused for r in found.collect()} == {**dict.fromkeys(fits, False), **dict.fromkeys(beyond, True)}
+
+
 def test_path_template(spark):
     df = one_column(spark, list(PATHS)).withColumn("t", path_template(F.col("value")))
     assert dict(zip(PATHS, [r[0] for r in results(df, "t")])) == PATHS

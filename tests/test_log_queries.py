@@ -1,13 +1,14 @@
 """Queries on the derived log over larger tables."""
 
 import gzip
+import json
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks import queries
-from checks.derived_log import log_lines
+from checks.derived_log import _text, log_lines
 from checks.queries import STAMP, registered
 from specloom.sources.tables import Warehouse
 from specloom.streaming import incremental
@@ -53,6 +54,13 @@ def test_lines_of_one_row_group_are_dealt_out(spark):
     assert [r.event_id for r in lines.select("event_id").sort("event_id").collect()] == sorted([*range(20_000), *range(5)])
 
 
+def test_json_texts_without_a_pattern(spark):
+    values = [None, "", "[", "]", '"[x]"', "a\\b\n]", "é😀"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", _text(F.col("v")).alias("t"))
+    assert [r.t for r in rows.collect()] == ["null", *[json.dumps(v, ensure_ascii=False) for v in values[1:]]]
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stream_moves_lines_of_few_files(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.gz").write_bytes(gzip.compress("".join(f"line {i}\n" for i in range(5000)).encode()))

@@ -184,6 +184,17 @@ def test_one_hot_api_reduces_before_the_shuffle(spark):
     assert rows == {"key": ('""', 20000), "body": (None, 20000)}
 
 
+def test_no_values_are_shaped_for_the_oldest_times(spark):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    bodies = ['{"k":1,"n":null,"e":[],"l":[null,1],"o":{"a":[]}}', '{"k":"s","":[[1]]}', "[1]", "null", "7", "x", ""]
+    samples = spark.createDataFrame([("a", str(i), at + timedelta(seconds=i), b) for i, b in enumerate(bodies)], "api_id string, id string, event_at timestamp, body string")
+    found = oldest_entries(samples, ["api_id"])
+    assert "[true]" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.kind, r.key, (r.event_at.second), r.n) for r in found.collect()} == {
+        ("body", None, 0, 4), ("rejected", None, 4, 2), ("key", "k", 0, 2), ("key", "o", 0, 1), ("key", "", 1, 1),
+    }
+
+
 def test_equal_times_go_by_id(spark):
     at = datetime(2024, 1, 1, tzinfo=timezone.utc)
     rows = [("a", "3", at, '{"k":1,"m":1}'), ("a", "1", at, '{"k":"s"}'), ("a", "2", at, '{"k":true,"m":[1]}'), ("a", "0", at, "7")]
